@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding
+from . import mixing, packing, quality, sharding, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +33,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("_k1", "_k2")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality, op3_sharding, op7_packing, op9_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_sharding, op7_packing, op9_mixing, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
