@@ -1,0 +1,27 @@
+"""Connected components of a distributed edge list."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import cut
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The smallest id reachable from each endpoint: (node, component).
+
+    Each round every node takes the least label around it and then its label's label, so
+    long chains close in about as many rounds as the logarithm of their length.  Rounds end
+    when nothing changes.  Labels and edges stay distributed; each round is cut.
+    """
+    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
+    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+    while True:
+        around = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
+        hooked = cut(labels.join(around, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low")))
+        roots = hooked.select(F.col("node").alias("root"), F.col("low").alias("jump"))
+        jumped = cut(hooked.join(roots, F.col("low") == F.col("root"), "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("new"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved")))
+        labels = jumped.select("node", F.col("new").alias("label"))
+        if jumped.where("moved").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
