@@ -48,10 +48,15 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
     return F.aggregate(steps, start, halve)["lo"]
 
 
-def _sample(recs: DataFrame, n: int, seed: int) -> list[tuple[int, int]]:
-    """``n`` keys drawn without replacement with chances in proportion to size."""
+def _sample(recs: DataFrame, n: int, total: int, seed: int) -> list[tuple[int, int]]:
+    """About ``n`` keys, at most, drawn without replacement with chances in proportion to size.
+
+    The priorities are exponential with rate size, so about 2 n rows of ``total`` bytes lie
+    below 2 n / total: no task sends more than its share of these.
+    """
     u = (F.shiftrightunsigned(F.xxhash64("sid", "crc", "size", F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
-    rows = recs.select("crc", "sid", (-F.log(u) / F.col("size")).alias("p")).orderBy("p").limit(n).collect()
+    drawn = recs.select("crc", "sid", (-F.log(u) / F.col("size")).alias("p")).where(F.col("p") <= 2.0 * n / total)
+    rows = drawn.orderBy("p", "crc", "sid").limit(n).collect()
     return sorted((r["crc"], r["sid"]) for r in rows)
 
 
@@ -72,8 +77,8 @@ def shard(df: DataFrame, n_shards: int = 8, tolerance: float = 0.01, rows_per_ra
         return spark.createDataFrame([], SCHEMA)
 
     n_ranges = max(shuffle_partitions(spark), -(-rows // rows_per_range))
-    drawn = _sample(recs, oversample * n_ranges, seed=0)
-    splitters = sorted({drawn[i * len(drawn) // n_ranges] for i in range(1, n_ranges)})
+    drawn = _sample(recs, oversample * n_ranges, total, seed=0)
+    splitters = sorted({drawn[i * len(drawn) // n_ranges] for i in range(1, n_ranges)} if drawn else set())
     for attempt in range(1, 4):
         ranged = recs.withColumn("rng", _range_of(splitters))
         fill = {r["rng"]: r for r in ranged.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min(F.struct("crc", "sid")).alias("lo"), F.max(F.struct("crc", "sid")).alias("hi")).collect()}
@@ -81,7 +86,7 @@ def shard(df: DataFrame, n_shards: int = 8, tolerance: float = 0.01, rows_per_ra
         if not overfull or attempt == 3:
             break
         parts = sum(-(-r["bytes"] * n_ranges // total) for r in overfull.values())
-        more = _sample(ranged.where(F.col("rng").isin(list(overfull))), oversample * parts, seed=attempt)
+        more = _sample(ranged.where(F.col("rng").isin(list(overfull))), oversample * parts, sum(r["bytes"] for r in overfull.values()), seed=attempt)
         splitters = sorted({*splitters, *more[oversample // 2 :: oversample]})
 
     ids = sorted(fill)
