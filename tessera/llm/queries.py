@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, jaccard, mixing, packing, quality, sharding, suffixes
+from . import bitslice, jaccard, mincut, mixing, packing, quality, sharding, suffixes
 
 OP6_SQL = """
 WITH v AS (
@@ -79,6 +79,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_table(spark, sf_dir, "documents")).drop("_k1", "_k2")
 
 
+def op5_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return bitslice.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -97,7 +101,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality, op3_sharding, op4_jaccard, op6_bitslice, op7_packing, op9_mixing, op10_suffixes)}
+    return {f.__name__: f for f in (op2_quality, op3_sharding, op4_jaccard, op5_mincut, op6_bitslice, op7_packing, op9_mixing, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
