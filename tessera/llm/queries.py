@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, jaccard, mincut, mixing, packing, quality, sharding, suffixes
+from . import bitslice, crf, jaccard, mincut, mixing, packing, quality, sharding, suffixes
 
 OP6_SQL = """
 WITH v AS (
@@ -65,6 +65,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
@@ -101,7 +105,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality, op3_sharding, op4_jaccard, op5_mincut, op6_bitslice, op7_packing, op9_mixing, op10_suffixes)}
+    return {f.__name__: f for f in (op1_crf, op2_quality, op3_sharding, op4_jaccard, op5_mincut, op6_bitslice, op7_packing, op9_mixing, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
