@@ -239,11 +239,13 @@ def identify(df: DataFrame, train_docs: int = 800) -> DataFrame:
     spark = df.sparkSession
     doc_id = F.col("doc_id").cast("long")
     rows = df.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (F.crc32(doc_id.cast("string")) % 4 == 2).alias("held_out"))
-    model = spark.sparkContext.broadcast(fit(*training_sample(rows, train_docs)))
+    model = fit(*training_sample(rows, train_docs))
+    sent = spark.sparkContext.broadcast((model.languages, model.weights, model.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        received = Model(*sent.value)
         for batch in batches:
-            langs, scores = predict(model.value, batch.column(2))
+            langs, scores = predict(received, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

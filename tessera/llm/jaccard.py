@@ -5,14 +5,17 @@ more.  Then, under any order of all tokens, they share a token among the first
 ``n - ceil(0.75 n) + 1`` of the larger and of the smaller set, and this holds under several
 orders at once: a pair is verified only if it passes under every one.
 
-* The orders put rare tokens first.  Rarity comes from counts of all tokens in a table of
-  fixed size, so what is sent around does not grow with the corpus; counts of colliding
-  tokens add up, which may misplace a token but the same way everywhere, so that each is
-  still a global order.  Inside a level of rarity each order has its own permutation.
-* The first order is an inverted index: prefix tokens are dealt by hash into packed lists,
-  and documents in one list that fit in size are candidates.  The further orders filter the
-  candidates where their sets meet, before exact verification.
-* Documents with equal sets form a class by fingerprint and are compared once per task.
+* Tokens that only one document has cannot be shared.  Documents are packed, without a
+  shuffle, into chunks; each chunk reports its distinct tokens with counts, and learns which
+  of them other documents have too, and how many.  A document whose shared tokens are fewer
+  than 75 % of its set links with nothing and goes no further, so neither unique texts nor
+  texts that merely quote a common passage make candidates.
+* Of the shared tokens the orders put rare ones first; among tokens of about one frequency
+  each order has its own permutation.  The first order is an inverted index: prefix tokens
+  are dealt by hash into packed lists, and documents in one list that fit in size are
+  candidates.  The further orders filter the candidates where their sets meet, before exact
+  verification.
+* Documents with equal sets form a class by fingerprint and are compared once per chunk.
 * A long list is not expanded into its pairs.  Neighbours by size are verified first; after
   components are known, only pairs that cross them remain, and of those only the ones with
   a member outside the list's main component are formed.  Every pair of every list is so
@@ -26,29 +29,28 @@ result; other columns are left alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import bucketed_table, cut, row_key, scratch_table, shuffle_partitions
+from .shared import bucketed_table, cut, row_key, scratch_dir, scratch_table, shuffle_partitions
 from .shingles import mix, shingle_sets
-from .suffixes import NO_ID, _batch
+from .suffixes import CHUNKS, NO_ID, _batch, _each, _parts_of, _to_chunks
 
 PERCENT = 75
-CELLS = 1 << 20
-CELL_PARTS = 16
-BLOOM_BITS = 1 << 23
 ORDERS = 3
 SHORT_LIST = 8
 
-DOCS = "doc long, k1 long, k2 int, n int, f1 long, f2 long, part int, cells binary"
+REQUESTS = "chunk long, part int, low binary, high binary, counts binary"
+ANSWERS = "chunk long, part int, mask binary, levels binary"
+DOCS = "doc long, k1 long, k2 int, n int, f1 long, f2 long, tokens binary, levels binary"
 ENTRIES = "bucket int, tokens binary, docs binary, sizes binary"
 LISTS = "docs binary, sizes binary"
-SETS = "doc long, tokens binary"
 PAIRS = "a long, b long"
 
 
@@ -62,62 +64,107 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
         return int(_signed(mix(s, 11).sum(keepdims=True))[0]), int(_signed(np.bitwise_xor.reduce(mix(s, 12), keepdims=True))[0])
 
 
-def _ids(column: pa.Array) -> list[int]:
-    return [NO_ID if x is None else x for x in column.to_pylist()]
+def _needed(n: int) -> int:
+    """The least overlap of a set of ``n`` with any set similar to it."""
+    return -(-PERCENT * n // 100)
 
 
-def _count(width: int):
-    """Documents with their set's size and fingerprint, and counts of all tokens by cell."""
+def _chunk_sets(row: dict, width: int) -> tuple[list[np.ndarray], list[tuple[int, int]], list[bool]]:
+    """Sets of a chunk's documents, their fingerprints, and whether each is the first with its set."""
+    lens = np.frombuffer(row["lens"], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(offsets.tobytes()), pa.py_buffer(row["blob"])).cast(pa.string())
+    sets = shingle_sets(texts, width)
+    prints = [_prints(s) if len(s) else (0, 0) for s in sets]
+    seen: set = set()
+    first = []
+    for s, p in zip(sets, prints, strict=True):
+        name = (p, len(s))
+        first.append(len(s) > 0 and name not in seen)
+        seen.add(name)
+    return sets, prints, first
 
+
+def _tokens(sets: list[np.ndarray], first: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    own = [s for s, f in zip(sets, first, strict=True) if f]
+    return np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _ask(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            sets = shingle_sets(batch.column(1), width)
-            filled = [s for s in sets if len(s)]
-            if filled:
-                cells += np.bincount((np.concatenate(filled) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-            prints = [_prints(s) if len(s) else (0, 0) for s in sets]
-            nothing = [None] * len(sets)
-            yield _batch(DOCS, _ids(batch.column(0)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], nothing, nothing)
-        step = CELLS // CELL_PARTS
-        for k in range(CELL_PARTS):
-            part = cells[k * step : (k + 1) * step]
-            if part.any():
-                yield _batch(DOCS, [None], [None], [None], [None], [None], [None], [k], [part.tobytes()])
+        for row in _each(batches):
+            sets, _, first = _chunk_sets(row, width)
+            u, counts = _tokens(sets, first)
+            at = _parts_of(u, parts)
+            full = [k for k in range(parts) if at[k] < at[k + 1]]
+            if full:
+                # 40 bits of a token besides its part: a rare collision only makes a token look shared.
+                low, high, counts = u.astype(np.uint32), (u >> np.uint64(32)).astype(np.uint8), np.minimum(counts, 255).astype(np.uint8)
+                cuts = [slice(at[k], at[k + 1]) for k in full]
+                yield _batch(REQUESTS, [row["chunk"]] * len(full), full, [low[c].tobytes() for c in cuts], [high[c].tobytes() for c in cuts], [counts[c].tobytes() for c in cuts])
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.int64) for c in table.column("cells").chunks for x in c)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+def _answer(table: pa.Table) -> pa.Table:
+    low, high, counts = ([np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c] for name, kind in (("low", np.uint32), ("high", np.uint8), ("counts", np.uint8)))
+    tokens = np.concatenate(low).astype(np.uint64) | np.concatenate(high).astype(np.uint64) << np.uint64(32)
+    order = np.argsort(tokens)
+    t = tokens[order]
+    new = np.concatenate([[True], t[1:] != t[:-1]])
+    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), np.flatnonzero(new))
+    df = np.empty(len(t), np.int64)
+    df[order] = total[np.cumsum(new) - 1]
+    shared = df > 1
+    level = np.minimum(63, 4 * np.log2(df)).astype(np.uint8)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    part, end = table.column("part")[0].as_py(), 0
+    for chunk, x in zip(table.column("chunk").to_pylist(), low, strict=True):
+        own = slice(end, end + len(x))
+        end += len(x)
+        if shared[own].any():
+            for c, v in zip(out, (chunk, part, np.packbits(shared[own]).tobytes(), level[own][shared[own]].tobytes()), strict=True):
+                c.append(v)
+    return pa.Table.from_batches([_batch(ANSWERS, *out)])
+
+
+def _candidates(width: int, parts: int):
+    """All documents; those that may link come with their shared tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            sets, prints, first = _chunk_sets(row, width)
+            ids = np.frombuffer(row["ids"], np.int64).tolist()
+            keys = np.frombuffer(row["keys"], np.int64).reshape(-1, 2).tolist()
+            u, _ = _tokens(sets, first)
+            at = _parts_of(u, parts)
+            level = np.zeros(len(u), np.uint8)
+            shared = np.zeros(len(u), bool)
+            for answer in row["answers"] or []:
+                own = slice(at[answer["part"]], at[answer["part"] + 1])
+                shared[own] = np.unpackbits(np.frombuffer(answer["mask"], np.uint8), count=own.stop - own.start).astype(bool)
+                level[own][shared[own]] = np.frombuffer(answer["levels"], np.uint8)
+            tokens, levels = [], []
+            for s, f in zip(sets, first, strict=True):
+                where = np.searchsorted(u, s) if f else None
+                hit = shared[where] if f else None
+                may = f and int(hit.sum()) >= _needed(len(s))
+                tokens.append(s[hit].tobytes() if may else None)
+                levels.append(level[where[hit]].tobytes() if may else None)
+            yield _batch(DOCS, ids, [k[0] for k in keys], [k[1] for k in keys], [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], tokens, levels)
 
-def _levels(spark: SparkSession, counts: DataFrame) -> np.ndarray:
-    """Level of rarity of each cell: 0 for what chance explains, then by powers of two."""
-    salted = counts.select("part", "cells", (F.rand(1) * 64).cast("int").alias("salt"))
-    added = salted.groupBy("part", "salt").applyInArrow(_add, "part int, cells binary").groupBy("part").applyInArrow(_add, "part int, cells binary")
-    cells = np.zeros(CELLS, np.int64)
-    step = CELLS // CELL_PARTS
-    for r in added.collect():
-        cells[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["cells"], np.int64)
-    mean = cells.mean()
-    noise = mean + 6 * np.sqrt(mean) + 4
-    return np.clip(np.ceil(np.log2(np.maximum(cells, 1) / noise)), 0, 31).astype(np.uint8)
+    return run
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """The tokens of a set that an order puts first, as many as the similarity demands."""
-    n = len(s)
-    p = n - -(-PERCENT * n // 100) + 1
-    key = (levels[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(s, 20 + order) >> np.uint64(6))
-    return s if p >= n else s[np.argpartition(key, p - 1)[:p]]
+def prefix(tokens: np.ndarray, levels: np.ndarray, n: int, order: int) -> np.ndarray:
+    """The shared tokens of a set of ``n`` that an order puts first, as many as the similarity demands."""
+    p = len(tokens) - _needed(n) + 1
+    key = (levels.astype(np.uint64) << np.uint64(58)) | (mix(tokens, 20 + order) >> np.uint64(6))
+    return tokens if p >= len(tokens) else tokens[np.argpartition(key, p - 1)[:p]]
 
 
-def _index(width: int, buckets: int, levels, flush: int = 1 << 21):
+def _index(buckets: int, flush: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = levels.value
-        seen: set[tuple[int, int, int]] = set()
         held, tokens, docs, sizes = 0, [], [], []
 
         def out() -> pa.RecordBatch:
@@ -126,24 +173,21 @@ def _index(width: int, buckets: int, levels, flush: int = 1 << 21):
             d, s = np.repeat(np.array(docs, np.int64), n), np.repeat(np.array(sizes, np.int32), n)
             order = np.argsort(t)
             t, d, s = t[order], d[order], s[order]
-            at = np.searchsorted(t, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)).tolist() + [len(t)]
+            at = _parts_of(t, buckets)
             full = [k for k in range(buckets) if at[k] < at[k + 1]]
             cuts = [slice(at[k], at[k + 1]) for k in full]
             return _batch(ENTRIES, full, [t[c].tobytes() for c in cuts], [d[c].tobytes() for c in cuts], [s[c].tobytes() for c in cuts])
 
         for batch in batches:
-            for doc, s in zip(_ids(batch.column(0)), shingle_sets(batch.column(1), width), strict=True):
-                if not len(s) or (name := (*_prints(s), len(s))) in seen:
-                    continue
-                seen.add(name)
-                p = prefix(s, rank, 0)
+            for doc, n, t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                p = prefix(np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint8), n, 0)
                 tokens.append(p)
                 docs.append(doc)
-                sizes.append(len(s))
+                sizes.append(n)
                 held += len(p)
                 if held >= flush:
                     yield out()
-                    held, tokens, docs, sizes, seen = 0, [], [], [], set()
+                    held, tokens, docs, sizes = 0, [], [], []
         if tokens:
             yield out()
 
@@ -198,88 +242,59 @@ def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), name)), pa.array(d), pa.array(np.frombuffer(y.as_buffer(), np.int32))], names=["list", "doc", "n"])
 
 
-def _sets(width: int, wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        for batch in batches:
-            ids = np.array(_ids(batch.column(0)), np.int64)
-            cell = (mix(ids.view(np.uint64), 5) % np.uint64(BLOOM_BITS)).astype(np.int64)
-            take = np.flatnonzero((bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1))
-            if len(take):
-                texts = batch.column(1).take(pa.array(take))
-                for a in range(0, len(take), 500):
-                    sets = shingle_sets(texts.slice(a, 500), width)
-                    yield _batch(SETS, ids[take[a : a + 500]].tolist(), [s.tobytes() for s in sets])
-
-    return run
-
-
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each of the ids; others may share their bits."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = (mix(np.asarray(batch.column(0)).view(np.uint64), 5) % np.uint64(BLOOM_BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cell >> 6), pa.array(np.left_shift(np.uint64(1), (cell & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
-
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    for r in ids.mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r["word"]] = np.uint64(r["bits"] % 2**64)
-    return bits
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
+    """Whether sets of ``n_a`` and ``n_b`` tokens are similar, given all those that they may share."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= PERCENT * (n_a + n_b - both)
 
 
-def _verify(levels):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = levels.value
-        for batch in batches:
-            known: dict[tuple[int, int], tuple] = {}
-
-            def read(doc: int, tokens: pa.Scalar, known: dict = known) -> tuple:
-                data = tokens.as_buffer()
-                if (doc, data.size) not in known:
-                    s = np.frombuffer(data, np.uint64)
-                    known[doc, data.size] = (s, *(np.sort(prefix(s, rank, k)) for k in range(1, ORDERS)))
-                return known[doc, data.size]
-
-            left, right = [], []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                (s, *p), (t, *q) = read(a, x), read(b, y)
-                if all(len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(p, q, strict=True)) and similar(s, t):
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        known: dict[tuple[int, int], tuple] = {}
 
-    return run
+        def read(side: dict, known: dict = known) -> tuple:
+            name = (side["doc"], len(side["tokens"]))
+            if name not in known:
+                t, v = np.frombuffer(side["tokens"], np.uint64), np.frombuffer(side["levels"], np.uint8)
+                known[name] = (t, side["n"], [np.sort(prefix(t, v, side["n"], k)) for k in range(1, ORDERS)])
+            return known[name]
+
+        left, right = [], []
+        for i in range(batch.num_rows):
+            a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            (s, n, p), (t, m, q) = read(a), read(b)
+            if all(len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(p, q, strict=True)) and similar(s, t, n, m):
+                left.append(a["doc"])
+                right.append(b["doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def join_components(df: DataFrame, width: int = 5) -> DataFrame:
+def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row for each row of ``df(doc_id, text)``: doc_id, its content key, n_shingles and component_id."""
     spark = df.sparkSession
     n = shuffle_partitions(spark)
     buckets = 4 * n
     doc_id = F.col("doc_id").cast("long")
     rows = df.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(doc_id, F.col("text")))
-    counted = scratch_table(rows.mapInArrow(_count(width), DOCS), "sets")
-    docs = counted.where("part is null")
-    levels = spark.sparkContext.broadcast(_levels(spark, counted.where("part is not null")))
-
-    entries = rows.select("doc_id", "text").mapInArrow(_index(width, buckets, levels), ENTRIES)
+    table = f"{scratch_dir(spark)}/chunks_{uuid.uuid4().hex}"
+    rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS).write.format("parquet").bucketBy(n, "chunk").option("path", table).saveAsTable(table.rpartition("/")[2])
+    chunks = spark.table(table.rpartition("/")[2])
+    asked = chunks.select("chunk", "lens", "blob").mapInArrow(_ask(width, buckets), REQUESTS)
+    answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
+    told = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask", "levels")).alias("answers"))
+    docs = bucketed_table(chunks.join(told, "chunk", "left").mapInArrow(_candidates(width, buckets), DOCS), "sets", "doc", n)
+    sets = docs.where("tokens is not null")
+
+    entries = sets.select("doc", "n", "tokens", "levels").mapInArrow(_index(buckets), ENTRIES)
     lists = scratch_table(entries.groupBy("bucket").applyInArrow(_lists, LISTS).distinct(), "lists")
     pairs = cut(lists.mapInArrow(_first_pairs, PAIRS).distinct())
     members = cut(lists.mapInArrow(_long_lists, "list long, doc long, n int"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(members.select("doc")).distinct()
-    wanted = spark.sparkContext.broadcast(_wanted(ids))
-    sets = bucketed_table(rows.select("doc_id", "text").mapInArrow(_sets(width, wanted), SETS), "shingles", "doc", n)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("s")), "a")
-        two = one.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("t")), "b")
-        return cut(two.select("a", "b", "s", "t").mapInArrow(_verify(levels), PAIRS).distinct())
+        side = F.struct("doc", "n", "tokens", "levels")
+        one = pairs.join(sets.select(F.col("doc").alias("a"), side.alias("left")), "a")
+        two = one.join(sets.select(F.col("doc").alias("b"), side.alias("right")), "b")
+        return cut(two.select("left", "right").mapInArrow(_verify, PAIRS).distinct())
 
     classes = docs.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("b"), F.max("doc").alias("top")).where("b < top")
     copies = docs.where("n > 0").join(classes, ["f1", "f2", "n"]).select(F.col("doc").alias("a"), "b").where("a <> b")
