@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, crf, jaccard, mincut, mixing, packing, quality, sharding, suffixes
+from . import bitslice, crf, jaccard, licenses, mincut, mixing, packing, quality, sharding, suffixes
 
 OP6_SQL = """
 WITH v AS (
@@ -96,16 +96,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("_k1", "_k2")
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_crf, op2_quality, op3_sharding, op4_jaccard, op5_mincut, op6_bitslice, op7_packing, op9_mixing, op10_suffixes)}
+    return {f.__name__: f for f in (op1_crf, op2_quality, op3_sharding, op4_jaccard, op5_mincut, op6_bitslice, op7_packing, op8_licenses, op9_mixing, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key, scratch_dir, scratch_table, shuffle_partitions
+from .shared import scratch_dir, scratch_table, shuffle_partitions
 
 LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
@@ -48,12 +49,12 @@ CONTEXT = LEFT + LENGTH
 SLICE = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
-CHUNKS = "chunk long, ids binary, keys binary, lens binary, blob binary"
+CHUNKS = "chunk long, ids binary, keys binary, lens binary, blob binary, rest binary"
 REQUESTS = "chunk long, part int, hashes binary"
 ANSWERS = "chunk long, part int, mask binary"
 CONTEXTS = "chunk long, part int, ctx binary, room binary, docs binary, pos binary, of binary, first binary"
 VERDICTS = "chunk long, pos binary, mask binary"
-RESULT = "doc_id long, _k1 long, _k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -130,30 +131,41 @@ def _batch(schema: str, *columns: list) -> pa.RecordBatch:
 
 
 def _to_chunks(chunk_bytes: int):
+    """Packs rows of (doc_id, text, two keys, anything else) into chunks; what else there is goes along as is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
-        keys: list[tuple[int, int]] = []
-        texts: list[bytes] = []
-        held = 0
+        task, seq, held = TaskContext.get().partitionId(), 0, 0
+        parts: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            key = np.array(keys, np.int64)
-            return _batch(
-                CHUNKS, [(task << 32) + seq], [np.array(ids, np.int64).tobytes()], [key.tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [b"".join(texts)]
-            )
+            rows = pa.Table.from_batches(parts)
+            column = lambda k: rows.column(k).combine_chunks()
+            texts = column(1).fill_null("")
+            key = np.stack([column(2).to_numpy(), column(3).to_numpy().astype(np.int64)], axis=1)
+            rest = b""
+            if rows.num_columns > 4:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, (other := rows.select(range(4, rows.num_columns))).schema) as out:
+                    out.write_table(other.combine_chunks())
+                rest = sink.getvalue().to_pybytes()
+            blob = b"".join(x.as_buffer().to_pybytes() for x in texts)
+            lens = pc.binary_length(texts).to_numpy().astype(np.int64)
+            return _batch(CHUNKS, [(task << 32) + seq], [column(0).fill_null(NO_ID).to_numpy().tobytes()], [key.tobytes()], [lens.tobytes()], [blob], [rest])
 
         for batch in batches:
-            for doc, text, k1, k2 in zip(*(batch.column(i) for i in range(4)), strict=True):
-                t = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids.append(doc.as_py() if doc.is_valid else NO_ID)
-                keys.append((k1.as_py(), k2.as_py()))
-                texts.append(t)
-                held += len(t)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                done = int(sizes[at - 1]) if at else 0
+                end = min(batch.num_rows, int(np.searchsorted(sizes, done + chunk_bytes - held)) + 1)
+                parts.append(batch.slice(at, end - at))
+                held += int(sizes[end - 1]) - done
+                at = end
                 if held >= chunk_bytes:
                     yield flush()
-                    seq, ids, keys, texts, held = seq + 1, [], [], [], 0
-        if ids:
+                    seq, held = seq + 1, 0
+                    parts.clear()
+        if parts:
             yield flush()
 
     return run
@@ -351,40 +363,42 @@ def _covered(n: int, verdicts: list[dict]) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _apply(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            blob, ids, lens = _chunk(row)
-            keys = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)
-            gone = _covered(len(blob), row["verdicts"] or [])
-            out: list[list] = [[] for _ in range(7)]
-            end = 0
-            for doc, (k1, k2), n in zip(ids.tolist(), keys.tolist(), lens.tolist(), strict=True):
-                g, data = gone[end : end + n], blob[end : end + n]
-                end += n
-                removed = int(g.sum())
-                spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-                kept = data[~g].tobytes() if removed else data.tobytes()
-                last = kept.decode("utf-8", "ignore") if with_text else hashlib.sha256(kept).hexdigest()
-                for c, v in zip(out, (None if doc == NO_ID else doc, k1, k2, n, removed, spans, last), strict=True):
-                    c.append(v)
-            yield _batch(RESULT, *out)
-
-    return run
-
-
-def remove_repeats(df: DataFrame, with_text: bool = False, chunk_bytes: int = 1 << 20, oversample: int = 32) -> DataFrame:
-    """One row for each row of ``df(doc_id, text)``.
-
-    Columns: doc_id, the row's content key, n_bytes, n_removed, n_spans and kept_sha256; with
-    ``with_text`` the last column holds the remaining text instead (a character that lost
-    some of its bytes goes as a whole).
-    """
-    spark = df.sparkSession
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _each(batches):
+        blob, ids, lens = _chunk(row)
+        gone = _covered(len(blob), row["verdicts"] or [])
+        out: list[list] = [[] for _ in range(5)]
+        end = 0
+        for doc, n in zip(ids.tolist(), lens.tolist(), strict=True):
+            g, data = gone[end : end + n], blob[end : end + n]
+            end += n
+            removed = int(g.sum())
+            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
+            kept = hashlib.sha256(data[~g].tobytes() if removed else data.tobytes()).hexdigest()
+            for c, v in zip(out, (None if doc == NO_ID else doc, n, removed, spans, kept), strict=True):
+                c.append(v)
+        yield _batch(RESULT, *out)
+
+
+def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _each(batches):
+        blob, _, lens = _chunk(row)
+        gone = _covered(len(blob), row["verdicts"] or [])
+        texts, end = [], 0
+        for n in lens.tolist():
+            texts.append(blob[end : end + n][~gone[end : end + n]].tobytes().decode("utf-8", "ignore"))
+            end += n
+        rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
+        texts = pc.if_else(rest.column("is_null"), None, pa.array(texts, pa.string()))
+        for batch in rest.drop_columns("is_null").append_column("text", texts).combine_chunks().to_batches():
+            yield batch
+
+
+def _judged(rows: DataFrame, chunk_bytes: int, oversample: int) -> DataFrame:
+    """Chunks of ``rows`` with their verdicts."""
+    spark = rows.sparkSession
     n = shuffle_partitions(spark)
     parts = 4 * n
-    doc_id = F.col("doc_id").cast("long")
-    rows = df.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(doc_id, F.col("text")))
     table = f"chunks_{uuid.uuid4().hex}"
     rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS).write.format("parquet").bucketBy(n, "chunk").option("path", f"{scratch_dir(spark)}/{table}").saveAsTable(table)
     chunks = spark.table(table)
@@ -398,4 +412,36 @@ def remove_repeats(df: DataFrame, with_text: bool = False, chunk_bytes: int = 1
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask")).alias("answers"))
     contexts = chunks.select("chunk", "ids", "lens", "blob").join(told, "chunk", "left").mapInArrow(_contexts(parts, splitters), CONTEXTS)
     verdicts = contexts.groupBy("part").applyInArrow(_resolve, VERDICTS).groupBy("chunk").agg(F.collect_list(F.struct("pos", "mask")).alias("verdicts"))
-    return chunks.join(verdicts, "chunk", "left").mapInArrow(_apply(with_text), RESULT)
+    return chunks.join(verdicts, "chunk", "left")
+
+
+def _rows_of(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("k1"), F.lit(0).alias("k2"))
+
+
+def remove_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``df(doc_id, text)``."""
+    return _judged(_rows_of(df), chunk_bytes, oversample).select("ids", "lens", "blob", "verdicts").mapInArrow(_digests, RESULT)
+
+
+def without_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32) -> DataFrame:
+    """The rows of ``df`` with the repeated bytes taken from their texts.
+
+    A character that lost some of its bytes goes as a whole.  Other columns stay, but for
+    ``n_chars``, which is counted anew.
+    """
+    others = [c for c in df.columns if c != "text"]
+    named = {f"c{i}": c for i, c in enumerate(others)}
+    packed = df.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.lit(0).cast("long").alias("k1"),
+        F.lit(0).alias("k2"),
+        F.col("text").isNull().alias("is_null"),
+        *[F.col(f"`{c}`").alias(k) for k, c in named.items()],
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in named.items()), "text string"])
+    out = _judged(packed, chunk_bytes, oversample).select("lens", "blob", "verdicts", "rest", F.lit(b"").alias("ids")).mapInArrow(_remainders, schema)
+    columns = [F.col("text") if c == "text" else F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(next(k for k, v in named.items() if v == c)).alias(c) for c in df.columns]
+    return out.select(*columns)
