@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,28 @@ from .shared import cut
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest id reachable from each endpoint: (node, component).
 
-    Each round every node takes the least label around it and then its label's label, so
-    long chains close in about as many rounds as the logarithm of their length.  Rounds end
-    when nothing changes.  Labels and edges stay distributed; each round is cut.
+    Each round every node points to the least of itself and its neighbours, and then to
+    where that one points; edges move to the nodes pointed to, and those inside one node or
+    twice there go.  So the graph shrinks each round, and rounds end when no edge is left.
+    Pointers and edges stay distributed and every round is cut.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
-    while True:
-        around = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        hooked = cut(labels.join(around, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low")))
-        roots = hooked.select(F.col("node").alias("root"), F.col("low").alias("jump"))
-        jumped = cut(hooked.join(roots, F.col("low") == F.col("root"), "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("new"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved")))
-        labels = jumped.select("node", F.col("new").alias("label"))
-        if jumped.where("moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+    left = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct())
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = cut(ends.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("to")))
+        far = near.select(F.col("node").alias("mid"), F.col("to").alias("far"))
+        point = cut(near.join(far, F.col("to") == F.col("mid")).select("node", F.col("far").alias("to")))
+        rounds.append(point)
+        at = lambda side, point=point: point.select(F.col("node").alias(side), F.col("to").alias(f"{side}_to"))
+        moved = left.join(at("u"), "u").join(at("v"), "v")
+        left = cut(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).where("u < v").distinct())
+    if not rounds:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def follow(known: DataFrame, point: DataFrame) -> DataFrame:
+        """Where ``known`` leads one round later; what has no edge left stays."""
+        on = point.select(F.col("node").alias("at"), F.col("to").alias("next"))
+        return known.join(on, known["to"] == F.col("at"), "left").select("node", F.coalesce("next", "to").alias("to"))
+
+    return cut(reduce(follow, rounds[1:], rounds[0]).withColumnRenamed("to", "component"))

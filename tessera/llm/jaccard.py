@@ -283,7 +283,10 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
     answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask", "levels")).alias("answers"))
     docs = bucketed_table(chunks.join(told, "chunk", "left").mapInArrow(_candidates(width, buckets), DOCS), "sets", "doc", n)
-    sets = docs.where("tokens is not null")
+    # A class of equal sets goes by its smallest id, ``low``; one member that has its tokens at hand, ``rep``, stands for it.
+    classes = cut(docs.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("low"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc"))).alias("rep")))
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc"))
+    sets = docs.where("tokens is not null").join(reps, "doc", "left_semi")
 
     entries = sets.select("doc", "n", "tokens", "levels").mapInArrow(_index(buckets), ENTRIES)
     lists = scratch_table(entries.groupBy("bucket").applyInArrow(_lists, LISTS).distinct(), "lists")
@@ -296,32 +299,36 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
         two = one.join(sets.select(F.col("doc").alias("b"), side.alias("right")), "b")
         return cut(two.select("left", "right").mapInArrow(_verify, PAIRS).distinct())
 
-    classes = docs.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("b"), F.max("doc").alias("top")).where("b < top")
-    copies = docs.where("n > 0").join(classes, ["f1", "f2", "n"]).select(F.col("doc").alias("a"), "b").where("a <> b")
-    labels = connected(copies.unionByName(verify(pairs)))
+    lows = classes.where("rep is not null").select("rep", "low")
+
+    def named(links: DataFrame) -> DataFrame:
+        """Links of representatives as links of their classes."""
+        at = lambda side: lows.select(F.col("rep").alias(side), F.col("low").alias(f"{side}_low"))
+        return links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+
+    links = named(verify(pairs))
+    labels = connected(links)
 
     # What long lists leave open: pairs that cross components.
-    named = cut(members.join(labels, members["doc"] == labels["node"], "left").select("list", "doc", "n", F.coalesce("component", "doc").alias("comp")))
-    sizes = named.groupBy("list", "comp").agg(F.count("*").alias("m"))
+    where = lows.join(labels, lows["low"] == labels["node"], "left").select("rep", F.coalesce("component", "low").alias("comp"))
+    placed = cut(members.join(where, members["doc"] == where["rep"]).select("list", "doc", "n", "comp"))
+    sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("list").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    open_ = cut(named.join(main, "list"))
-    others = open_.where("comp <> main").select("list", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    # Lists with one main component have mostly the same members; their pairs are formed once.
+    open_ = cut(placed.join(main, "list").select("main", "doc", "n", "comp").distinct())
+    others = open_.where("comp <> main").select("main", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
     fits = 100 * F.least("n", "nx").cast("long") >= PERCENT * F.greatest("n", "nx").cast("long")
-    crossing = cut(others.join(open_, "list").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct())
+    crossing = cut(others.join(open_, "main").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct())
     if not crossing.isEmpty():
-        late = verify(crossing)
-        at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        merged = late.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = connected(merged).withColumnsRenamed({"node": "old", "component": "new"})
-        every = labels.unionByName(merged.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
-        labels = every.join(joined, every["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+        labels = connected(links.unionByName(named(verify(crossing))))
     null_id = lambda c: F.when(c != NO_ID, c)
-    return docs.join(labels, docs["doc"] == labels["node"], "left").select(
+    rows = docs.select("doc", "k1", "k2", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "low"), ["f1", "f2", "n"], "left")
+    return rows.join(labels, rows["low"] == labels["node"], "left").select(
         null_id(F.col("doc")).alias("doc_id"),
         F.col("k1").alias("_k1"),
         F.col("k2").alias("_k2"),
         F.col("n").cast("long").alias("n_shingles"),
-        null_id(F.coalesce("component", "doc")).alias("component_id"),
+        null_id(F.coalesce("component", "low", "doc")).alias("component_id"),
     )
 
 
