@@ -18,8 +18,9 @@ orders at once: a pair is verified only if it passes under every one.
 * Documents with equal sets form a class by fingerprint and are compared once per chunk.
 * A long list is not expanded into its pairs.  Neighbours by size are verified first; after
   components are known, only pairs that cross them remain, and of those only the ones with
-  a member outside the list's main component are formed.  Every pair of every list is so
-  either verified or already inside one component.
+  a member outside the list's main component.  They are verified block by block, where the
+  product of two incidence matrices gives all overlaps, so no pair becomes a row unless it
+  is a link.  Every pair of every list is so either verified or inside one component.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing; shorter
 texts than a shingle are one shingle as a whole; rows with one id count as one document for
@@ -45,6 +46,8 @@ from .suffixes import CHUNKS, NO_ID, _batch, _each, _parts_of, _to_chunks
 PERCENT = 75
 ORDERS = 3
 SHORT_LIST = 8
+#: Documents of a block in comparisons of long lists.
+BLOCK = 64
 
 REQUESTS = "chunk long, part int, low binary, high binary, counts binary"
 ANSWERS = "chunk long, part int, mask binary, levels binary"
@@ -269,6 +272,48 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``, by products of incidence matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not a or not b:
+        return out
+    known = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(known):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        k = np.minimum(np.searchsorted(known, at), len(known) - 1)
+        hit = known[k] == at
+        order = np.argsort(k[hit], kind="stable")
+        return rows[hit][order], k[hit][order]
+
+    sides = [places(a), places(b)]
+    for lo in range(0, len(known), step):
+        parts = []
+        for (rows, k), n in zip(sides, (len(a), len(b)), strict=True):
+            i, j = np.searchsorted(k, [lo, lo + step])
+            m = np.zeros((n, min(step, len(known) - lo)), np.float32)
+            m[rows[i:j], k[i:j] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between documents of two blocks that are in different components."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            both = overlaps(*[[np.frombuffer(d["tokens"], np.uint64) for d in side] for side in (left, right)])
+            n, m = (np.array([d["n"] for d in side], np.int64) for side in (left, right))
+            c, e = (np.array([d["comp"] for d in side], np.int64) for side in (left, right))
+            near = (100 * both >= PERCENT * (n[:, None] + m[None, :] - both)) & (c[:, None] != e[None, :])
+            a, b = (np.array([d["doc"] for d in side], np.int64) for side in (left, right))
+            x, y = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], names=["a", "b"])
+
+
 def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row for each row of ``df(doc_id, text)``: doc_id, its content key, n_shingles and component_id."""
     spark = df.sparkSession
@@ -316,11 +361,18 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
     main = sizes.groupBy("list").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     # Lists with one main component have mostly the same members; their pairs are formed once.
     open_ = cut(placed.join(main, "list").select("main", "doc", "n", "comp").distinct())
-    others = open_.where("comp <> main").select("main", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    fits = 100 * F.least("n", "nx").cast("long") >= PERCENT * F.greatest("n", "nx").cast("long")
-    crossing = cut(others.join(open_, "main").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct())
-    if not crossing.isEmpty():
-        labels = connected(links.unionByName(named(verify(crossing))))
+    if not open_.isEmpty():
+        # They are compared block by block: a block of all members with one of those outside the main component.
+        blocks = F.ceil(F.col("m") / BLOCK)
+        many = open_.groupBy("main").agg(F.count("*").alias("m"))
+        spread = F.pmod(F.xxhash64("doc"), blocks)
+        dealt = open_.join(many, "main").select("main", "doc", "comp", spread.alias("block")).join(sets.select("doc", "n", "tokens"), "doc")
+        pack = F.collect_list(F.struct("doc", "n", "comp", "tokens"))
+        every = dealt.groupBy("main", "block").agg(pack.alias("members"))
+        outside = dealt.where("comp <> main").groupBy("main", F.floor(F.col("block") / 4).alias("block")).agg(pack.alias("outside"))
+        late = cut(every.select("main", "members").join(outside.select("main", "outside"), "main").select("members", "outside").mapInArrow(_verify_blocks, PAIRS).distinct())
+        if not late.isEmpty():
+            labels = connected(links.unionByName(named(late)))
     null_id = lambda c: F.when(c != NO_ID, c)
     rows = docs.select("doc", "k1", "k2", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "low"), ["f1", "f2", "n"], "left")
     return rows.join(labels, rows["low"] == labels["node"], "left").select(
