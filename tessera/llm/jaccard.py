@@ -30,7 +30,6 @@ result; other columns are left alone.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import bucketed_table, cut, row_key, scratch_dir, scratch_table, shuffle_partitions
+from .shared import bucketed_table, cut, discard, row_key, scratch_scope, scratch_table, shuffle_partitions
 from .shingles import mix, shingle_sets
 from .suffixes import CHUNKS, NO_ID, _batch, _each, _parts_of, _to_chunks
 
@@ -321,13 +320,13 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
     buckets = 4 * n
     doc_id = F.col("doc_id").cast("long")
     rows = df.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(doc_id, F.col("text")))
-    table = f"{scratch_dir(spark)}/chunks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS).write.format("parquet").bucketBy(n, "chunk").option("path", table).saveAsTable(table.rpartition("/")[2])
-    chunks = spark.table(table.rpartition("/")[2])
-    asked = chunks.select("chunk", "lens", "blob").mapInArrow(_ask(width, buckets), REQUESTS)
-    answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
+    with scratch_scope() as early:
+        chunks = bucketed_table(rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS), "chunks", "chunk", n, deal=False)
+        asked = chunks.select("chunk", "lens", "blob").mapInArrow(_ask(width, buckets), REQUESTS)
+        answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask", "levels")).alias("answers"))
     docs = bucketed_table(chunks.join(told, "chunk", "left").mapInArrow(_candidates(width, buckets), DOCS), "sets", "doc", n)
+    discard(spark, early)
     # A class of equal sets goes by its smallest id, ``low``; one member that has its tokens at hand, ``rep``, stands for it.
     classes = cut(docs.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc").alias("low"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc"))).alias("rep")))
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"))

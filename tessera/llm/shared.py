@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -36,29 +37,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Paths made since the innermost :func:`scratch_scope` began.
+_made: list[list[str]] = [[]]
+
+
+@contextlib.contextmanager
+def scratch_scope():
+    """Collects the scratch paths made inside, for :func:`discard` once their results are written."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made[-2].extend(_made.pop())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_dir(spark)}/{name}_{uuid.uuid4().hex}"
+    _made[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        spark.sql(f"DROP TABLE IF EXISTS `{path.rpartition('/')[2]}`")
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` hash-bucketed by ``key``: later joins on it do not move these rows again."""
+def bucketed_table(df: DataFrame, name: str, key: str, buckets: int, deal: bool = True) -> DataFrame:
+    """Write ``df`` hash-bucketed by ``key``: later joins on it do not move these rows again.
+
+    ``deal``: rows go to their bucket's task first, so that a bucket is one file; without it
+    nothing is shuffled and each task writes its share of every bucket.
+    """
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    path = f"{scratch_dir(spark)}/{table}"
-    (
-        df.repartition(buckets, key)
-        .write.format("parquet")
-        .bucketBy(buckets, key)
-        .option("path", path)
-        .saveAsTable(table)
-    )
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2]
+    rows = df.repartition(buckets, key) if deal else df
+    rows.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

@@ -31,7 +31,6 @@ empty table gives an empty result; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch_dir, scratch_table, shuffle_partitions
+from .shared import bucketed_table, scratch_table, shuffle_partitions
 
 LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
@@ -399,9 +398,7 @@ def _judged(rows: DataFrame, chunk_bytes: int, oversample: int) -> DataFrame:
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
     parts = 4 * n
-    table = f"chunks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS).write.format("parquet").bucketBy(n, "chunk").option("path", f"{scratch_dir(spark)}/{table}").saveAsTable(table)
-    chunks = spark.table(table)
+    chunks = bucketed_table(rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS), "chunks", "chunk", n, deal=False)
 
     asked = chunks.select("chunk", "lens", "blob", F.lit(b"").alias("ids")).mapInArrow(_ask(parts), REQUESTS)
     answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
