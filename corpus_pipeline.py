@@ -7,13 +7,14 @@ the stage at work.  All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, mixing, packing, quality, suffixes
-from tessera.llm.shared import scratch_dir
+from tessera.llm.shared import discard, scratch_dir, scratch_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +44,30 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Scratch tables behind the result of the last stage called.
+_behind: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, which first drops the scratch tables of the stage before: its result is written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _behind)
+        with scratch_scope() as made:
+            out = stage(spark, docs, sf_dir)
+        _behind[:] = made
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("suffix-array dedup", repeated_passages),
-    ("mixing sources", source_mix),
-    ("best-fit packing", packed),
+    ("quality rules", tidy(quality_rules)),
+    ("n-gram Jaccard join", tidy(near_duplicates)),
+    ("suffix-array dedup", tidy(repeated_passages)),
+    ("mixing sources", tidy(source_mix)),
+    ("best-fit packing", tidy(packed)),
 ]
 
 #: The quality stage iterates to a fixed point, and near copies need components: tests compare with brute force.
