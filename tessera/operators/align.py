@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cube import KEYS, Cube
@@ -33,12 +33,22 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], value: str, meth
     return out.select(*on, "time", *([f"_l.{c}" for c in rest]), v.alias(value))
 
 
+def nearest(axis: str, value: Column) -> Column:
+    """The element of an array column nearest to a value, the smaller of equals."""
+    return F.array_min(F.transform(axis, lambda c: F.struct(F.abs(c - value).cast("double").alias("d"), c.alias("c"))))["c"]
+
+
+def brackets(axis: str, value: Column) -> tuple[Column, Column]:
+    """The last element up to a value and the first from it on."""
+    return F.array_max(F.filter(axis, lambda c: c <= value)), F.array_min(F.filter(axis, lambda c: c >= value))
+
+
 def nearest_cell(points: DataFrame, cube: Cube, columns: tuple[str, str] = ("lat", "lon")) -> DataFrame:
     """Points with the coordinates ``y, x`` of the nearest cell; the axes, not the cells, are sent around."""
     out = points
     for axis, column in zip(("y", "x"), columns, strict=True):
         coords = cube.df.select(axis).distinct().agg(F.sort_array(F.collect_list(axis)).alias("_axis"))
-        near = F.array_min(F.transform("_axis", lambda c, column=column: F.struct(F.abs(c - F.col(column)).alias("d"), c.alias("c"))))["c"]
+        near = nearest("_axis", F.col(column))
         out = out.crossJoin(F.broadcast(coords)).withColumn(axis, near).drop("_axis")
     return out
 
@@ -48,8 +58,7 @@ def bilinear(points: DataFrame, cube: Cube) -> DataFrame:
     out = points
     for axis in ("y", "x"):
         coords = cube.df.select(axis).distinct().agg(F.sort_array(F.collect_list(F.col(axis).cast("double"))).alias("_axis"))
-        below = F.array_max(F.filter("_axis", lambda c, a=axis: c <= F.col(f"p{a}")))
-        above = F.array_min(F.filter("_axis", lambda c, a=axis: c >= F.col(f"p{a}")))
+        below, above = brackets("_axis", F.col(f"p{axis}"))
         out = out.crossJoin(F.broadcast(coords)).withColumns({f"{axis}0": below, f"{axis}1": above}).drop("_axis")
     share = lambda a: F.coalesce(F.try_divide(F.col(f"p{a}") - F.col(f"{a}0"), F.nullif(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(0.0))), F.lit(0.0))
     wy, wx = share("y"), share("x")

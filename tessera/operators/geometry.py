@@ -45,7 +45,8 @@ def area(ring: Column) -> Column:
 
 
 def bounds(ring: Column) -> dict[str, Column]:
-    return {f"{n}_{c}": f(F.transform(ring, lambda p, c=c: p[c])) for c in ("x", "y") for n, f in (("min", F.array_min), ("max", F.array_max))}
+    along = {"x": F.transform(ring, lambda p: p["x"]), "y": F.transform(ring, lambda p: p["y"])}
+    return {f"{n}_{c}": f(v) for c, v in along.items() for n, f in (("min", F.array_min), ("max", F.array_max))}
 
 
 def centroid(ring: Column) -> tuple[Column, Column]:

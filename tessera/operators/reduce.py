@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import compare, quantile, steps
 from ..plans.cube import KEYS, PIXEL, POSITIONS, Cube, dense
 from ..plans.pipe import verb
+from .align import nearest
 
 DIMS = {"time": ("time", "t_idx"), "y": ("y", "y_idx"), "x": ("x", "x_idx")}
 
@@ -212,6 +213,10 @@ def kelvin_to_celsius(v: Column) -> Column:
     return v - 273.15
 
 
+def _nearest_day(axis: str, day: Column) -> Column:
+    return F.array_min(F.transform(axis, lambda c: F.struct(F.abs(F.datediff(c, day)).alias("d"), c.alias("c"))))["c"]
+
+
 def rasterize(points: DataFrame, grid: Cube, how: str = "sum") -> DataFrame:
     """Points ``(time, y, x, value)`` reduced on the nearest cells of a grid; cells without points are null.
 
@@ -222,8 +227,7 @@ def rasterize(points: DataFrame, grid: Cube, how: str = "sum") -> DataFrame:
     p = points.select(*KEYS, "value")
     for axis in KEYS:
         coords = grid.df.select(F.col(axis).alias("_c")).distinct().agg(F.sort_array(F.collect_list("_c")).alias("_axis"))
-        gap = (lambda c, a=axis: F.abs(F.datediff(c, F.col(a))).cast("double")) if axis == "time" else (lambda c, a=axis: F.abs(c - F.col(a)).cast("double"))
-        near = F.array_min(F.transform("_axis", lambda c, gap=gap: F.struct(gap(c).alias("d"), c.alias("c"))))["c"]
+        near = _nearest_day("_axis", F.col(axis)) if axis == "time" else nearest("_axis", F.col(axis))
         p = p.crossJoin(F.broadcast(coords)).withColumn(axis, near).drop("_axis")
     value = {"sum": F.sum("value"), "mean": F.avg("value"), "count": F.count("value").cast("double")}[how]
     return grid.df.select(*KEYS).join(p.groupBy(*KEYS).agg(value.alias("value")), [*KEYS], "left")

@@ -79,20 +79,20 @@ def windows(cube: Cube, window: str | int | None, ends: list | None = None, stri
 
 
 def tail_spearman(pairs: DataFrame, keys: list[str], b: float = 0.5, min_t: int = 3) -> DataFrame:
-    """Rank correlation of ``x`` and ``y`` inside the common lower and the common upper tail of each group.
+    """Rank correlation of ``u`` and ``v`` inside the common lower and the common upper tail of each group.
 
     Lower: both at most their b-quantile; upper: both above their (1 - b)-quantile.  A tail
     with fewer than ``min_t`` pairs is null.  Returns keys, bottom, top and bottom_minus_top.
     """
     w = Window.partitionBy(*keys)
-    full = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    cut = full.select(*keys, "x", "y", *[F.percentile(c, F.lit(q)).over(w).alias(f"_{c}{n}") for c in ("x", "y") for n, q in (("lo", b), ("hi", 1 - b))])
-    low = (F.col("x") <= F.col("_xlo")) & (F.col("y") <= F.col("_ylo"))
-    high = (F.col("x") > F.col("_xhi")) & (F.col("y") > F.col("_yhi"))
-    tails = cut.select(*keys, "x", "y", F.explode(F.array_compact(F.array(F.when(low, "bottom"), F.when(high, "top")))).alias("tail"))
+    full = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    cut = full.select(*keys, "u", "v", *[F.percentile(c, F.lit(q)).over(w).alias(f"_{c}{n}") for c in ("u", "v") for n, q in (("lo", b), ("hi", 1 - b))])
+    low = (F.col("u") <= F.col("_ulo")) & (F.col("v") <= F.col("_vlo"))
+    high = (F.col("u") > F.col("_uhi")) & (F.col("v") > F.col("_vhi"))
+    tails = cut.select(*keys, "u", "v", F.explode(F.array_compact(F.array(F.when(low, "bottom"), F.when(high, "top")))).alias("tail"))
     group = [*keys, "tail"]
-    ranked = tails.select(*group, average_rank(F.col("x"), group).alias("rx"), average_rank(F.col("y"), group).alias("ry"))
-    scored = ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= min_t, pearson(F.col("rx"), F.col("ry"))).alias("r"))
+    ranked = tails.select(*group, average_rank(F.col("u"), group).alias("ru"), average_rank(F.col("v"), group).alias("rv"))
+    scored = ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= min_t, pearson(F.col("ru"), F.col("rv"))).alias("r"))
     both = scored.groupBy(*keys).agg(*[F.max(F.when(F.col("tail") == t, F.col("r"))).alias(t) for t in ("bottom", "top")])
     every = pairs.select(*keys).distinct()
     return every.join(both, keys, "left").withColumn("bottom_minus_top", F.col("bottom") - F.col("top"))
@@ -104,7 +104,7 @@ def median_split_synchrony(cube: Cube, window: str | int | None = "90D", b: floa
     w = windows(cube, window, ends, stride)
     enough = w.groupBy("window_end").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_t).select("window_end")
     cells = cube.df.join(center_pixel(cube).select("t_idx", "center"), "t_idx")
-    pairs = w.join(enough, "window_end").join(cells, "t_idx").select("window_end", *PIXEL, F.col(cube.variable).alias("x"), F.col("center").alias("y"))
+    pairs = w.join(enough, "window_end").join(cells, "t_idx").select("window_end", *PIXEL, F.col(cube.variable).alias("u"), F.col("center").alias("v"))
     return tail_spearman(pairs, ["window_end", *PIXEL], b, min_t)
 
 
@@ -114,10 +114,10 @@ def ghosh_tails(pairs: DataFrame, keys: list[str], bands: int = 2) -> DataFrame:
     Ranks are rank / (n + 1).  A band takes the pairs whose rank sum lies between two
     diagonals; its share of the covariance uses the mean and variance of all ranks.
     """
-    full = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    full = pairs.where(F.col("u").isNotNull() & F.col("v").isNotNull())
     w = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(w)
-    u = full.select(*keys, (average_rank(F.col("x"), keys) / (n + 1)).alias("u"), (average_rank(F.col("y"), keys) / (n + 1)).alias("v"))
+    u = full.select(*keys, (average_rank(F.col("u"), keys) / (n + 1)).alias("u"), (average_rank(F.col("v"), keys) / (n + 1)).alias("v"))
     m = u.select(*keys, "u", "v", *[f(c).over(w).alias(f"{p}{c}") for c in ("u", "v") for p, f in (("m", F.avg), ("s", F.var_samp))], F.count(F.lit(1)).over(w).alias("n"))
     total = F.col("u") + F.col("v")
     band = F.least(F.floor(total / 2 * bands), F.lit(bands - 1)).cast("int")

@@ -60,7 +60,7 @@ def spatial_pairs(cube: Cube, mode: str = "reference", reference: tuple[int, int
     if mode == "neighbors" and radius_km is not None:
         pairs = pairs.where(F.col("distance") <= radius_km)
     if mode == "neighbors" and k is not None:
-        near = Window.partitionBy("_from").orderBy("distance", "_to")
+        near = Window.partitionBy("_from").orderBy(F.round("distance", 9), "_to")
         ends = pairs.select("source", "target", "distance", F.explode(F.array(F.struct(F.col("source").alias("_from"), F.col("target").alias("_to")), F.struct(F.col("target").alias("_from"), F.col("source").alias("_to")))).alias("_e")).select("source", "target", "distance", "_e.*")
         nearest = ends.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k).select("source", "target").distinct()
         pairs = pairs.join(nearest, ["source", "target"], "left_semi")

@@ -103,13 +103,14 @@ def write_batches(spark: SparkSession, batches: dict[str, Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
-def demo_cells(spark: SparkSession, sf_dir: str, event_type: str = "view") -> DataFrame:
-    """Daily means of one kind of event on a grid of users."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == event_type)
+def demo_cells(spark: SparkSession, sf_dir: str, event_type: str | None = "view") -> DataFrame:
+    """Daily means of one kind of event, or of all, on a grid of users."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e if event_type is None else e.where(F.col("event_type") == event_type)
     return e.groupBy(F.to_date("ts").alias("time"), (F.col("user_id") % 5).alias("y"), F.floor(F.col("user_id") / 5).alias("x")).agg(F.avg("value").alias("value"))
 
 
-def demo_cube(spark: SparkSession, sf_dir: str, event_type: str = "view") -> Cube:
+def demo_cube(spark: SparkSession, sf_dir: str, event_type: str | None = "view") -> Cube:
     return dense(demo_cells(spark, sf_dir, event_type), attrs={"source": "events", "is_synthetic": True})
 
 
@@ -122,3 +123,9 @@ def demo_vase(spark: SparkSession, times: list, half: float = 3.0, center: tuple
         rows.append((t, [{"x": cx + sx * h, "y": cy + sy * h} for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]))
     kind = "date" if hasattr(times[0], "year") and not hasattr(times[0], "hour") else "timestamp_ntz"
     return spark.createDataFrame(rows, f"time {kind}, ring array<struct<x:double,y:double>>")
+
+
+def band_cube_cells(spark: SparkSession, sf_dir: str, bands: list[str]) -> DataFrame:
+    """Daily means per kind of event as cells with a band."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type").isin(bands))
+    return e.groupBy(F.to_date("ts").alias("time"), (F.col("user_id") % 5).alias("y"), F.floor(F.col("user_id") / 5).alias("x"), F.col("event_type").alias("band")).agg(F.avg("value").alias("value"))
