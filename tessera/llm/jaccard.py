@@ -34,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import bucketed_table, cut, discard, row_key, scratch_scope, scratch_table, shuffle_partitions
+from .shared import bucketed_table, cut, discard, row_key, scratch_scope, scratch_table, shuffle_partitions, unpacked, with_key
 from .shingles import mix, shingle_sets
 from .suffixes import CHUNKS, NO_ID, _batch, _each, _parts_of, _to_chunks
 
@@ -384,9 +384,8 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
 
 
 def keep_one(df: DataFrame, width: int = 5) -> DataFrame:
-    """One row of each component of ``df``: a row of its smallest id, with all columns; rows without shingles all stay."""
+    """One row of each component of ``df``: a row of its smallest id, with all columns; rows without shingles stay, and of repeated rows one."""
     found = join_components(df, width)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k1", "_k2").distinct()
-    doc_id = F.col("doc_id").cast("long")
-    keyed = df.withColumns(dict(zip(("_k1", "_k2"), row_key(doc_id, F.col("text")), strict=True)))
-    return keyed.join(stay, ["_k1", "_k2"], "left_semi").select(*df.columns)
+    first = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
+    return unpacked(with_key(df, "doc_id", "text").join(stay, ["_k1", "_k2"], "left_semi").withColumn("_nth", first).where("_nth = 1"), df.columns)

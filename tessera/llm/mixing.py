@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, row_key, word_count
+from .shared import WORD, cut, row_key, unpacked, with_key, word_count
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -90,17 +90,12 @@ def plan_mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, the row at a cut shortened to its words."""
-    keyed = df.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id").cast("long"), F.col("source"), F.col("text")), strict=True)))
     # Repeated rows have one key; counted within it, each gets the share of one of them.
     nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
     plan = plan_mix(df, **options).withColumn("_nth", nth).where("taken > 0").select("_k1", "_k2", "_nth", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    first = keyed.withColumn("_nth", nth)
-    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    rows = with_key(df, "doc_id", "source", "text").withColumn("_nth", nth).join(plan, ["_k1", "_k2", "_nth"])
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)))
     words = F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size"))
-    return (
-        first.join(plan, ["_k1", "_k2", "_nth"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)))
-        .withColumn("text", F.when(words < F.col("_size"), F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(F.col("text")))
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .select(*df.columns)
-    )
+    pieces = F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(words < F.col("_size"), F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(F.col("row.text"))
+    return unpacked(rows, df.columns, text=text, n_chars=F.length(text).cast("long"))

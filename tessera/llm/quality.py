@@ -21,7 +21,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, row_key
+from .shared import WORD, cut, row_key, unpacked, with_key
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -74,7 +74,7 @@ def rules() -> dict[str, Column]:
     """The votes: 1 good, 0 bad, null for abstaining."""
     symbols, upper, excl = _ratio("n_symbols", "n_words"), _ratio("q_upper", "word_chars"), _ratio("q_excl", "n_words")
     dup, rep, ended = _ratio("n_dup_lines", "q_n_lines"), _ratio("n_repeat_words", "n_words"), _ratio("q_ended", "q_n_lines")
-    length, variety = _ratio("word_chars", "n_words"), F.col("q_distinct") / F.sqrt(F.col("n_words").cast("double"))
+    length, variety = _ratio("word_chars", "n_words"), F.try_divide(F.col("q_distinct"), F.sqrt(F.col("n_words").cast("double")))
     return {
         "symbols": _vote(symbols, symbols < 0.05, symbols > 0.2),
         "capitals": _vote(upper, upper < 0.15, upper > 0.3),
@@ -145,5 +145,4 @@ def judge(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns."""
     kept = judge(df, threshold).where("kept").select("_k1", "_k2").distinct()
-    keyed = df.withColumns(dict(zip(("_k1", "_k2"), row_key(F.col("doc_id").cast("long"), F.col("text")), strict=True)))
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").select(*df.columns)
+    return unpacked(with_key(df, "doc_id", "text").join(kept, ["_k1", "_k2"], "left_semi"), df.columns)

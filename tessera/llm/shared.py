@@ -101,3 +101,14 @@ def row_key(*columns: Column) -> list[Column]:
     """Two hashes that name a row by its content (96 bits); nulls are values like others."""
     marked = [F.struct(c.isNull().alias("n"), c.alias("v")) for c in columns]
     return [F.xxhash64(*marked).alias("_k1"), F.hash(*marked).alias("_k2")]
+
+
+def with_key(df: DataFrame, *names: str) -> DataFrame:
+    """(row, _k1, _k2): rows as structs, whatever their columns are called, with the key of some of these."""
+    columns = [F.col("doc_id").cast("long") if n == "doc_id" else F.col(n) for n in names]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *row_key(*columns))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row`` again, some of them changed."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in columns])
