@@ -13,16 +13,18 @@ from .shared import cut
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest id reachable from each endpoint: (node, component).
 
-    Each round every node points to the least of itself and its neighbours, and then to
-    where that one points; edges move to the nodes pointed to, and those inside one node or
-    twice there go.  So the graph shrinks each round, and rounds end when no edge is left.
-    Pointers and edges stay distributed and every round is cut.
+    Each round every node points to the one of least hash among itself and its neighbours,
+    and then to where that one points; edges move to the nodes pointed to, and those inside
+    one node or twice there go.  The hash is another one every round, so in expectation a
+    share of the nodes goes each round whatever the shape of the graph, long paths included.
+    Rounds end when no edge is left; pointers and edges stay distributed, every round is cut.
     """
     left = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct())
     rounds: list[DataFrame] = []
     while not left.isEmpty():
+        ranked = lambda c, k=len(rounds): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("id"))
         ends = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = cut(ends.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("to")))
+        near = cut(ends.groupBy("u").agg(F.min(ranked("v")).alias("low")).select(F.col("u").alias("node"), F.least(ranked("u"), "low")["id"].alias("to")))
         far = near.select(F.col("node").alias("mid"), F.col("to").alias("far"))
         point = cut(near.join(far, F.col("to") == F.col("mid")).select("node", F.col("far").alias("to")))
         rounds.append(point)
@@ -37,4 +39,6 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         on = point.select(F.col("node").alias("at"), F.col("to").alias("next"))
         return known.join(on, known["to"] == F.col("at"), "left").select("node", F.coalesce("next", "to").alias("to"))
 
-    return cut(reduce(follow, rounds[1:], rounds[0]).withColumnRenamed("to", "component"))
+    rooted = cut(reduce(follow, rounds[1:], rounds[0]))
+    least = rooted.groupBy("to").agg(F.min("node").alias("component"))
+    return cut(rooted.join(least, "to").select("node", "component"))

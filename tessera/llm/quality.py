@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, cut, row_key, unpacked, with_key
 
 SYMBOLS = r"[#*$%&|<>]"
+#: A word of letters, with quotes or brackets around it and punctuation after it.
+PLAIN = r"^[\"'“„«(¿¡]*\p{L}[\p{L}'’-]*[\"'”“»).,;:!?…]{0,3}$"
 
 
 def with_counts(df: DataFrame) -> DataFrame:
@@ -41,6 +43,8 @@ def with_counts(df: DataFrame) -> DataFrame:
             "q_upper": F.length(F.regexp_replace("q_text", r"[^\p{Lu}]+", "")).cast("long"),
             "q_excl": (F.length("q_text") - F.length(F.regexp_replace("q_text", "!", ""))).cast("long"),
             "q_ended": F.size(F.filter("q_lines", lambda x: F.rlike(x, F.lit(r"[.?!:;\"”»)][\x20\x09-\x0D]*$")))).cast("long"),
+            "q_letters": F.length(F.regexp_replace("q_text", r"\P{L}+", "")).cast("long"),
+            "q_plain": F.size(F.filter("q_words", lambda w: F.rlike(w, F.lit(PLAIN)))).cast("long"),
             "q_distinct": F.size(F.array_distinct("q_words")).cast("long"),
             "q_grams": F.when(
                 F.size("q_words") >= 3,
@@ -74,6 +78,7 @@ def rules() -> dict[str, Column]:
     """The votes: 1 good, 0 bad, null for abstaining."""
     symbols, upper, excl = _ratio("n_symbols", "n_words"), _ratio("q_upper", "word_chars"), _ratio("q_excl", "n_words")
     dup, rep, ended = _ratio("n_dup_lines", "q_n_lines"), _ratio("n_repeat_words", "n_words"), _ratio("q_ended", "q_n_lines")
+    letters, plain = _ratio("q_letters", "word_chars"), _ratio("q_plain", "n_words")
     length, variety = _ratio("word_chars", "n_words"), F.try_divide(F.col("q_distinct"), F.sqrt(F.col("n_words").cast("double")))
     return {
         "symbols": _vote(symbols, symbols < 0.05, symbols > 0.2),
@@ -82,6 +87,8 @@ def rules() -> dict[str, Column]:
         "duplicate_lines": _vote(dup, dup < 0.15, dup > 0.35),
         "repetition": _vote(rep, rep < 0.2, rep > 0.35),
         "endings": _vote(ended, ended > 0.5, ended < 0.1),
+        "letters": _vote(letters, letters > 0.93, letters < 0.88),
+        "plain_words": _vote(plain, plain > 0.9, plain < 0.7),
         "word_length": _vote(length, (length > 3) & (length < 9), (length < 2.2) | (length > 14)),
         "variety": _vote(variety, variety > 4, variety < 2),
     }
@@ -96,12 +103,13 @@ def fit(patterns: dict[tuple, int], n_rules: int, rounds: int = 200) -> tuple[fl
 
     Returns the log-odds of the prior and, for each rule, the log-odds that a good and a bad
     vote add, with the estimated accuracies on good and on bad documents.  It starts from
-    the assumption that documents with a bad vote are bad, which fixes the classes' meaning.
+    the assumption that documents with several bad votes are bad, which fixes the classes'
+    meaning; a single one is left open.
     """
     total = sum(patterns.values())
     if not total:
         return 0.0, [(0.0, 0.0, 0.5, 0.5)] * n_rules
-    good = {p: 0.05 if 0 in p else 0.95 for p in patterns}
+    good = {p: (0.95, 0.6, 0.05)[min(2, p.count(0))] for p in patterns}
     prior, odds = 0.0, []
     for _ in range(rounds):
         mass = sum(n * good[p] for p, n in patterns.items())
