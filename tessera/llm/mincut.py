@@ -58,10 +58,10 @@ WEIGHTS = {
     "bias": -1.0,
     "good_tag": 4.0,
     "good_name": 1.5,
-    "bad_tag": -9.0,
-    "bad_name": -9.0,
-    "page_header": -9.0,
-    "hidden": -20.0,
+    "bad_tag": -20.0,
+    "bad_name": -20.0,
+    "page_header": -20.0,
+    "hidden": -30.0,
     "links": -4.0,
     "words": 0.9,  # for each doubling of the words, up to 64
     "sentence": 0.8,
