@@ -219,8 +219,10 @@ def test_overlaps():
 
 def test_connected_path_and_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    out = dict(collect(connected(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
-    assert out == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 130)}}
+    for last in (5, 1000):
+        out = dict(collect(connected(spark.createDataFrame(edges, "a long, b long"), last_edges=last), "node", "component"))
+        assert out == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 130)}}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # Main text.
