@@ -79,7 +79,7 @@ def blocked_cv(df: DataFrame, x: list[str], y: str, block: str, alpha: float = 0
         n, sy, syy = held[0, 0], held[0, p], held[p, p]
         sse = syy - 2 * beta @ held[:p, p] + beta @ held[:p, :p] @ beta
         sst = syy - sy**2 / n
-        out.append((str(k), int(n), float(1 - sse / sst) if sst > 0 else None))
+        out.append((str(k), int(n), float(1 - sse / sst) if n > 1 and sst > 1e-9 * syy else None))
     return spark.createDataFrame(out, "block string, n long, r2 double")
 
 

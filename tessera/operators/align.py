@@ -60,7 +60,7 @@ def bilinear(points: DataFrame, cube: Cube) -> DataFrame:
         coords = cube.df.select(axis).distinct().agg(F.sort_array(F.collect_list(F.col(axis).cast("double"))).alias("_axis"))
         below, above = brackets("_axis", F.col(f"p{axis}"))
         out = out.crossJoin(F.broadcast(coords)).withColumns({f"{axis}0": below, f"{axis}1": above}).drop("_axis")
-    share = lambda a: F.coalesce(F.try_divide(F.col(f"p{a}") - F.col(f"{a}0"), F.nullif(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(0.0))), F.lit(0.0))
+    share = lambda a: F.when(F.col(f"{a}0").isNotNull() & F.col(f"{a}1").isNotNull(), F.coalesce(F.try_divide(F.col(f"p{a}") - F.col(f"{a}0"), F.nullif(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(0.0))), F.lit(0.0)))
     wy, wx = share("y"), share("x")
     corner = F.explode(F.array(*[F.struct(F.col(f"y{i}").alias("y"), F.col(f"x{j}").alias("x"), ((wy if i else 1 - wy) * (wx if j else 1 - wx)).alias("w")) for i in (0, 1) for j in (0, 1)]))
     cells = cube.df.select("time", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col(cube.variable).alias("_v"))

@@ -361,7 +361,7 @@ def bootstrap_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("blocked_cv_ols", """, d AS (SELECT region, duration_days AS p, total_area_km2 AS q FROM trait), s AS (SELECT region, count(*) AS n, sum(p) AS sp, sum(q) AS sq, sum(p * p) AS spp, sum(p * q) AS spq, sum(q * q) AS sqq FROM d GROUP BY 1),
 t AS (SELECT s.*, (SELECT sum(n) FROM s) - n AS tn, (SELECT sum(sp) FROM s) - sp AS tp, (SELECT sum(sq) FROM s) - sq AS tq, (SELECT sum(spp) FROM s) - spp AS tpp, (SELECT sum(spq) FROM s) - spq AS tpq FROM s),
 b AS (SELECT *, (tn * tpq - tp * tq) / (tn * tpp - tp * tp) AS slope FROM t), c AS (SELECT *, (tq - slope * tp) / tn AS icept FROM b)
-SELECT region AS block, n, round(1 - (sqq - 2 * (icept * sq + slope * spq) + icept * icept * n + 2 * icept * slope * sp + slope * slope * spp) / (sqq - sq * sq / n), 6) AS r2 FROM c""")
+SELECT region AS block, n, CASE WHEN n > 1 AND sqq - sq * sq / n > 1e-9 * sqq THEN round(1 - (sqq - 2 * (icept * sq + slope * spq) + icept * icept * n + 2 * icept * slope * sp + slope * slope * spp) / (sqq - sq * sq / n), 6) END AS r2 FROM c""")
 def blocked_cv_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.blocked_cv(traits(spark, sf_dir), ["duration_days"], "total_area_km2", "region")
 
