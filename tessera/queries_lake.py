@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .lake import keys, tables
 from .ml import models
-from .operators import geometry, population, reduce, tubes
+from .operators import align, exposure, geometry, population, reduce, tubes
 from .oracles import finished, rounded
 from .queries_cube import cube_sql
 from .sources.cubes import demo_cube, demo_vase
@@ -328,6 +328,72 @@ def hull_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.hull_metrics(vase, ["event_id"])
 
 
+# Exposure.
+
+
+@query("group_anomaly", ", m AS (SELECT *, month(timestamp) AS mo, fire_id % 4 AS reg FROM sl) SELECT fire_id, slice_index, round(median(ring_area_km2) OVER (PARTITION BY reg, mo), 6) AS ring_area_km2_median, round(ring_area_km2 - median(ring_area_km2) OVER (PARTITION BY reg, mo), 6) AS ring_area_km2_anomaly FROM m")
+def group_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = slices(spark, sf_dir).withColumns({"mo": F.month("timestamp"), "reg": F.col("fire_id") % 4})
+    return exposure.group_anomaly(s, ["reg", "mo"], "ring_area_km2").select("fire_id", "slice_index", "ring_area_km2_median", "ring_area_km2_anomaly")
+
+
+@query("extreme_flags", " SELECT fire_id, total_area_km2 >= (SELECT quantile_cont(total_area_km2, 0.9) FROM trait) AS total_area_km2_high, duration_days <= (SELECT quantile_cont(duration_days, 0.1) FROM trait) AS duration_days_low FROM trait")
+def extreme_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.extreme_flags(traits(spark, sf_dir), ["total_area_km2"], ["duration_days"]).select("fire_id", "total_area_km2_high", "duration_days_low")
+
+
+@query("terminal_features", """, t AS (SELECT fire_id, ring_area_km2 AS v, row_number() OVER (PARTITION BY fire_id ORDER BY slice_index DESC) AS b, avg(ring_area_km2) OVER p AS m, stddev_pop(ring_area_km2) OVER p AS s, count(*) OVER p AS n,
+rank() OVER (PARTITION BY fire_id ORDER BY ring_area_km2) + (count(*) OVER (PARTITION BY fire_id, ring_area_km2) - 1) / 2.0 AS r FROM sl WINDOW p AS (PARTITION BY fire_id))
+SELECT fire_id, round(CASE WHEN any_value(n) > 1 THEN regr_slope(v, -b) FILTER (b <= 3) END, 6) AS terminal_slope, round(max(v) FILTER (b = 1), 6) AS terminal_value, round(max((v - m) / s) FILTER (b = 1 AND s > 0), 6) AS terminal_z, round(max(r / n) FILTER (b = 1), 6) AS terminal_rank FROM t GROUP BY 1""")
+def terminal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.terminal_features(slices(spark, sf_dir), ["fire_id"], "slice_index", "ring_area_km2")
+
+
+@query("effect_table", ", r AS (SELECT rank() OVER (ORDER BY duration_days) + (count(*) OVER (PARTITION BY duration_days) - 1) / 2.0 AS a, rank() OVER (ORDER BY total_area_km2) + (count(*) OVER (PARTITION BY total_area_km2) - 1) / 2.0 AS b FROM trait) SELECT 'duration_days' AS predictor, 'total_area_km2' AS response, count(*) AS n, CASE WHEN count(*) >= 100 THEN round(corr(a, b), 6) END AS rho FROM r")
+def effect_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.effect_table(traits(spark, sf_dir), ["duration_days"], ["total_area_km2"])
+
+
+_BURNED = "b AS (SELECT user_id % 3 AS event_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, user_id % 5 AS y, CAST(floor(user_id / 5) AS BIGINT) AS x FROM events WHERE event_type = 'error'), f AS (SELECT event_id, y, x, min(day) AS reached FROM b GROUP BY 1, 2, 3), gr AS (SELECT DISTINCT user_id % 5 AS y, CAST(floor(user_id / 5) AS BIGINT) AS x FROM events), d AS (SELECT DISTINCT event_id, day FROM b WHERE day % 10 = 0)"
+
+
+@query("exposure_zones", f"""{_BURNED}, z AS (SELECT d.event_id, d.day, gr.y, gr.x, (SELECT reached FROM f WHERE f.event_id = d.event_id AND f.y = gr.y AND f.x = gr.x) AS reached, min(n.reached) AS near FROM d CROSS JOIN gr JOIN f n ON n.event_id = d.event_id AND abs(n.y - gr.y) <= 1 AND abs(n.x - gr.x) <= 1 GROUP BY 1, 2, 3, 4),
+u AS (SELECT event_id, day, 'active' AS zone FROM z WHERE reached = day UNION ALL SELECT event_id, day, 'cumulative' FROM z WHERE reached <= day UNION ALL SELECT event_id, day, 'extension' FROM z WHERE near <= day AND (reached IS NULL OR reached > day)) SELECT event_id, day, zone, count(*) AS n_cells FROM u GROUP BY 1, 2, 3""", base="")
+def exposure_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.datediff("ts", F.lit("2024-01-01")).alias("day"), (F.col("user_id") % 3).alias("event_id"), (F.col("user_id") % 5).alias("y"), F.floor(F.col("user_id") / 5).alias("x"))
+    burned = e.where("event_type = 'error'").drop("event_type")
+    days = burned.where("day % 10 = 0").select("event_id", "day").distinct()
+    return exposure.exposure_zones(burned, e.select("y", "x").distinct(), days, 1).groupBy("event_id", "day", "zone").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query("zone_summary", cube_sql(None) + " SELECT y_idx // 2 AS zone, time, round(avg(value), 6) AS value_mean, round(min(value), 6) AS value_minimum, round(max(value), 6) AS value_maximum, round(stddev_pop(value), 6) AS value_std, count(value) AS sample_cell_count FROM cube GROUP BY 1, 2", base="")
+def zone_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = demo_cube(spark, sf_dir, None).df.withColumn("zone", F.floor(F.col("y_idx") / 2).cast("int"))
+    return exposure.zone_summary(cells, ["zone", "time"], "value")
+
+
+@query("environmental_roles", cube_sql(None) + ", p AS (SELECT *, lag(value) OVER (PARTITION BY y, x ORDER BY t_idx) AS b FROM cube), s AS (SELECT y, x, CAST(count(value + b) AS DOUBLE) AS n, stddev_pop(value) AS sd, stddev_pop(value - b) AS st, avg(value) FILTER (b IS NOT NULL) AS ma, avg(b) FILTER (value IS NOT NULL) AS mb, avg(value * b) AS mab, avg(value * value) FILTER (b IS NOT NULL) AS maa, avg(b * b) FILTER (value IS NOT NULL) AS mbb FROM p GROUP BY 1, 2) SELECT y, x, round(sd, 6) AS sd, round(st, 6) AS sd_of_steps, CASE WHEN n >= 2 AND maa - ma * ma > 1e-12 * greatest(maa, 1) AND mbb - mb * mb > 1e-12 * greatest(mbb, 1) THEN round(greatest(-1, least(1, (mab - ma * mb) / sqrt((maa - ma * ma) * (mbb - mb * mb)))), 6) END AS lag1 FROM s", base="")
+def environmental_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.environmental_roles(demo_cube(spark, sf_dir, None).df, ["y", "x"], "t_idx", "value")
+
+
+@query("interpolate_profiles", ", l AS (SELECT fire_id, list(normalized_vase_width ORDER BY slice_index) AS w FROM sl GROUP BY 1) " + " UNION ALL ".join(f"SELECT fire_id, CAST({g} AS DOUBLE) AS grid, round(CASE WHEN len(w) = 1 THEN w[1] ELSE {_at('w', g)} END, 6) AS value FROM l" for g in (0.0, 0.3, 0.5, 1.0)))
+def interpolate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = population.relative_time(slices(spark, sf_dir))
+    return align.interpolate_grid(s, ["fire_id"], [0.0, 0.3, 0.5, 1.0], "relative_time", "normalized_vase_width").withColumnRenamed("normalized_vase_width", "value")
+
+
+@query("growth_derivative", " SELECT fire_id, slice_index, round(CASE WHEN lag(cumulative_area_km2) OVER w IS NULL THEN lead(cumulative_area_km2) OVER w - cumulative_area_km2 WHEN lead(cumulative_area_km2) OVER w IS NULL THEN cumulative_area_km2 - lag(cumulative_area_km2) OVER w ELSE (lead(cumulative_area_km2) OVER w - lag(cumulative_area_km2) OVER w) / 2 END, 6) AS d_cumulative_area_km2 FROM sl WINDOW w AS (PARTITION BY fire_id ORDER BY slice_index)")
+def growth_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.derivative(slices(spark, sf_dir), ["fire_id"], "slice_index", "cumulative_area_km2").select("fire_id", "slice_index", "d_cumulative_area_km2")
+
+
+@query("label_purity")
+def label_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return models.label_purity(models.knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15), e, "vec_id", "label")
+
+
 # Models.
 
 _COLS = ["total_area_km2", "duration_days", "peak_growth_km2_per_day"]
