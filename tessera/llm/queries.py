@@ -8,6 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bitslice, crf, jaccard, licenses, mincut, mixing, packing, quality, sharding, suffixes
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+    FROM w
+), n AS (
+    SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY 1
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+    SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), e AS (
+    SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+    SELECT doc_id AS root, doc_id AS node FROM w
+    UNION
+    SELECT r.root, e.y FROM r JOIN e ON e.x = r.node
+)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id
+FROM n JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY 1) m ON m.node = n.doc_id
+"""
+
 OP6_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -113,4 +138,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_bitslice": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_bitslice": OP6_SQL, "op9_mixing": OP9_SQL}
