@@ -106,10 +106,22 @@ def match_events(source: DataFrame, target: DataFrame, on: list[str], tolerance:
     pairs = candidate_matches(source, target, on, tolerance, anchor)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = greedy(list(zip(pdf["abs_lag_days"], pdf["source_event_id"], pdf["target_event_id"], strict=True)))
-        return pd.DataFrame(chosen, columns=["source_event_id", "target_event_id"], dtype="int64").assign(**{k: pdf[k].iloc[0] for k in on})
+        """Many groups at once: in the order of a group's candidates, each takes what is still free."""
+        pdf = pdf.sort_values([*on, "abs_lag_days", "source_event_id", "target_event_id"])
+        group = pdf.groupby(on, sort=False).ngroup() if len(pdf) else []
+        used_s, used_t, keep = set(), set(), []
+        for g, s, t in zip(group, pdf["source_event_id"], pdf["target_event_id"], strict=True):
+            free = (g, s) not in used_s and (g, t) not in used_t
+            keep.append(free)
+            if free:
+                used_s.add((g, s))
+                used_t.add((g, t))
+        return pdf[keep][["source_event_id", "target_event_id", *on]]
 
     kinds = dict(pairs.dtypes)
     schema = MATCHES + "".join(f", {k} {kinds[k]}" for k in on)
-    chosen = pairs.groupBy(*on).applyInPandas(run, schema)
+    spark = pairs.sparkSession
+    deal = F.pmod(F.xxhash64(*on), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    narrow = pairs.select(*on, "source_event_id", "target_event_id", "abs_lag_days")
+    chosen = narrow.groupBy(deal.alias("_deal")).applyInPandas(run, schema)
     return pairs.join(chosen, [*on, "source_event_id", "target_event_id"])
