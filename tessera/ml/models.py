@@ -6,9 +6,13 @@ only those matrices, whose size is the number of columns squared, reach the driv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -152,6 +156,80 @@ def ward(points: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _nearest(centers: np.ndarray, sizes: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least Ward cost and its partner, ties to the first, of the clusters from ``start`` to ``stop``."""
+    best, least = np.empty(stop - start, np.int64), np.empty(stop - start)
+    step = max(1, 1_000_000 // len(sizes))
+    for a in range(start, stop, step):
+        own = np.arange(a, min(a + step, stop))
+        d2 = np.zeros((len(own), len(sizes)))
+        for c in range(centers.shape[1]):
+            d2 += (centers[own, c, None] - centers[None, :, c]) ** 2
+        cost = d2 * (sizes[own, None] * sizes[None]) / (sizes[own, None] + sizes[None])
+        cost[own - a, own] = np.inf
+        best[own - start] = cost.argmin(axis=1)
+        least[own - start] = cost[own - a, best[own - start]]
+    return best, least
+
+
+def _nearest_by_tasks(spark: SparkSession, centers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_nearest` of all clusters, dealt out in blocks to the executors."""
+    n = len(sizes)
+    blocks = min(n, max(4 * spark.sparkContext.defaultParallelism, n * n // 200_000_000))
+    sent = spark.sparkContext.broadcast((centers, sizes))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"]:
+                start, stop = k * n // blocks, (k + 1) * n // blocks
+                best, least = _nearest(*sent.value, start, stop)
+                yield pd.DataFrame({"i": np.arange(start, stop), "best": best, "least": least})
+
+    found = spark.range(0, blocks, 1, blocks).mapInPandas(search, "i long, best long, least double").toArrow()
+    sent.destroy()
+    order = np.argsort(found["i"].to_numpy())
+    return found["best"].to_numpy()[order], found["least"].to_numpy()[order]
+
+
+def ward_clusters(df: DataFrame, id_column: str, columns: list[str], k: int, local: int = 4096) -> DataFrame:
+    """(id, cluster) of every row of ``df`` by Ward clustering, labels from 0 in the order of smallest ids.
+
+    Each round merges all pairs that are each other's nearest.  A merged cluster is never
+    nearer to others than its parts, so the tree is that of merging one pair at a time (as
+    :func:`ward` does); its ``n - k`` lowest merges give the clusters.  The nearest are
+    searched by tasks while more than ``local`` clusters are left: exact, so about n² steps;
+    the driver holds one centre per row.
+    """
+    spark = df.sparkSession
+    rows = df.select(id_column, *[F.col(c).cast("double") for c in columns]).toArrow()
+    rows = rows.take(pc.sort_indices(rows[id_column]))
+    n = len(rows)
+    centers = np.stack([rows[c].to_numpy() for c in columns], axis=1) if n else np.empty((0, len(columns)))
+    sizes, first, height = np.ones(n), np.arange(n), np.zeros(n)
+    merges: list[tuple[np.ndarray, ...]] = []
+    while len(first) > 1:
+        m = len(first)
+        best, least = _nearest(centers, sizes, 0, m) if m <= local else _nearest_by_tasks(spark, centers, sizes)
+        i = np.flatnonzero((best[best] == np.arange(m)) & (best > np.arange(m)))
+        j = best[i]
+        height[i] = np.maximum(least[i], np.maximum(height[i], height[j]))
+        merges.append((height[i].copy(), np.full(len(i), len(merges)), first[i], first[j]))
+        centers[i] = (centers[i] * sizes[i, None] + centers[j] * sizes[j, None]) / (sizes[i] + sizes[j])[:, None]
+        sizes[i] += sizes[j]
+        keep = np.ones(m, bool)
+        keep[j] = False
+        centers, sizes, first, height = centers[keep], sizes[keep], first[keep], height[keep]
+    into = np.arange(n)
+    if merges:
+        h, at, i, j = (np.concatenate(x) for x in zip(*merges, strict=True))
+        lowest = np.lexsort((j, i, at, h))[: max(0, n - k)]
+        into[j[lowest]] = i[lowest]
+    for x in range(n):
+        into[x] = into[into[x]]
+    labels = np.unique(into, return_inverse=True)[1]
+    return spark.createDataFrame(pa.table({id_column: rows[id_column], "cluster": pa.array(labels.astype(np.int64))}))
+
+
 def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
     scores = []

@@ -441,6 +441,4 @@ def knn_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ward_clusters")
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.standardised(traits(spark, sf_dir), _COLS).orderBy("fire_id").limit(200).select("fire_id", *_COLS).toPandas()
-    labels = models.ward(rows[_COLS].to_numpy(), 4)
-    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(rows["fire_id"], labels, strict=True)], "fire_id long, cluster long")
+    return models.ward_clusters(models.standardised(traits(spark, sf_dir), _COLS), "fire_id", _COLS, 4)
