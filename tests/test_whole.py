@@ -1,8 +1,10 @@
 """Registered queries that answer for every row, not for a part of them."""
 
 import datetime as dt
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera import queries_lake
 from tessera.ml import models
@@ -25,3 +27,38 @@ def test_ward_clusters_has_every_customer(spark, tmp_path):
     out = {r["fire_id"]: r["cluster"] for r in queries_lake.QUERIES["ward_clusters"](spark, str(tmp_path)).collect()}
     z = models.standardised(queries_lake.traits(spark, str(tmp_path)), queries_lake._COLS).orderBy("fire_id").toPandas()
     assert len(out) == 260 and [out[i] for i in z["fire_id"]] == models.ward(z[queries_lake._COLS].to_numpy(), 4).tolist()
+
+
+def _zones(rows):
+    """Cells by event, day and zone of (user, day, type), by brute force."""
+    grid = {(u % 5, u // 5) for u, _, _ in rows}
+    first: dict = {}
+    for u, day, kind in rows:
+        if kind == "error":
+            key = (u % 3, (u % 5, u // 5))
+            first[key] = min(day, first.get(key, day))
+    out: Counter = Counter()
+    for event, day in {(u % 3, day) for u, day, kind in rows if kind == "error"}:
+        for y, x in grid:
+            reached = first.get((event, (y, x)))
+            near = [d for (e, (b, a)), d in first.items() if e == event and abs(b - y) <= 1 and abs(a - x) <= 1]
+            if reached is not None and reached <= day:
+                out[event, day, "cumulative"] += 1
+                out[event, day, "active"] += reached == day
+            elif any(d <= day for d in near):
+                out[event, day, "extension"] += 1
+    return {k: n for k, n in out.items() if n}
+
+
+def test_exposure_zones_of_every_day(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(int(u), int(d), str(k)) for u, d, k in zip(rng.integers(0, 60, 150), rng.integers(0, 25, 150), rng.choice(["error", "view"], 150), strict=True)]
+    data = [(u, dt.datetime(2024, 1, 1, 5) + dt.timedelta(days=d), k) for u, d, k in rows]
+    spark.createDataFrame(data, "user_id long, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    out = {(r["event_id"], r["day"], r["zone"]): r["n_cells"] for r in queries_lake.QUERIES["exposure_zones"](spark, str(tmp_path)).collect()}
+    assert out == _zones(rows)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    tenth = {(e, d, z): n for e, d, z, n in con.sql(queries_lake.EXPOSURE_TENTH_SQL).fetchall()}
+    assert tenth and tenth == {k: n for k, n in out.items() if k[1] % 10 == 0}
