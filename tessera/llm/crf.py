@@ -7,8 +7,8 @@ every word of a text its distribution over languages, so that a text may switch
 A text's language is the one with the largest share of its words that have letters.
 
 Training maximises the conditional likelihood on a bounded sample of labelled texts
-(``train_docs``), taken in the order of a hash, with the text's language as label of all
-its words.  Labels, sources and ids are never inputs of a prediction.
+(``train_docs``), distinct and as many of each language, taken in the order of a hash, with
+the text's language as label of all its words.  Labels, sources and ids are never inputs of a prediction.
 
 Forward-backward runs over all texts of a run at once as one chain: a text's first word has
 a transition that forgets what came before.  The chain is cut into segments whose matrix
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shingles import slices
@@ -224,13 +224,25 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
 
 
 def training_sample(df: DataFrame, train_docs: int) -> tuple[list[str], list[str]]:
-    """At most ``train_docs`` labelled texts outside the held-out fold, in the order of a hash of the text."""
-    labelled = df.where("lang is not null and text is not null and not coalesce(held_out, true)")
-    n = labelled.select("lang").count()
-    if not n:
+    """At most ``train_docs`` distinct labelled texts outside the held-out fold, as many of each language, in the order of a hash of the text.
+
+    Places that a language of few texts leaves go to the others.  Languages are lost only
+    where there are more of them than places.
+    """
+    labelled = df.where("lang is not null and text is not null and not coalesce(held_out, true)").select("text", "lang")
+    found = labelled.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).orderBy("n", "lang").collect()
+    if not found:
         return [], []
+    shares, left = [], train_docs
+    for k, r in enumerate(found):
+        places = max(1, left // (len(found) - k))
+        left = max(0, left - min(places, r["n"]))
+        shares.append((r["lang"], places, (2.0 * places + 20) / max(1, r["n"])))
+    places = F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, places int, below double"))
     u = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11).cast("double") / float(2**53)
-    rows = labelled.select("text", "lang", u.alias("u")).where(F.col("u") <= 2.0 * train_docs / n).orderBy("u", "lang").limit(train_docs).collect()
+    near = labelled.withColumn("u", u).join(places, "lang").where(F.col("u") <= F.col("below")).groupBy("lang", "text").agg(F.min("u").alias("u"), F.min("places").alias("places"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    rows = near.withColumn("rank", rank).where("rank <= places").orderBy("rank", "u", "lang").limit(train_docs).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
