@@ -14,8 +14,9 @@ orders at once: a pair is verified only if it passes under every one.
   each order has its own permutation.  The first order is an inverted index: prefix tokens
   are dealt by hash into packed lists, and documents in one list that fit in size are
   candidates.  The further orders filter the candidates where their sets meet, before exact
-  verification.
+  verification (words and shingles are compared as 64-bit hashes).
 * Documents with equal sets form a class by fingerprint and are compared once per chunk.
+* A frequent token's list is dealt to several tasks by document; the shares keep the list's name.
 * A long list is not expanded into its pairs.  Neighbours by size are verified first; after
   components are known, only pairs that cross them remain, and of those only the ones with
   a member outside the list's main component.  They are verified block by block, where the
@@ -38,21 +39,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import bucketed_table, cut, discard, row_key, scratch_scope, scratch_table, shuffle_partitions, unpacked, with_key
+from .shared import bucketed_table, cut, discard, planned_bytes, release, row_key, scratch_scope, scratch_table, shuffle_partitions, small_batches, unpacked, with_key
 from .shingles import mix, shingle_sets
-from .suffixes import CHUNKS, NO_ID, _batch, _each, _parts_of, _to_chunks
+from .suffixes import NO_ID, _batch, _each, _parts_of, chunk_table
 
 PERCENT = 75
 ORDERS = 3
 SHORT_LIST = 8
+#: Tokens of this level (2 ** 14 documents) or above have their lists dealt by document, too.
+HOT_LEVEL = 56
 #: Documents of a block in comparisons of long lists.
 BLOCK = 64
 
 REQUESTS = "chunk long, part int, low binary, high binary, counts binary"
 ANSWERS = "chunk long, part int, mask binary, levels binary"
 DOCS = "doc long, k1 long, k2 int, n int, f1 long, f2 long, tokens binary, levels binary"
-ENTRIES = "bucket int, tokens binary, docs binary, sizes binary"
-LISTS = "docs binary, sizes binary"
+ENTRIES = "bucket int, sub int, tokens binary, docs binary, sizes binary"
+LISTS = "docs binary, sizes binary, name long"
+MEMBERS = "list long, doc long, n int"
 PAIRS = "a long, b long"
 
 
@@ -118,7 +122,7 @@ def _answer(table: pa.Table) -> pa.Table:
     df = np.empty(len(t), np.int64)
     df[order] = total[np.cumsum(new) - 1]
     shared = df > 1
-    level = np.minimum(63, 4 * np.log2(df)).astype(np.uint8)
+    level = np.minimum(255, 4 * np.log2(df)).astype(np.uint8)
     out: tuple[list, list, list, list] = ([], [], [], [])
     part, end = table.column("part")[0].as_py(), 0
     for chunk, x in zip(table.column("chunk").to_pylist(), low, strict=True):
@@ -158,38 +162,54 @@ def _candidates(width: int, parts: int):
     return run
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, n: int, order: int) -> np.ndarray:
-    """The shared tokens of a set of ``n`` that an order puts first, as many as the similarity demands."""
+def _places(tokens: np.ndarray, levels: np.ndarray, n: int, order: int) -> np.ndarray:
+    """Where the shared tokens of a set of ``n`` are that an order puts first, as many as the similarity demands."""
     p = len(tokens) - _needed(n) + 1
-    key = (levels.astype(np.uint64) << np.uint64(58)) | (mix(tokens, 20 + order) >> np.uint64(6))
-    return tokens if p >= len(tokens) else tokens[np.argpartition(key, p - 1)[:p]]
+    key = (np.minimum(levels, 63).astype(np.uint64) << np.uint64(58)) | (mix(tokens, 20 + order) >> np.uint64(6))
+    return np.arange(len(tokens)) if p >= len(tokens) else np.argpartition(key, p - 1)[:p]
+
+
+def prefix(tokens: np.ndarray, levels: np.ndarray, n: int, order: int) -> np.ndarray:
+    return tokens[_places(tokens, levels, n, order)]
 
 
-def _index(buckets: int, flush: int = 1 << 20):
+def _index(buckets: int, hot_level: int, flush: int = 1 << 18):
+    """Entries of the first order's index by bucket of tokens; those of frequent tokens also by ``sub``, a share of the documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens, docs, sizes = 0, [], [], []
+        held, tokens, levels, docs, sizes = 0, [], [], [], []
 
         def out() -> pa.RecordBatch:
-            t = np.concatenate(tokens)
             n = [len(x) for x in tokens]
-            d, s = np.repeat(np.array(docs, np.int64), n), np.repeat(np.array(sizes, np.int32), n)
-            order = np.argsort(t)
-            t, d, s = t[order], d[order], s[order]
-            at = _parts_of(t, buckets)
-            full = [k for k in range(buckets) if at[k] < at[k + 1]]
-            cuts = [slice(at[k], at[k + 1]) for k in full]
-            return _batch(ENTRIES, full, [t[c].tobytes() for c in cuts], [d[c].tobytes() for c in cuts], [s[c].tobytes() for c in cuts])
+            t, v, d, s = np.concatenate(tokens), np.concatenate(levels).astype(np.int64), np.repeat(np.array(docs, np.int64), n), np.repeat(np.array(sizes, np.int32), n)
+            shares = np.left_shift(np.int64(1), np.clip((v - hot_level) // 4 + 1, 0, 40))
+            sub = np.where(v >= hot_level, (mix(d.view(np.uint64), 41) >> np.uint64(20)).astype(np.int64) % shares % (1 << 30), -1)
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            order = np.lexsort((t, sub))
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(sub[order]) != 0, [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = order[a:b]
+                at = _parts_of(t[own], buckets)
+                for k in range(buckets):
+                    if at[k] < at[k + 1]:
+                        c = own[at[k] : at[k + 1]]
+                        for col, x in zip(rows, (k, int(sub[own[0]]), t[c].tobytes(), d[c].tobytes(), s[c].tobytes()), strict=True):
+                            col.append(x)
+            return _batch(ENTRIES, *rows)
 
         for batch in batches:
             for doc, n, t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                p = prefix(np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint8), n, 0)
-                tokens.append(p)
+                all_tokens, all_levels = np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint8)
+                p = _places(all_tokens, all_levels, n, 0)
+                tokens.append(all_tokens[p])
+                levels.append(all_levels[p])
                 docs.append(doc)
                 sizes.append(n)
                 held += len(p)
                 if held >= flush:
                     yield out()
-                    held, tokens, docs, sizes = 0, [], [], []
+                    held, tokens, levels, docs, sizes = 0, [], [], [], []
+                    release()
         if tokens:
             yield out()
 
@@ -197,17 +217,23 @@ def _index(buckets: int, flush: int = 1 << 20):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The distinct lists of two or more documents, each sorted by size and id."""
+    """The distinct lists of two or more documents, each sorted by size and id.
+
+    Lists of a frequent token are shares of one list; they carry its name, and are kept if
+    they hold a single document.
+    """
     t, d, s = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c]) for name, kind in (("tokens", np.uint64), ("docs", np.int64), ("sizes", np.int32)))
+    hot = table.column("sub")[0].as_py() >= 0
     order = np.lexsort((d, s, t))
     t, d, s = t[order], d[order], s[order]
     new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
     t, d, s = t[new], d[new], s[new]
     starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     ends = np.append(starts[1:], len(t))
-    long = ends - starts > 1
-    found = {d[a:b].tobytes(): s[a:b].tobytes() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)}
-    return pa.Table.from_batches([_batch(LISTS, list(found), list(found.values()))])
+    use = ends - starts > (0 if hot else 1)
+    names = _signed(t[starts]) if hot else np.zeros(len(starts), np.int64)
+    found = {(d[a:b].tobytes(), name): s[a:b].tobytes() for a, b, name in zip(starts[use].tolist(), ends[use].tolist(), names[use].tolist(), strict=True)}
+    return pa.Table.from_batches([_batch(LISTS, [x for x, _ in found], list(found.values()), [name if hot else None for _, name in found])])
 
 
 def _fit(small: np.ndarray, large: np.ndarray) -> np.ndarray:
@@ -221,6 +247,8 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for x, y in zip(batch.column(0), batch.column(1), strict=True):
             d, s = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int32)
+            if len(d) < 2:
+                continue
             if len(d) <= SHORT_LIST:
                 i, j = upper[len(d)]
             else:
@@ -236,11 +264,12 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the lists whose pairs were not all formed."""
     for batch in batches:
-        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+        for x, y, given in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
             d = np.frombuffer(x.as_buffer(), np.int64)
-            if len(d) > SHORT_LIST:
-                name = int(_signed(mix(d.view(np.uint64) + np.arange(len(d), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True))[0])
+            if given is not None or len(d) > SHORT_LIST:
+                name = given if given is not None else int(_signed(mix(d.view(np.uint64) + np.arange(len(d), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True))[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), name)), pa.array(d), pa.array(np.frombuffer(y.as_buffer(), np.int32))], names=["list", "doc", "n"])
 
 
@@ -269,6 +298,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left.append(a["doc"])
                 right.append(b["doc"])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        release()
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -311,17 +341,29 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             a, b = (np.array([d["doc"] for d in side], np.int64) for side in (left, right))
             x, y = np.nonzero(near)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], names=["a", "b"])
+        release()
+
 
+def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20, hot_level: int = HOT_LEVEL) -> DataFrame:
+    """One row for each row of ``df(doc_id, text)``: doc_id, its content key, n_shingles and component_id.
 
-def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """One row for each row of ``df(doc_id, text)``: doc_id, its content key, n_shingles and component_id."""
+    The result is written to the checkpoint folder; scratch tables are gone when this returns.
+    """
+    spark = df.sparkSession
+    with scratch_scope() as made, small_batches(spark):
+        out = cut(_components(df, width, chunk_bytes, hot_level))
+    discard(spark, made)
+    return out
+
+
+def _components(df: DataFrame, width: int, chunk_bytes: int, hot_level: int) -> DataFrame:
     spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    buckets = 4 * n
     doc_id = F.col("doc_id").cast("long")
     rows = df.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(doc_id, F.col("text")))
+    n = max(shuffle_partitions(spark), planned_bytes(rows) // (32 << 20))
+    buckets = 4 * n
     with scratch_scope() as early:
-        chunks = bucketed_table(rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS), "chunks", "chunk", n, deal=False)
+        chunks = chunk_table(rows, chunk_bytes)
         asked = chunks.select("chunk", "lens", "blob").mapInArrow(_ask(width, buckets), REQUESTS)
         answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask", "levels")).alias("answers"))
@@ -332,10 +374,10 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"))
     sets = docs.where("tokens is not null").join(reps, "doc", "left_semi")
 
-    entries = sets.select("doc", "n", "tokens", "levels").mapInArrow(_index(buckets), ENTRIES)
-    lists = scratch_table(entries.groupBy("bucket").applyInArrow(_lists, LISTS).distinct(), "lists")
+    entries = sets.select("doc", "n", "tokens", "levels").mapInArrow(_index(buckets, hot_level), ENTRIES)
+    lists = scratch_table(entries.groupBy("bucket", "sub").applyInArrow(_lists, LISTS).distinct(), "lists")
     pairs = cut(lists.mapInArrow(_first_pairs, PAIRS).distinct())
-    members = cut(lists.mapInArrow(_long_lists, "list long, doc long, n int"))
+    members = cut(lists.mapInArrow(_long_lists, MEMBERS))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = F.struct("doc", "n", "tokens", "levels")
@@ -359,30 +401,36 @@ def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20) -
     sizes = placed.groupBy("list", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("list").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     # Lists with one main component have mostly the same members; their pairs are formed once.
-    open_ = cut(placed.join(main, "list").select("main", "doc", "n", "comp").distinct())
+    open_ = cut(_salted(placed, main, "list").select("main", "doc", "n", "comp").distinct())
     if not open_.isEmpty():
         # They are compared block by block: a block of all members with one of those outside the main component.
-        blocks = F.ceil(F.col("m") / BLOCK)
-        many = open_.groupBy("main").agg(F.count("*").alias("m"))
-        spread = F.pmod(F.xxhash64("doc"), blocks)
-        dealt = open_.join(many, "main").select("main", "doc", "comp", spread.alias("block")).join(sets.select("doc", "n", "tokens"), "doc")
+        many = open_.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        dealt = _salted(open_, many, "main").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")).join(sets.select("doc", "tokens"), "doc")
         pack = F.collect_list(F.struct("doc", "n", "comp", "tokens"))
-        every = dealt.groupBy("main", "block").agg(pack.alias("members"))
-        outside = dealt.where("comp <> main").groupBy("main", F.floor(F.col("block") / 4).alias("block")).agg(pack.alias("outside"))
-        late = cut(every.select("main", "members").join(outside.select("main", "outside"), "main").select("members", "outside").mapInArrow(_verify_blocks, PAIRS).distinct())
+        # One family's comparisons are spread over as many tasks as it has sixteens of blocks.
+        tasks = F.ceil(F.col("blocks") / 16)
+        every = dealt.groupBy("main", "block", "blocks").agg(pack.alias("members")).withColumn("task", F.pmod("block", tasks))
+        outside = dealt.where("comp <> main").groupBy("main", F.floor(F.col("block") / 4).alias("block"), "blocks").agg(pack.alias("outside"))
+        outside = outside.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)))
+        late = cut(every.select("main", "task", "members").join(outside.select("main", "task", "outside"), ["main", "task"]).select("members", "outside").mapInArrow(_verify_blocks, PAIRS).distinct())
         if not late.isEmpty():
             labels = connected(links.unionByName(named(late)))
     null_id = lambda c: F.when(c != NO_ID, c)
-    rows = docs.select("doc", "k1", "k2", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "low"), ["f1", "f2", "n"], "left")
-    return rows.join(labels, rows["low"] == labels["node"], "left").select(
+    ends = classes.join(labels, classes["low"] == labels["node"], "left").select("f1", "f2", "n", F.coalesce("component", "low").alias("end"))
+    return docs.select("doc", "k1", "k2", "n", "f1", "f2").join(ends, ["f1", "f2", "n"], "left").select(
         null_id(F.col("doc")).alias("doc_id"),
         F.col("k1").alias("_k1"),
         F.col("k2").alias("_k2"),
         F.col("n").cast("long").alias("n_shingles"),
-        null_id(F.coalesce("component", "low", "doc")).alias("component_id"),
+        null_id(F.coalesce("end", "doc")).alias("component_id"),
     )
 
 
+def _salted(many: DataFrame, one: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Inner join of ``many(key, doc, ...)`` with at most one row of ``one`` for each key; a key's rows are dealt to several tasks."""
+    return many.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(salts))).join(one.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "_s"]).drop("_s")
+
+
 def keep_one(df: DataFrame, width: int = 5) -> DataFrame:
     """One row of each component of ``df``: a row of its smallest id, with all columns; rows without shingles stay, and of repeated rows one."""
     found = join_components(df, width)

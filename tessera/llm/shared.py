@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
+import contextvars
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What one batch of rows may take on its way to a Python worker, where rows are large.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate data.
+    """The shared folder for intermediate data: ``spark.checkpoint.dir``.
 
-    On a cluster this is ``spark.checkpoint.dir``.  Only where nobody set one (tests on a
-    single machine) a temporary folder is made, and removed at exit.
+    Only on a single machine (tests) it may be unset; a folder beside the warehouse's
+    tables is taken then.  On a cluster that is an error, for executors would write to
+    folders of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
-            named = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
@@ -37,23 +42,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Paths made since the innermost :func:`scratch_scope` began.
-_made: list[list[str]] = [[]]
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed inside sends rows to Python in batches of a few MB.
+
+    By default a batch holds up to 64 MB, which the JVM and the worker each keep twice while
+    one batch follows the other; rows of a megabyte need no such batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Paths made since the innermost :func:`scratch_scope` of this thread of control began.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 @contextlib.contextmanager
-def scratch_scope():
+def scratch_scope() -> Iterator[list[str]]:
     """Collects the scratch paths made inside, for :func:`discard` once their results are written."""
-    _made.append([])
+    outer, inner = _made.get(), []
+    token = _made.set(inner)
     try:
-        yield _made[-1]
+        yield inner
     finally:
-        _made[-2].extend(_made.pop())
+        _made.reset(token)
+        if outer is not None:
+            outer.extend(inner)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/{name}_{uuid.uuid4().hex}"
-    _made[-1].append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -88,6 +121,12 @@ def bucketed_table(df: DataFrame, name: str, key: str, buckets: int, deal: bool
     return spark.table(table)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``; 0 where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(7)
 _odd = lambda n: _rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

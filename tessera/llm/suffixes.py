@@ -40,12 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed_table, scratch_table, shuffle_partitions
+from .shared import bucketed_table, planned_bytes, release, scratch_table, shuffle_partitions, small_batches
 
 LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
 CONTEXT = LEFT + LENGTH
-SLICE = 1 << 20
+SLICE = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 CHUNKS = "chunk long, ids binary, keys binary, lens binary, blob binary, rest binary"
@@ -96,7 +96,7 @@ def anchors(blob: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if n >= LENGTH:
             whole[e - n : e - LENGTH + 1] = True
     at, of = [], []
-    low = np.uint64((1 << 21) - 1)
+    low = np.uint64((1 << 20) - 1)
     for a in range(0, max(0, len(blob) - LENGTH + 1), SLICE):
         part = blob[a : a + SLICE + LENGTH - 1]
         h = _hashes(part)
@@ -129,11 +129,44 @@ def _batch(schema: str, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, s, strict=True)], schema=s)
 
 
-def _to_chunks(chunk_bytes: int):
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket into which Spark writes rows bucketed by a long ``x``."""
+    c1, c2, u32 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593), np.uint32
+    turn = lambda v, r: (v << u32(r)) | (v >> u32(32 - r))
+    h = np.full(len(x), 42, np.uint32)
+    with np.errstate(over="ignore"):
+        for part in (x.astype(np.uint64).astype(np.uint32), (x.astype(np.uint64) >> np.uint64(32)).astype(np.uint32)):
+            h = turn(h ^ turn(part * c1, 15) * c2, 13) * u32(5) + u32(0xE6546B64)
+        h ^= u32(8)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> u32(shift))) * u32(factor)
+        h ^= h >> u32(16)
+    return h.view(np.int32).astype(np.int64) % buckets
+
+
+def _numbers(task: int, buckets: int, run: int = 16) -> Iterator[int]:
+    """Chunk numbers of a task, chosen so that ``run`` chunks in a row share a bucket: a file each, not one for each chunk."""
+    low, seq = 0, 0
+    by_bucket: list[np.ndarray] = []
+    target = -1
+    while True:
+        want = (task + seq // run * 7919) % buckets
+        if want != target:
+            target, by_bucket = want, []
+        while not by_bucket:
+            x = np.arange(low, low + 4 * buckets + 64, dtype=np.int64) + (task << 32)
+            hits = x[bucket_of(x, buckets) == target]
+            low += len(x)
+            by_bucket = hits.tolist()
+        yield by_bucket.pop(0)
+        seq += 1
+
+
+def _to_chunks(chunk_bytes: int, buckets: int):
     """Packs rows of (doc_id, text, two keys, anything else) into chunks; what else there is goes along as is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, held = TaskContext.get().partitionId(), 0, 0
+        numbers, held = _numbers(TaskContext.get().partitionId(), buckets), 0
         parts: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
@@ -149,7 +182,7 @@ def _to_chunks(chunk_bytes: int):
                 rest = sink.getvalue().to_pybytes()
             blob = b"".join(x.as_buffer().to_pybytes() for x in texts)
             lens = pc.binary_length(texts).to_numpy().astype(np.int64)
-            return _batch(CHUNKS, [(task << 32) + seq], [column(0).fill_null(NO_ID).to_numpy().tobytes()], [key.tobytes()], [lens.tobytes()], [blob], [rest])
+            return _batch(CHUNKS, [next(numbers)], [column(0).fill_null(NO_ID).to_numpy().tobytes()], [key.tobytes()], [lens.tobytes()], [blob], [rest])
 
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -162,7 +195,7 @@ def _to_chunks(chunk_bytes: int):
                 at = end
                 if held >= chunk_bytes:
                     yield flush()
-                    seq, held = seq + 1, 0
+                    held = 0
                     parts.clear()
         if parts:
             yield flush()
@@ -178,6 +211,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+            release()
 
 
 def _parts_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -393,15 +427,20 @@ def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
 
 
+def chunk_table(rows: DataFrame, chunk_bytes: int, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """``rows`` in chunks, bucketed by chunk number into buckets of about ``bucket_bytes``."""
+    buckets = max(shuffle_partitions(rows.sparkSession), planned_bytes(rows) // bucket_bytes)
+    return bucketed_table(rows.mapInArrow(_to_chunks(chunk_bytes, buckets), CHUNKS), "chunks", "chunk", buckets, deal=False)
+
+
 def _judged(rows: DataFrame, chunk_bytes: int, oversample: int) -> DataFrame:
     """Chunks of ``rows`` with their verdicts."""
     spark = rows.sparkSession
-    n = shuffle_partitions(spark)
-    parts = 4 * n
-    chunks = bucketed_table(rows.mapInArrow(_to_chunks(chunk_bytes), CHUNKS), "chunks", "chunk", n, deal=False)
-
-    asked = chunks.select("chunk", "lens", "blob", F.lit(b"").alias("ids")).mapInArrow(_ask(parts), REQUESTS)
-    answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
+    parts = 4 * shuffle_partitions(spark)
+    with small_batches(spark):
+        chunks = chunk_table(rows, chunk_bytes)
+        asked = chunks.select("chunk", "lens", "blob", F.lit(b"").alias("ids")).mapInArrow(_ask(parts), REQUESTS)
+        answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
     drawn = chunks.select("chunk", "blob").mapInArrow(_draw(oversample), "key long, rank long").orderBy("rank", "key").limit(oversample * parts).collect()
     keys = np.sort(np.array([r["key"] + 2**63 for r in drawn], np.uint64))
     splitters = np.unique(keys[[i * len(keys) // parts for i in range(1, parts)]]) if len(keys) else keys

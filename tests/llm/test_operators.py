@@ -193,11 +193,27 @@ def near_rows():
     return rows + [(9000 + i, words(60, 500 + i, 10**6)) for i in range(60)]
 
 
-@pytest.mark.parametrize("chunk_bytes", [2000, 1 << 20])
-def test_components_equal_brute_force(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "hot_level"), [(2000, jaccard.HOT_LEVEL), (1 << 20, jaccard.HOT_LEVEL), (1 << 20, 6)])
+def test_components_equal_brute_force(spark, chunk_bytes, hot_level):
+    """The last case deals the lists of all tokens of three documents or more."""
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert dict(collect(jaccard.join_components(df, chunk_bytes=chunk_bytes), "doc_id", "component_id")) == brute_components(rows)
+    assert dict(collect(jaccard.join_components(df, chunk_bytes=chunk_bytes, hot_level=hot_level), "doc_id", "component_id")) == brute_components(rows)
+
+
+def test_nothing_is_left_behind(spark, frame):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert jaccard.join_components(frame).count() == len(docs())
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_chunk_numbers_name_their_buckets(spark):
+    x = np.array([0, 1, 7, (3 << 32) + 5, 2**40 + 1, 2**62], np.int64)
+    out = spark.createDataFrame([(int(v),) for v in x], "x long").selectExpr("pmod(hash(x), 51) b").collect()
+    assert [r["b"] for r in out] == suffixes.bucket_of(x, 51).tolist()
+    numbers = suffixes._numbers(3, 51)
+    first = np.array([next(numbers) for _ in range(40)])
+    assert len(set(first)) == 40 and len(set(suffixes.bucket_of(first, 51)[:16])) == 1 and (first >> 32 == 3).all()
 
 
 def test_components_of_awkward_rows(frame, empty):
