@@ -7,6 +7,7 @@ the stage at work.  All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import uuid
 from collections.abc import Callable
@@ -44,8 +45,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Scratch tables behind the result of the last stage called.
-_behind: list[str] = []
+#: Scratch tables behind the result of the last stage that this thread of control called.
+_behind: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("behind", default=())
 
 
 def tidy(stage: Stage) -> Stage:
@@ -53,10 +54,10 @@ def tidy(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _behind)
+        discard(spark, list(_behind.get()))
         with scratch_scope() as made:
             out = stage(spark, docs, sf_dir)
-        _behind[:] = made
+        _behind.set(tuple(made))
         return out
 
     return run_stage
