@@ -3,19 +3,23 @@
 Texts and templates are read as words of letters and digits in lower case; shingles are
 three words.  For each template length, every window of that many words (each shifted by
 one word) has a MinHash signature; a template is retrieved where a band of its own
-signature collides with the window's.  A window that holds no shingle of any template
+signature collides with the window's.  Windows reach over the beginning and the end of a
+text as far as the containment asked for allows, and hold there what the text has, so that
+a notice cut short by them is found too.  A window that holds no shingle of any template
 cannot collide, so signatures are only computed around such shingles.  With ``bands`` of
 ``rows``, a window of similarity s collides with probability 1 - (1 - s ** rows) ** bands:
 for a containment of 0.75 (similarity 0.6) and the defaults that is over 0.999, and 1 for a
-whole template.  Retrieved pairs are verified on the shingles themselves.
+whole template.  Retrieved pairs are verified on the words themselves.
 
 Edge cases: null and empty texts, and texts without a template, give no rows; very long
 texts are read whole; repeated rows each give their matches; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored; ``start_word`` and ``n_words`` of a window that reaches
+over an end say where it lies in the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -85,48 +89,63 @@ class Scanner:
         words, counts = word_hashes(normalised(pa.array([x for _, _, x in templates])), lower=False)
         ends = np.cumsum(counts)
         self.shingles = [_shingles(words[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        texts = [x.split() for x in normalised(pa.array([x for _, _, x in templates])).to_pylist()]
+        self.grams = [set(zip(*(w[k:] for k in range(WIDTH)), strict=False)) for w in texts]
+        if not all(self.grams):
+            raise ValueError(f"a template has {WIDTH} words at least")
         self.known = np.unique(np.concatenate(self.shingles))
         self.by_length: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, s in enumerate(self.shingles):
             for b, key in enumerate(self.keys(s[None, :])[0].tolist()):
                 self.by_length[len(s)][b, key].append(i)
 
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """Band keys of windows (rows) of shingles."""
+    def keys(self, windows: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+        """Band keys of windows (rows) of shingles; ``outside`` marks places beyond the text."""
         out = np.zeros((len(windows), self.bands), np.uint64)
         with np.errstate(over="ignore"):
             for b in range(self.bands):
                 for r in range(self.rows):
-                    out[:, b] = mix(out[:, b] + mix(windows, 100 + b * self.rows + r).min(axis=1))
+                    h = mix(windows, 100 + b * self.rows + r)
+                    if outside is not None:
+                        h[outside] = np.uint64(2**64 - 1)
+                    out[:, b] = mix(out[:, b] + h.min(axis=1))
         return out
 
-    def scan(self, s: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, float]]:
-        """(template, first word, containment) of the matches in a text with shingles ``s``, template shingles at ``hits``."""
-        places: dict[tuple[int, int], float] = {}
+    def scan(self, s: np.ndarray, hits: np.ndarray, words: list[str]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, words, containment) of the matches in a text of ``words`` with shingles ``s``, template shingles at ``hits``."""
+        places: dict[tuple[int, int], tuple[float, int]] = {}
         for length, index in self.by_length.items():
-            if len(s) < length:
+            # So many shingles of a template have to be there, and a window may miss the others beyond an end.
+            need = min(math.ceil(self.least * len(self.grams[i]) - 1e-9) for found in index.values() for i in found)
+            over = length - need
+            if len(s) < need:
                 continue
             starts = np.unique((hits[:, None] - np.arange(length)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(s) - length)]
-            windows = s[starts[:, None] + np.arange(length)[None, :]]
-            for w, keys in enumerate(self.keys(windows).tolist()):
+            starts = starts[(starts >= -over) & (starts <= len(s) - need)]
+            at = starts[:, None] + np.arange(length)[None, :]
+            outside = (at < 0) | (at >= len(s))
+            for w, keys in enumerate(self.keys(s[np.clip(at, 0, len(s) - 1)], outside).tolist()):
                 for i in {i for b, key in enumerate(keys) for i in index.get((b, key), ())}:
-                    c = float(np.isin(self.shingles[i], windows[w]).mean())
+                    first, last = max(0, int(starts[w])), min(len(s), int(starts[w]) + length)
+                    there = self.grams[i].intersection(zip(*(words[first + k : last + k] for k in range(WIDTH)), strict=True))
+                    c = len(there) / len(self.grams[i])
                     if c >= self.least:
-                        places[i, int(starts[w])] = c
+                        best = places.get((i, first))
+                        if best is None or (c, -last) > (best[0], -(first + best[1])):
+                            places[i, first] = c, last - first
         # Of overlapping matches the best stays, of equals the longest, then the first.
-        words = lambda i: len(self.shingles[i]) + WIDTH - 1
-        out: list[tuple[int, int, float]] = []
-        for (i, at), c in sorted(places.items(), key=lambda x: (-x[1], -words(x[0][0]), x[0][1], x[0][0])):
-            if all(at + words(i) <= p or p + words(k) <= at for k, p, _ in out):
-                out.append((i, at, c))
+        out: list[tuple[int, int, int, float]] = []
+        for (i, at), (c, n) in sorted(places.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][1], x[0][0])):
+            if all(at + n + WIDTH - 1 <= p or p + m <= at for _, p, m, _ in out):
+                out.append((i, at, n + WIDTH - 1, c))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def find(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, int, float]]:
-    """(text number, template, first word, containment) of all matches."""
+def find(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text number, template, first word, words, containment) of all matches."""
     for first, part in slices(texts):
-        words, counts = word_hashes(normalised(part), lower=False)
+        plain = normalised(part)
+        words, counts = word_hashes(plain, lower=False)
         s = _shingles(words)
         if not len(s):
             continue
@@ -138,8 +157,8 @@ def find(scanner: Scanner, texts: pa.Array) -> Iterator[tuple[int, int, int, flo
         places, owner = places[inside], owner[inside]
         for k in np.unique(owner).tolist():
             start = int(ends[k] - counts[k])
-            for i, at, c in scanner.scan(s[start : ends[k] - WIDTH + 1], places[owner == k] - start):
-                yield first + k, i, at, c
+            for match in scanner.scan(s[start : ends[k] - WIDTH + 1], places[owner == k] - start, plain[k].as_py().split()):
+                yield first + k, *match
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str, str]] | None = None, bands: int = 20, rows: int = 2, least: float = 0.75) -> DataFrame:
@@ -151,14 +170,14 @@ def scan(df: DataFrame, templates: list[tuple[str, str, str]] | None = None, ban
         for batch in batches:
             ids = batch.column(0)
             found = list(find(scanner, batch.column(1)))
-            names = [scanner.names[i] for _, i, _, _ in found]
+            names = [scanner.names[i] for _, i, *_ in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array([k for k, *_ in found], pa.int64())),
                     pa.array([t for t, _ in names], pa.string()),
                     pa.array([lic for _, lic in names], pa.string()),
-                    pa.array([at for _, _, at, _ in found], pa.int64()),
-                    pa.array([len(scanner.shingles[i]) + WIDTH - 1 for _, i, _, _ in found], pa.int64()),
+                    pa.array([at for _, _, at, _, _ in found], pa.int64()),
+                    pa.array([n for *_, n, _ in found], pa.int64()),
                     pa.array([c for *_, c in found], pa.float64()),
                 ],
                 names=["doc_id", "template", "license", "start_word", "n_words", "containment"],
