@@ -7,16 +7,19 @@ every word of a text its distribution over languages, so that a text may switch
 A text's language is the one with the largest share of its words that have letters.
 
 Training maximises the conditional likelihood on a bounded sample of labelled texts
-(``train_docs``), distinct and as many of each language, taken in the order of a hash, with
-the text's language as label of all its words.  Labels, sources and ids are never inputs of a prediction.
+(``train_docs``, of each at most ``train_words`` words in a row, from a place given by a
+hash), distinct and as many of each language, taken in the order of a hash, with the text's
+language as label of all its words.  Labelled texts do not switch, so transitions learn
+from sequences put together from runs of words of sampled texts in different languages, half
+as many as texts.  Labels, sources and ids are never inputs of a prediction.
 
 Forward-backward runs over all texts of a run at once as one chain: a text's first word has
 a transition that forgets what came before.  The chain is cut into segments whose matrix
 products give the messages at the cuts, so results are exact whatever the text's length.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0, as is every text
-if there is nothing to learn from; ties go to the smaller name; repeated rows are predicted
-alike; an empty table gives an empty result; other columns are ignored.
+if there is nothing to learn from, with no spans; ties go to the smaller name; repeated rows
+are predicted alike; a null id is not held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import WORD
 from .shingles import slices
 
 ORDERS = (2, 3, 4)
@@ -169,8 +173,30 @@ def _first(counts: np.ndarray) -> np.ndarray:
     return first
 
 
-def fit(texts: list[str], labels: list[str], bits: int = 18, rounds: int = 20, rate: float = 0.5, decay: float = 1e-6) -> Model:
-    """Conditional maximum likelihood by AdaGrad over the whole sample."""
+def switched(texts: list[str], labels: list[str], n: int, seed: int = 1) -> list[list[tuple[str, str]]]:
+    """``n`` sequences of runs of 3 to 12 words from texts in different languages."""
+    rng = np.random.default_rng(seed)
+    words = [t.split() for t in texts]
+    of = {lang: [w for w, x in zip(words, labels, strict=True) if x == lang and w] for lang in sorted(set(labels))}
+    of = {lang: found for lang, found in of.items() if found}
+    out = []
+    for _ in range(n if len(of) > 1 else 0):
+        runs, last = [], None
+        for _ in range(int(rng.integers(2, 6))):
+            lang = str(rng.choice([x for x in of if x != last]))
+            w = of[lang][int(rng.integers(len(of[lang])))]
+            at = int(rng.integers(len(w)))
+            runs.append((" ".join(w[at : at + int(rng.integers(3, 13))]), lang))
+            last = lang
+        out.append(runs)
+    return out
+
+
+def fit(texts: list[str], labels: list[str], mixed: list[list[tuple[str, str]]] | None = None, bits: int = 18, rounds: int = 20, rate: float = 0.5, decay: float = 1e-6) -> Model:
+    """Conditional maximum likelihood by AdaGrad over the whole sample: texts of one label, and ``mixed`` sequences of labelled runs."""
+    runs = [[(t, x)] for t, x in zip(texts, labels, strict=True)] + (mixed or [])
+    sequence = [i for i, r in enumerate(runs) for _ in r]
+    texts, labels = [t for r in runs for t, _ in r], [x for r in runs for _, x in r]
     languages = sorted(set(labels))
     k = len(languages)
     model = Model(languages, np.zeros((1 << bits, k), np.float32), np.zeros((k, k)))
@@ -178,7 +204,7 @@ def fit(texts: list[str], labels: list[str], bits: int = 18, rounds: int = 20, r
     if k < 2 or not len(codes):
         return model
     gold = np.repeat([languages.index(x) for x in labels], counts)
-    first = _first(counts)
+    first = _first(np.bincount(sequence, counts, minlength=len(runs)).astype(np.int64))
     inside = ~first[1:]
     gold_pairs = np.bincount(gold[:-1][inside] * k + gold[1:][inside], minlength=k * k).reshape(k, k)
     numbers, starts = features(dictionary, bits)
@@ -199,18 +225,36 @@ def fit(texts: list[str], labels: list[str], bits: int = 18, rounds: int = 20, r
     return model
 
 
-def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
-    langs, scores = [], []
+SPANS = "array<struct<lang: string, n_words: int>>"
+_SPANS = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int32())]))
+
+
+def _spans(best: np.ndarray, first: np.ndarray, counts: np.ndarray, languages: list[str]) -> pa.Array:
+    """Runs of words with one label, text by text."""
+    starts = np.flatnonzero(first | np.concatenate([[True], best[1:] != best[:-1]]))
+    runs = pa.StructArray.from_arrays(
+        [pa.DictionaryArray.from_arrays(pa.array(best[starts], pa.int32()), pa.array(languages, pa.string())).cast(pa.string()), pa.array(np.diff(np.append(starts, len(best))), pa.int32())],
+        fields=list(_SPANS.value_type),
+    )
+    offsets = np.searchsorted(starts, np.concatenate([[0], np.cumsum(counts)]))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs).cast(_SPANS)
+
+
+def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float], pa.Array]:
+    """Language, score and spans of each text."""
+    langs, scores, spans = [], [], []
     bits = model.weights.shape[0].bit_length() - 1
     for _, part in slices(texts):
         dictionary, codes, counts = words_of(part)
         if not len(codes) or not model.languages:
             langs += [UNKNOWN] * len(part)
             scores += [0.0] * len(part)
+            spans.append(pa.array([[]] * len(part), _SPANS))
             continue
         letters = pc.match_substring_regex(dictionary, r"\p{L}").to_numpy(zero_copy_only=False)[codes]
-        node, _ = marginals(word_scores(*features(dictionary, bits), model.weights)[codes], _first(counts), model.transitions)
+        first = _first(counts)
+        node, _ = marginals(word_scores(*features(dictionary, bits), model.weights)[codes], first, model.transitions)
+        spans.append(_spans(node.argmax(axis=1), first, counts, model.languages))
         sums = np.vstack([np.zeros(node.shape[1]), np.cumsum(node * letters[:, None], axis=0)])
         ends = np.cumsum(counts)
         share = sums[ends] - sums[ends - counts]
@@ -220,12 +264,14 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
         for i in range(len(part)):
             langs.append(model.languages[best[i]] if n[i] else UNKNOWN)
             scores.append(min(1.0, max(0.0, float(share[i, best[i]] / n[i]))) if n[i] else 0.0)
-    return langs, scores
+    return langs, scores, pa.concat_arrays(spans) if spans else pa.array([], _SPANS)
 
 
-def training_sample(df: DataFrame, train_docs: int) -> tuple[list[str], list[str]]:
+def training_sample(df: DataFrame, train_docs: int, train_words: int = 2000) -> tuple[list[str], list[str]]:
     """At most ``train_docs`` distinct labelled texts outside the held-out fold, as many of each language, in the order of a hash of the text.
 
+    Of a longer text, ``train_words`` words in a row come to the driver.
+
     Places that a language of few texts leaves go to the others.  Languages are lost only
     where there are more of them than places.
     """
@@ -242,22 +288,29 @@ def training_sample(df: DataFrame, train_docs: int) -> tuple[list[str], list[str
     u = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11).cast("double") / float(2**53)
     near = labelled.withColumn("u", u).join(places, "lang").where(F.col("u") <= F.col("below")).groupBy("lang", "text").agg(F.min("u").alias("u"), F.min("places").alias("places"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
-    rows = near.withColumn("rank", rank).where("rank <= places").orderBy("rank", "u", "lang").limit(train_docs).collect()
+    rows = near.withColumn("rank", rank).where("rank <= places").orderBy("rank", "u", "lang").limit(train_docs)
+    parts = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    start = F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.size(parts) - train_words + 1)).cast("int") + 1
+    rows = rows.select("lang", F.array_join(F.slice(parts, start, train_words), " ").alias("text")).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-def identify(df: DataFrame, train_docs: int = 800) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of ``df(doc_id, text, lang)``."""
+def identify(df: DataFrame, train_docs: int = 800, train_words: int = 2000) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, spans) of each row of ``df(doc_id, text, lang)``.
+
+    ``spans``: the text's words from first to last as runs of one language each, word by word the likeliest.
+    """
     spark = df.sparkSession
     doc_id = F.col("doc_id").cast("long")
     rows = df.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (F.crc32(doc_id.cast("string")) % 4 == 2).alias("held_out"))
-    model = fit(*training_sample(rows, train_docs))
+    texts, labels = training_sample(rows, train_docs, train_words)
+    model = fit(texts, labels, switched(texts, labels, len(texts) // 2))
     sent = spark.sparkContext.broadcast((model.languages, model.weights, model.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         received = Model(*sent.value)
         for batch in batches:
-            langs, scores = predict(received, batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            langs, scores, spans = predict(received, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), spans], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
-    return rows.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text").mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double, spans {SPANS}")
