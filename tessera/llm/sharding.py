@@ -11,12 +11,14 @@ moves to the nearer edge of the group when that costs at most ``tolerance`` of a
 larger groups are divided.
 
 Edge cases: a null text has size 1 and the checksum of the empty text; a null id sorts
-first; repeated rows are separate records; an empty table gives an empty result; other
-columns are ignored.
+first; repeated rows are separate records, and those equal in text and id stay in one range;
+a record is never divided, so one larger than a shard's share can leave shards beside it
+without a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +29,16 @@ from .shared import cut, shuffle_partitions
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A table as one literal, so that the plan does not grow with it; the planner parses it once."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
     """Number of splitters at or below the row's key, by binary search over a constant array."""
     if not splitters:
         return F.lit(0)
-    table = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in splitters])
+    table = _constant([{"a": a, "b": b} for a, b in splitters], "array<struct<a: bigint, b: bigint>>")
     key = F.struct(F.col("crc").alias("a"), F.col("sid").alias("b"))
 
     def halve(acc: Column, _: Column) -> Column:
@@ -92,7 +99,7 @@ def shard(df: DataFrame, n_shards: int = 8, tolerance: float = 0.01, rows_per_ra
     ids = sorted(fill)
     before = dict(zip(ids, accumulate([0] + [fill[k]["bytes"] for k in ids]), strict=False))
     ahead = dict(zip(ids, accumulate([0] + [fill[k]["n"] for k in ids]), strict=False))
-    starts = lambda d: F.array(*[F.lit(d.get(k, 0)).cast("long") for k in range(ids[-1] + 1)])
+    starts = lambda d: _constant([d.get(k, 0) for k in range(ids[-1] + 1)], "array<bigint>")
     order = Window.partitionBy("rng").orderBy("crc", "sid", "size")
     placed = cut(
         ranged.withColumns(
