@@ -56,14 +56,18 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int, per_source: int)
     return placed
 
 
-def pack(df: DataFrame, capacity: int = 2048, per_source: int = 3, docs_per_group: int = 2000, words_per_group: int = 4_000_000) -> DataFrame:
-    """Pack all rows of ``df(doc_id, text, source)``; one result row for each piece."""
+def pack(df: DataFrame, capacity: int = 2048, per_source: int = 3, docs_per_group: int = 2000, words_per_group: int = 4_000_000, cluster: str | None = None) -> DataFrame:
+    """Pack all rows of ``df(doc_id, text, source)``; one result row for each piece.
+
+    ``cluster`` names a column with the duplicate cluster of a row, such as the components of
+    a near-duplicate join; without it equal texts are a cluster.
+    """
     recs = cut(
         df.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
-            F.xxhash64("text").alias("cluster"),
+            F.xxhash64(F.col(f"`{cluster}`") if cluster else F.col("text")).alias("cluster"),
         )
     )
     rows, words = recs.agg(F.count("*"), F.sum("size")).first()
@@ -92,5 +96,5 @@ def pack(df: DataFrame, capacity: int = 2048, per_source: int = 3, docs_per_grou
         res["bin"] = f"{int(pdf['grp'].iloc[0])}-" + res["bin"]
         return res
 
-    dealt = recs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", F.lit("pack")), F.lit(groups)).cast("int"))
+    dealt = recs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", "cluster", F.lit("pack")), F.lit(groups)).cast("int"))
     return dealt.groupBy("grp").applyInPandas(pack_group, SCHEMA)
