@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,35 @@ def percent_rank_average(value: Column, partition: list[str | Column]) -> Column
     return average_rank(value, partition) / F.count(value).over(Window.partitionBy(*partition))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often and deep the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def array_ranks(values: Column) -> Column:
+    """Ranks of an array's elements, ties at their mean; no element may be null."""
+    ordered = F.array_sort(values)
+    names = F.struct(values.alias("v"), ordered.alias("up"), F.reverse(ordered).alias("down"))
+    return let(names, lambda w: F.transform(w["v"], lambda x: (F.array_position(w["up"], x) + F.size(w["v"]) - F.array_position(w["down"], x) + 1) / 2.0))
+
+
+def array_pearson(x: Column, y: Column) -> Column:
+    """:func:`pearson_from_sums` of two arrays without nulls."""
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def add(acc: Column, z: Column) -> Column:
+        a, b = z["x"], z["y"]
+        return F.struct(*[(acc[k] + v).alias(k) for k, v in zip(names, (F.lit(1.0), a, b, a * a, b * b, a * b), strict=True)])
+
+    pairs = F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+    return let(F.aggregate(pairs, zero, add), lambda t: F.when(t["n"] > 0, pearson_from_sums(*[t[k] for k in names])))
+
+
+def array_mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v), F.nullif(F.size(values), F.lit(0)))
+
+
 def quantile(value: Column, q: float | Column) -> Column:
     """Linear interpolation between order statistics."""
     return F.percentile(value, F.lit(q) if isinstance(q, float) else q)

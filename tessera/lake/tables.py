@@ -166,23 +166,31 @@ def cohort(df: DataFrame, **filters: Any) -> DataFrame:
     return df
 
 
-def medoid(df: DataFrame, id_column: str, traits: list[str], by: list[str] | None = None) -> DataFrame:
-    """The record of each group with the least sum of distances to the group's others; ties to the smaller id."""
+def medoid(df: DataFrame, id_column: str, traits: list[str], by: list[str] | None = None, blocks: int = 16) -> DataFrame:
+    """The record of each group with the least sum of distances to the group's others; ties to the smaller id.
+
+    All distances of a group are needed; its records meet blocks of packed records, and a
+    group is dealt to as many tasks as blocks.
+    """
     keys = by or []
     points = df.select(*keys, F.col(id_column).alias("a"), F.array(*[F.col(t).cast("double") for t in traits]).alias("p"))
-    packed = points.select(*keys, F.col("a").alias("b"), F.col("p").alias("q"))
-    pairs = points.join(packed, keys) if keys else points.crossJoin(packed)
-    distance = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
-    sums = pairs.groupBy(*keys, "a").agg(F.sum(distance).alias("total"))
+    block = F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("_b")
+    packed = points.groupBy(*keys, block).agg(F.collect_list("p").alias("q"))
+    sent = points.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    distance = lambda q: F.sqrt(F.aggregate(F.zip_with("p", q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
+    sums = sent.join(packed, [*keys, "_b"]).groupBy(*keys, "a").agg(F.sum(F.aggregate("q", F.lit(0.0), lambda acc, q: acc + distance(q))).alias("total"))
     return sums.groupBy(*keys).agg(F.min_by("a", F.struct(F.round("total", 9), F.col("a"))).alias(id_column), F.min("total").alias("total_distance"))
 
 
 def aligned_quantiles(df: DataFrame, value: str, offset: str, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """By offset: count, the median, and other quantiles as the value of the nearest rank (halves to even)."""
-    packed = df.where(F.col(value).isNotNull() & F.col(offset).isNotNull()).groupBy(offset).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"), F.percentile(value, F.lit(0.5)).alias("_median"))
-    n = F.size("_v")
-    rank = lambda q: F.element_at("_v", F.bround((n - 1) * F.lit(q)).cast("int") + 1)
-    return packed.select(offset, n.cast("long").alias("count"), *[(F.col("_median") if q == 0.5 else rank(q)).alias(f"q{int(q * 100):02d}") for q in quantiles])
+    full = df.where(F.col(value).isNotNull() & F.col(offset).isNotNull()).select(offset, F.col(value).cast("double").alias("_v"))
+    # Positions come from a sort that can spill, not from a list of all values.
+    placed = full.withColumns({"_i": F.row_number().over(Window.partitionBy(offset).orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(offset))})
+    at = lambda k: F.max(F.when(F.col("_i") == k, F.col("_v")))
+    rank = lambda q: at(F.bround((F.col("_n") - 1) * F.lit(q)).cast("int"))
+    median = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.ceil((F.col("_n") - 1) / 2))) / 2
+    return placed.groupBy(offset).agg(F.count(F.lit(1)).alias("count"), *[(median if q == 0.5 else rank(q)).alias(f"q{int(q * 100):02d}") for q in quantiles])
 
 
 def manifest_split(slices: DataFrame, requested: DataFrame, supported_years: list[int]) -> tuple[DataFrame, DataFrame]:

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.stats import days
 from ..plans.cube import KEYS, PIXEL, Cube
 from ..plans.pipe import verb
 
 
 def _islands(states: Cube, max_gap: int) -> DataFrame:
-    """Cells where the state holds, numbered by run; up to ``max_gap`` other steps do not end a run."""
+    """All cells, numbered by the run that began last; up to ``max_gap`` other steps do not end a run."""
     w = states.along_time()
-    active = states.df.where("state")
-    fresh = F.when(F.col("t_idx") - F.lag("t_idx").over(w) - 1 <= max_gap, 0).otherwise(1)
-    return active.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.last(F.when(F.col("state"), F.col("t_idx")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.col("state") & (before.isNull() | (F.col("t_idx") - before - 1 > max_gap))
+    marked = states.df.withColumn("_new", F.when(fresh, 1).otherwise(0))
+    return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("island") > 0).drop("_new")
 
 
 @verb
@@ -25,18 +29,21 @@ def detect_events(states: Cube, min_duration: int = 1, max_gap: int = 0) -> Data
 
     ``duration`` counts active steps only; peak, mean and integral take in the magnitudes of
     bridged gap steps too.  Ids run by row, column and time from 1.  Everything per pixel
-    shares one partitioning by pixel; ids are numbered on the catalog.
+    shares one partitioning by pixel, and cells are read once: a run's last active step tells
+    which of its cells count.
     """
-    runs = _islands(states, max_gap).groupBy(*PIXEL, "y_idx", "x_idx", "island").agg(F.min("t_idx").alias("t0"), F.max("t_idx").alias("t1"), F.min("time").alias("start"), F.max("time").alias("end"), F.count(F.lit(1)).alias("duration"))
-    kept = runs.where(F.col("duration") >= min_duration)
-    # Statistics over a slice are differences of running ones only for sums; the peak needs the cells themselves.
-    cells = states.df.select(*PIXEL, "t_idx", "magnitude").join(kept, [*PIXEL]).where(F.col("t_idx").between(F.col("t0"), F.col("t1")))
-    keys = [*PIXEL, "y_idx", "x_idx", "t0", "t1", "start", "end", "duration"]
-    events = cells.groupBy(*keys).agg(F.max("magnitude").alias("peak"), F.avg("magnitude").alias("mean"), F.sum("magnitude").alias("integral"))
+    run = [*PIXEL, "island"]
+    last = F.max(F.when(F.col("state"), F.col("t_idx"))).over(Window.partitionBy(*run))
+    cells = _islands(states, max_gap).withColumn("t1", last).where(F.col("t_idx") <= F.col("t1"))
+    active = lambda c: F.when(F.col("state"), F.col(c))
+    events = cells.groupBy(*run, "y_idx", "x_idx", "t1").agg(
+        F.min(active("t_idx")).alias("t0"), F.min(active("time")).alias("start"), F.max(active("time")).alias("end"), F.count(active("t_idx")).alias("duration"),
+        F.max("magnitude").alias("peak"), F.avg("magnitude").alias("mean"), F.sum("magnitude").alias("integral"),
+    ).where(F.col("duration") >= min_duration)
     by_pixel = Window.partitionBy(*PIXEL).orderBy("t0")
-    order = Window.orderBy("y_idx", "x_idx", "t0")
-    return events.select(
-        F.row_number().over(order).cast("long").alias("event_id"),
+    events = events.withColumns({"sequence_index": F.row_number().over(by_pixel), "time_since_previous_event": F.datediff("start", F.lag("end").over(by_pixel)).cast("double")})
+    return numbered(events, "y_idx", ["x_idx", "t0"], "event_id").select(
+        "event_id",
         *PIXEL,
         F.col("y_idx").alias("y_index"),
         F.col("x_idx").alias("x_index"),
@@ -48,8 +55,8 @@ def detect_events(states: Cube, min_duration: int = 1, max_gap: int = 0) -> Data
         "peak",
         "mean",
         "integral",
-        F.row_number().over(by_pixel).alias("sequence_index"),
-        F.datediff("start", F.lag("end").over(by_pixel)).cast("double").alias("time_since_previous_event"),
+        "sequence_index",
+        "time_since_previous_event",
     )
 
 
@@ -81,9 +88,6 @@ def greedy(candidates: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-MATCHES = "source_event_id long, target_event_id long"
-
-
 def candidate_matches(source: DataFrame, target: DataFrame, on: list[str], tolerance: str | int | None = None, anchor: str = "start") -> DataFrame:
     """Pairs of events of one group whose anchors are at most the tolerance apart.
 
@@ -102,26 +106,29 @@ def candidate_matches(source: DataFrame, target: DataFrame, on: list[str], toler
 
 
 def match_events(source: DataFrame, target: DataFrame, on: list[str], tolerance: str | int | None = None, anchor: str = "start") -> DataFrame:
-    """Greedy one-to-one matches by (absolute lag, source id, target id) inside each group ``on``."""
-    pairs = candidate_matches(source, target, on, tolerance, anchor)
+    """Greedy one-to-one matches by (absolute lag, source id, target id) inside each group ``on``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Many groups at once: in the order of a group's candidates, each takes what is still free."""
-        pdf = pdf.sort_values([*on, "abs_lag_days", "source_event_id", "target_event_id"])
-        group = pdf.groupby(on, sort=False).ngroup() if len(pdf) else []
-        used_s, used_t, keep = set(), set(), []
-        for g, s, t in zip(group, pdf["source_event_id"], pdf["target_event_id"], strict=True):
-            free = (g, s) not in used_s and (g, t) not in used_t
-            keep.append(free)
-            if free:
-                used_s.add((g, s))
-                used_t.add((g, t))
-        return pdf[keep][["source_event_id", "target_event_id", *on]]
-
-    kinds = dict(pairs.dtypes)
-    schema = MATCHES + "".join(f", {k} {kinds[k]}" for k in on)
-    spark = pairs.sparkSession
-    deal = F.pmod(F.xxhash64(*on), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    narrow = pairs.select(*on, "source_event_id", "target_event_id", "abs_lag_days")
-    chosen = narrow.groupBy(deal.alias("_deal")).applyInPandas(run, schema)
+    Candidates are sorted by group in their partitions and read once; a task holds what the
+    group at hand has used, whatever the number and size of groups.
+    """
+    pairs = candidate_matches(source, target, on, tolerance, anchor)
+    order = [*on, "abs_lag_days", "source_event_id", "target_event_id"]
+    narrow = pairs.select(*order).repartition(*on).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used_s, used_t = None, set(), set()
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in on), strict=True)
+            keep = []
+            for i, (g, s, t) in enumerate(zip(names, batch.column("source_event_id").to_pylist(), batch.column("target_event_id").to_pylist(), strict=True)):
+                if g != group:
+                    group, used_s, used_t = g, set(), set()
+                if s not in used_s and t not in used_t:
+                    used_s.add(s)
+                    used_t.add(t)
+                    keep.append(i)
+            yield batch.select([*on, "abs_lag_days", "source_event_id", "target_event_id"]).take(pa.array(keep, pa.int64()))
+
+    kinds = dict(narrow.dtypes)
+    chosen = narrow.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in order)).drop("abs_lag_days")
     return pairs.join(chosen, [*on, "source_event_id", "target_event_id"])

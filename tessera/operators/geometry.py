@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cube import KEYS, PIXEL, Cube
+from .align import asof_join
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -101,11 +102,9 @@ def polygon_at_times(polygons: DataFrame, times: DataFrame, interp: str = "neare
     ``nearest``: ties to the earlier; ``linear``: vertices move evenly between equal numbers of
     them; outside the covered time the first or last ring holds.
     """
-    listed = polygons.agg(F.sort_array(F.collect_list(F.struct("time", "ring"))).alias("_p"))
-    t = times.select("time").distinct().crossJoin(F.broadcast(listed))
-    before = F.when(F.exists("_p", lambda p: p["time"] <= F.col("time")), F.element_at(F.filter("_p", lambda p: p["time"] <= F.col("time")), -1))
-    after = F.get(F.filter("_p", lambda p: p["time"] >= F.col("time")), F.lit(0))
-    t = t.withColumns({"_b": before, "_a": after})
+    known = polygons.select("time", F.struct("time", "ring").alias("_p"))
+    t = times.select("time").distinct()
+    t = asof_join(asof_join(t, known.withColumnRenamed("_p", "_b"), [], "_b", "pad"), known.withColumnRenamed("_p", "_a"), [], "_a", "backfill")
     gap = lambda c: F.abs(F.datediff("time", F.col(f"{c}.time")))
     if interp == "nearest":
         ring = F.when(F.col("_a").isNull() | (gap("_b") <= gap("_a")), F.col("_b.ring")).otherwise(F.col("_a.ring"))
@@ -143,9 +142,8 @@ def vase_points(cube: Cube, polygons: DataFrame, interp: str = "nearest") -> Dat
 
 def latest_ring(cells: DataFrame, perimeters: DataFrame, keys: list[str]) -> DataFrame:
     """``cells(keys, time, ...)`` with the last ring of ``perimeters(keys, time, ring)`` up to their time."""
-    spans = perimeters.withColumn("_until", F.lead("time").over(Window.partitionBy(*keys).orderBy("time"))).withColumnRenamed("time", "_from")
-    on = [cells[k] == spans[k] for k in keys] + [cells["time"] >= spans["_from"], spans["_until"].isNull() | (cells["time"] < spans["_until"])]
-    return cells.join(spans, on, "left").select(*[cells[c] for c in cells.columns], spans["ring"])
+    days = asof_join(cells.select(*keys, "time").distinct(), perimeters.select(*keys, "time", "ring"), keys, "ring")
+    return cells.join(days, [*keys, "time"], "left").select(*cells.columns, "ring")
 
 
 def sample_inside_outside(cells: DataFrame, perimeters: DataFrame, keys: list[str], half: float) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, days, haversine, pearson
+from ..functions.numbering import numbered
+from ..functions.scratch import cut
+from ..functions.stats import array_mean, array_pearson, array_ranks, days, haversine, pearson
 from ..plans.cube import KEYS, PIXEL, Cube
 from ..plans.pipe import verb
 from .events import match_events
 from .rolling import windows
 
-MODES = ("reference", "neighbors", "all_pairs", "regional")
+MODES = ("reference", "neighbors", "all_pairs", "regional", "blocks")
 
 
 def pixel_ids(cube: Cube) -> DataFrame:
     """(pixel, y, x, y_idx, x_idx): pixels numbered row by row; as many rows as pixels."""
-    return cube.pixels().withColumn("pixel", (F.row_number().over(Window.orderBy("y_idx", "x_idx")) - 1).cast("long"))
+    return numbered(cube.pixels(), "y_idx", ["x_idx"], "pixel", start=0)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -25,24 +30,38 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _side(p: DataFrame, name: str) -> DataFrame:
-    return p.select(F.col("pixel").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("y", "x", "y_idx", "x_idx")])
+    return p.select(F.col("pixel").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in p.columns if c != "pixel"])
 
 
 def _label(side: str) -> Column:
     return F.concat(F.lit("y="), F.col(f"{side}_y").cast("string"), F.lit(",x="), F.col(f"{side}_x").cast("string"))
 
 
-def spatial_pairs(cube: Cube, mode: str = "reference", reference: tuple[int, int] | int | None = None, radius_km: float | None = None, k: int | None = None) -> DataFrame:
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(source, target, their labels, no distance): all pairs of the blocks of ``blocks(block, ...)`` in the order of their names."""
+    names = blocks.select("block").distinct().withColumn("pixel", (F.row_number().over(Window.orderBy("block")) - 1).cast("long"))
+    a, b = (names.select(F.col("pixel").alias(s), F.col("block").alias(f"{s}_label")) for s in ("source", "target"))
+    return a.join(b, F.col("source") < F.col("target")).select("source", "target", F.lit(None).cast("double").alias("distance"), "source_label", "target_label")
+
+
+def spatial_pairs(cube: Cube | DataFrame, mode: str = "reference", reference: tuple[int, int] | int | None = None, radius_km: float | None = None, k: int | None = None, series: DataFrame | None = None) -> DataFrame:
     """Pixel pairs (pair, source, target, their coordinates, distance).
 
     ``reference``: every pixel, itself included, with one pixel (a flat number, a (row,
     column) position, or the centre if None).  ``neighbors``: i < j within ``radius_km``, or
-    the union of each pixel's ``k`` nearest (ties to the lower number), or all.  The other
-    modes: all i < j.  A radius meets only pixels of neighbouring grid squares.
+    the union of each pixel's ``k`` nearest (ties to the lower number), or all.  ``blocks``:
+    pairs of named blocks, see :func:`block_pairs`.  The other modes: all i < j.  A radius
+    meets only pixels of neighbouring grid squares, and so do nearest pixels, in squares that
+    grow until each has enough of them.  Columns of ``series(y, x, ...)`` go along with the
+    pixels, so that no pair has to be joined with them.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    if mode == "blocks":
+        return block_pairs(cube)
     p = pixel_ids(cube)
+    if series is not None:
+        p = p.join(series, [*PIXEL])
     if mode == "reference":
         if isinstance(reference, int):
             chosen = p.where(F.col("pixel") == reference)
@@ -52,49 +71,92 @@ def spatial_pairs(cube: Cube, mode: str = "reference", reference: tuple[int, int
             mid = p.agg(F.floor((F.max("y_idx") + 1) / 2).cast("int").alias("_cy"), F.floor((F.max("x_idx") + 1) / 2).cast("int").alias("_cx"))
             chosen = p.join(F.broadcast(mid), (F.col("y_idx") == F.col("_cy")) & (F.col("x_idx") == F.col("_cx"))).drop("_cy", "_cx")
         pairs = _side(p, "source").crossJoin(F.broadcast(_side(chosen, "target")))
-    elif mode == "neighbors" and radius_km is not None and k is None:
-        pairs = _within(p, radius_km)
+    elif mode == "neighbors" and k is not None:
+        near = _nearest(p.select("pixel", *PIXEL, "y_idx", "x_idx"), k, radius_km)
+        pairs = near.join(_side(p, "source"), "source").join(_side(p, "target"), "target")
+    elif mode == "neighbors" and radius_km is not None:
+        pairs = _near(p, p, radius_km).where(F.col("source") < F.col("target"))
     else:
         pairs = _side(p, "source").join(_side(p, "target"), F.col("source") < F.col("target"))
     pairs = pairs.withColumn("distance", _distance("source", "target"))
     if mode == "neighbors" and radius_km is not None:
         pairs = pairs.where(F.col("distance") <= radius_km)
-    if mode == "neighbors" and k is not None:
-        near = Window.partitionBy("_from").orderBy(F.round("distance", 9), "_to")
-        ends = pairs.select("source", "target", "distance", F.explode(F.array(F.struct(F.col("source").alias("_from"), F.col("target").alias("_to")), F.struct(F.col("target").alias("_from"), F.col("source").alias("_to")))).alias("_e")).select("source", "target", "distance", "_e.*")
-        nearest = ends.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k).select("source", "target").distinct()
-        pairs = pairs.join(nearest, ["source", "target"], "left_semi")
-    return pairs.select("source", "target", *[f"{s}_{c}" for s in ("source", "target") for c in PIXEL], "distance", _label("source").alias("source_label"), _label("target").alias("target_label"))
+    carried = [] if series is None else [f"{s}_{c}" for s in ("source", "target") for c in series.columns if c not in PIXEL]
+    return pairs.select("source", "target", *[f"{s}_{c}" for s in ("source", "target") for c in PIXEL], "distance", _label("source").alias("source_label"), _label("target").alias("target_label"), *carried)
 
 
-def _within(p: DataFrame, radius: float) -> DataFrame:
-    """Pixels of one or of neighbouring squares with a side of at least the radius.
+def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Pixels of ``a`` with others of ``b`` in the same or neighbouring squares with a side of at least the radius.
 
     For degrees a square spans the radius along the meridian, and in longitude as much as
     the radius spans at the pixel farthest from the equator.
     """
-    box = p.agg(F.max(F.abs(F.col("y").cast("double"))).alias("_ymax"), F.max(F.abs(F.col("x").cast("double"))).alias("_xmax"))
+    box = b.agg(F.max(F.abs(F.col("y").cast("double"))).alias("_ymax"), F.max(F.abs(F.col("x").cast("double"))).alias("_xmax"))
     degrees = (F.col("_ymax") <= 90) & (F.col("_xmax") <= 180)
     dy = F.when(degrees, F.lit(radius / 111.0)).otherwise(F.lit(radius))
     dx = F.when(degrees, F.lit(radius / 111.0) / F.greatest(F.cos(F.radians(F.least(F.col("_ymax") + F.lit(radius / 111.0), F.lit(89.9)))), F.lit(1e-3))).otherwise(F.lit(radius))
-    q = p.crossJoin(F.broadcast(box)).withColumns({"_cy": F.floor(F.col("y") / dy), "_cx": F.floor(F.col("x") / dx)}).drop("_ymax", "_xmax")
-    a = _side(q, "source").join(q.select(F.col("pixel").alias("source"), "_cy", "_cx"), "source")
+    squared = lambda p: p.crossJoin(F.broadcast(box)).withColumns({"_cy": F.floor(F.col("y") / dy), "_cx": F.floor(F.col("x") / dx)}).drop("_ymax", "_xmax")
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = _side(q, "target").join(q.select(F.col("pixel").alias("target"), "_cy", "_cx"), "target").withColumn("_o", offsets).withColumns({"_cy": F.col("_cy") + F.col("_o.i"), "_cx": F.col("_cx") + F.col("_o.j")}).drop("_o")
-    return a.join(b, ["_cy", "_cx"]).where(F.col("source") < F.col("target")).drop("_cy", "_cx")
+    left = _side(squared(a), "source").withColumnsRenamed({"source__cy": "_cy", "source__cx": "_cx"})
+    right = _side(squared(b), "target").withColumn("_o", offsets).withColumns({"_cy": F.col("target__cy") + F.col("_o.i"), "_cx": F.col("target__cx") + F.col("_o.j")}).drop("_o", "target__cy", "target__cx")
+    return left.join(right, ["_cy", "_cx"]).where(F.col("source") != F.col("target")).drop("_cy", "_cx")
 
 
-def _series(cube: Cube, columns: list[str]) -> DataFrame:
-    """One row per pixel with its cells packed into an array by time: pairs then join rows, not cells."""
-    packed = cube.df.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("t_idx", *columns))).alias("cells"))
-    return packed
+def _nearest(p: DataFrame, k: int, radius_km: float | None) -> DataFrame:
+    """(source, target), source < target: the union of each pixel's ``k`` nearest, none beyond the radius.
+
+    The squares' side begins at about the distance that holds k pixels and doubles for the
+    pixels that have not found as many yet.
+    """
+    n, y0, y1, x0, x1, far = p.agg(F.count(F.lit(1)), *[f(F.col(c).cast("double")) for c in ("y", "x") for f in (F.min, F.max)], F.max(F.abs(F.col("y").cast("double")))).first()
+    ends = p.select(F.lit(None).cast("long").alias("source"), F.lit(None).cast("long").alias("target")).limit(0)
+    if not n or k < 1:
+        return ends
+    degrees = far <= 90 and max(abs(x0), abs(x1)) <= 180
+    high, wide = ((y1 - y0) * 111.0, (x1 - x0) * 111.0 * max(0.05, math.cos(math.radians(min(far, 89.0))))) if degrees else (y1 - y0, x1 - x0)
+    whole = max(20_100.0 if degrees else math.hypot(high, wide), 1e-9) * 1.01
+    side = min(whole, max(whole * 1e-6, math.sqrt(max(high, whole * 1e-3) * max(wide, whole * 1e-3) * (k + 1) / n)))
+    left, found = p, []
+    while True:
+        last = side >= min(whole, radius_km or whole)
+        side = min(side, radius_km or whole) if last else side
+        # Only what lies within the side is sure to be complete.
+        near = _near(left, p, side) if side < whole else _side(left, "source").join(_side(p, "target"), F.col("source") != F.col("target"))
+        near = near.withColumn("distance", _distance("source", "target")).where(F.col("distance") <= (radius_km if last and radius_km else side if not last else float("inf")))
+        ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("source").orderBy(F.round("distance", 9), "target"))).where(F.col("_rank") <= k).select("source", "target", "_rank")
+        ranked = cut(ranked)
+        done = ranked.where(F.col("_rank") == k).select("source")
+        found.append(ranked.select("source", "target") if last else ranked.join(done, "source", "left_semi").select("source", "target"))
+        if last:
+            break
+        left = cut(left.join(done, left["pixel"] == done["source"], "left_anti"))
+        if left.isEmpty():
+            break
+        side *= 2
+    every = functools.reduce(DataFrame.unionByName, found)
+    return every.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+
+
+def _bitmaps(states: Cube) -> DataFrame:
+    """One row per pixel with its states as words of 64 times: ``on`` where the state holds, ``known`` where there is one."""
+    bit = F.expr("shiftleft(1L, t_idx % 64)")
+    word = F.floor(F.col("t_idx") / 64).cast("int").alias("word")
+    zero = F.lit(0).cast("long")
+    words = states.df.groupBy(*PIXEL, word).agg(F.bit_or(F.when(F.col("state"), bit).otherwise(zero)).alias("on"), F.bit_or(F.when(F.col("state").isNotNull(), bit).otherwise(zero)).alias("known"))
+    return words.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("word", "on", "known"))).alias("words"))
+
+
+def _masks(cube: Cube, window: str | int | None, stride: int) -> DataFrame:
+    """(window_end, mask): the times of each window as words of 64."""
+    last = cube.times().agg(F.max("t_idx").alias("_last"))
+    bounds = _window_bounds(cube, window, stride).crossJoin(F.broadcast(last))
+    part = "shiftleft(-1L, greatest(_w0 - 64 * k, 0)) & shiftrightunsigned(-1L, 63 - least(_w1 - 64 * k, 63))"
+    return bounds.select("window_end", F.expr(f"transform(sequence(0, cast(floor(_last / 64) AS int)), k -> CASE WHEN _w1 >= 64 * k AND _w0 <= 64 * k + 63 THEN {part} ELSE 0L END)").alias("mask"))
 
 
-def _paired(states: Cube, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    s = _series(states, columns)
-    left = s.select(F.col("y").alias("source_y"), F.col("x").alias("source_x"), F.col("cells").alias("a"))
-    right = s.select(F.col("y").alias("target_y"), F.col("x").alias("target_x"), F.col("cells").alias("b"))
-    return pairs.join(left, ["source_y", "source_x"]).join(right, ["target_y", "target_x"])
+def _series(cube: Cube, columns: list[str]) -> DataFrame:
+    """One row per pixel with its cells packed into an array by time: pairs then hold series, not cells."""
+    return cube.df.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("t_idx", *columns))).alias("cells"))
 
 
 def _window_bounds(cube: Cube, window: str | int | None, stride: int) -> DataFrame:
@@ -105,18 +167,22 @@ def _window_bounds(cube: Cube, window: str | int | None, stride: int) -> DataFra
 def occurrence_synchrony(states: Cube, mode: str = "reference", window: str | int | None = None, stride: int = 1, **pairing) -> DataFrame:
     """Jaccard, joint probability and phi of the states of each pair, by window.
 
-    The cells of a dense cube align by position, so packed series are zipped and sliced.
+    A pixel's states are a few words of bits, so a pair's counts are bit counts of words,
+    and a window is a mask over them.
     """
-    pairs = spatial_pairs(states, mode, **pairing)
-    both = _paired(states, pairs, ["state"]).crossJoin(F.broadcast(_window_bounds(states, window, stride)))
-    z = F.slice(F.arrays_zip(F.col("a.state").alias("s"), F.col("b.state").alias("t")), F.col("_w0") + 1, F.col("_w1") - F.col("_w0") + 1)
-    both = both.withColumn("_z", z)
-    count = lambda f: F.size(F.filter("_z", f)).cast("double")
-    c = both.select(
-        "window_end", *pairs.columns,
-        count(lambda p: p["s"] & p["t"]).alias("joint"), count(lambda p: p["s"] | p["t"]).alias("union"), count(lambda p: p["s"].isNotNull() & p["t"].isNotNull()).alias("n"),
-        count(lambda p: p["s"] & p["t"].isNotNull()).alias("na"), count(lambda p: p["t"] & p["s"].isNotNull()).alias("nb"),
-    )
+    pairs = spatial_pairs(states, mode, series=_bitmaps(states), **pairing)
+    both = pairs.crossJoin(F.broadcast(_masks(states, window, stride)))
+    z = F.arrays_zip(F.col("source_words").alias("a"), F.col("target_words").alias("b"), F.col("mask").alias("m"))
+    names = ("joint", "union", "n", "na", "nb")
+
+    def add(acc: Column, w: Column) -> Column:
+        a, b, ka, kb, m = w["a"]["on"], w["b"]["on"], w["a"]["known"], w["b"]["known"], w["m"]
+        parts = (a.bitwiseAND(b), a.bitwiseOR(b), ka.bitwiseAND(kb), a.bitwiseAND(kb), b.bitwiseAND(ka))
+        return F.struct(*[(acc[k] + F.bit_count(x.bitwiseAND(m))).alias(k) for k, x in zip(names, parts, strict=True)])
+
+    counts = F.aggregate(z, F.struct(*[F.lit(0).alias(k) for k in names]), add)
+    plain = [c for c in pairs.columns if not c.endswith("_words")]
+    c = both.select("window_end", *plain, counts.alias("_c")).select("window_end", *plain, *[F.col(f"_c.{k}").cast("double").alias(k) for k in names])
     n, a, b, j = (F.col(x) for x in ("n", "na", "nb", "joint"))
     denominator = F.sqrt(a * (n - a) * b * (n - b))
     return c.withColumns({"jaccard": F.try_divide(j, F.nullif("union", F.lit(0.0))), "joint_probability": F.try_divide(j, F.nullif(n, F.lit(0.0))), "phi": F.try_divide(n * j - a * b, F.nullif(denominator, F.lit(0.0)))}).drop("na", "nb")
@@ -124,26 +190,25 @@ def occurrence_synchrony(states: Cube, mode: str = "reference", window: str | in
 
 @verb
 def severity_synchrony(states: Cube, mode: str = "reference", method: str = "spearman", min_joint: int = 10, window: str | int | None = None, stride: int = 1, **pairing) -> DataFrame:
-    """Correlation of magnitudes where both states hold; null below ``min_joint`` such times."""
+    """Correlation of magnitudes where both states hold; null below ``min_joint`` such times.
+
+    A pair and window is one row: the times at which both hold are filtered, ranked and
+    summed up inside arrays.
+    """
     if method not in ("spearman", "pearson"):
         raise ValueError("method is spearman or pearson")
-    pairs = spatial_pairs(states, mode, **pairing)
-    w = _window_bounds(states, window, stride)
-    active = F.transform(
-        F.filter(F.arrays_zip(F.col("a").alias("p"), F.col("b").alias("q")), lambda z: z["p"]["state"] & z["q"]["state"] & z["p"]["magnitude"].isNotNull() & z["q"]["magnitude"].isNotNull()),
-        lambda z: F.struct(z["p"]["t_idx"].alias("t"), z["p"]["magnitude"].alias("x"), z["q"]["magnitude"].alias("y")),
-    )
-    both = _paired(states, pairs, ["state", "magnitude"]).withColumn("_z", active).drop("a", "b").crossJoin(F.broadcast(w))
-    rows = both.select("window_end", *pairs.columns, F.explode(F.filter("_z", lambda z: z["t"].between(F.col("_w0"), F.col("_w1")))).alias("_c")).select("window_end", *pairs.columns, "_c.x", "_c.y")
-    key = ["window_end", "source", "target"]
-    x, y = F.col("x"), F.col("y")
-    scored = rows.select(*key, "x", "y", *([average_rank(x, key).alias("rx"), average_rank(y, key).alias("ry")] if method == "spearman" else [x.alias("rx"), y.alias("ry")]))
-    out = scored.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_joint"), F.when(F.count(F.lit(1)) >= min_joint, pearson(F.col("rx"), F.col("ry"))).alias("severity"),
-        F.avg("x").alias("mean_source"), F.avg("y").alias("mean_target"), F.avg(F.abs(x - y)).alias("mean_abs_difference"),
+    pairs = spatial_pairs(states, mode, series=_series(states, ["state", "magnitude"]), **pairing)
+    plain = [c for c in pairs.columns if not c.endswith("_cells")]
+    usable = lambda z: z["p"]["state"] & z["q"]["state"] & z["p"]["magnitude"].isNotNull() & z["q"]["magnitude"].isNotNull()
+    joint = F.transform(F.filter(F.arrays_zip(F.col("source_cells").alias("p"), F.col("target_cells").alias("q")), usable), lambda z: F.struct(z["p"]["t_idx"].alias("t"), z["p"]["magnitude"].alias("x"), z["q"]["magnitude"].alias("y")))
+    both = pairs.select(*plain, joint.alias("_z")).crossJoin(F.broadcast(_window_bounds(states, window, stride)))
+    both = both.withColumn("_z", F.filter("_z", lambda z: z["t"].between(F.col("_w0"), F.col("_w1"))))
+    x, y, n = F.col("_z.x"), F.col("_z.y"), F.size("_z")
+    score = array_pearson(array_ranks(x), array_ranks(y)) if method == "spearman" else array_pearson(x, y)
+    return both.select(
+        "window_end", *plain, n.cast("long").alias("n_joint"), F.when(n >= min_joint, score).alias("severity"),
+        array_mean(x).alias("mean_source"), array_mean(y).alias("mean_target"), array_mean(F.transform("_z", lambda z: F.abs(z["x"] - z["y"]))).alias("mean_abs_difference"),
     )
-    every = pairs.crossJoin(F.broadcast(w.select("window_end")))
-    return every.join(out, key, "left").withColumn("n_joint", F.coalesce("n_joint", F.lit(0)))
 
 
 def _matched(catalog: DataFrame, pairs: DataFrame, tolerance: str | int | None) -> DataFrame:

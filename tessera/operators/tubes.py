@@ -7,31 +7,18 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graph import connected
+from ..functions.numbering import numbered
+from ..functions.scratch import cut
 from ..plans.cube import KEYS, POSITIONS, Cube
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, or, where none is set, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import atexit
-        import shutil
-        import tempfile
-
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            named = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
 def label_tubes(mask: Cube, connectivity: int = 6) -> DataFrame:
     """Cells of the mask with a ``tube_id``, numbered from 1 by each tube's first cell.
 
-    Cells start in runs along time, found by one window; runs that touch are joined by
-    least labels with pointer jumping.  Only run labels and their contacts, not cells, go
-    round, and every round is cut.
+    Cells start in runs along time, found by one window; the graph of runs that touch is
+    contracted until a small rest is left.  Only run labels and their contacts, not cells,
+    go round, and every round is cut.  Tubes are numbered by the time of their first cell.
     """
     if connectivity not in (6, 26):
         raise ValueError("connectivity is 6 or 26")
@@ -40,23 +27,17 @@ def label_tubes(mask: Cube, connectivity: int = 6) -> DataFrame:
     w = Window.partitionBy("y_idx", "x_idx").orderBy("t_idx")
     on = on.crossJoin(F.broadcast(size)).withColumn("cell", (F.col("t_idx") * F.col("_ny") + F.col("y_idx")) * F.col("_nx") + F.col("x_idx")).drop("_ny", "_nx")
     on = on.withColumn("_g", F.col("t_idx") - F.row_number().over(w))
-    runs = _cut(on.withColumn("run", F.min("cell").over(Window.partitionBy("y_idx", "x_idx", "_g"))).drop("_g"))
+    runs = cut(on.withColumn("run", F.min("cell").over(Window.partitionBy("y_idx", "x_idx", "_g"))).drop("_g"))
     steps = [(0, 0, 1), (0, 1, 0)] if connectivity == 6 else [d for d in product((-1, 0, 1), repeat=3) if d[1:] > (0, 0)]
     offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(d, "tyx", strict=True)]) for d in steps]))
     shifted = runs.select(F.col("run").alias("u"), "t_idx", "y_idx", "x_idx", offsets.alias("d")).select("u", *[(F.col(f"{n}_idx") + F.col(f"d.{n}")).alias(f"{n}_idx") for n in "tyx"])
-    edges = _cut(shifted.join(runs.select(*POSITIONS, F.col("run").alias("v")), [*POSITIONS]).select("u", "v").where("u <> v").distinct())
-    both = _cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = runs.select(F.col("run").alias("node"), F.col("run").alias("label")).distinct()
-    while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        hooked = _cut(labels.join(near, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low")))
-        roots = hooked.select(F.col("node").alias("_r"), F.col("low").alias("_j"))
-        jumped = _cut(hooked.join(roots, F.col("low") == F.col("_r"), "left").select("node", "label", F.least("low", F.coalesce("_j", "low")).alias("new")))
-        labels = jumped.select("node", F.col("new").alias("label"))
-        if jumped.where("new < label").isEmpty():
-            break
-    ids = labels.select("label").distinct().withColumn("tube_id", F.row_number().over(Window.orderBy("label")).cast("long"))
-    return runs.join(labels, F.col("run") == F.col("node")).join(ids, "label").select(*KEYS, *POSITIONS, "tube_id")
+    edges = shifted.join(runs.select(*POSITIONS, F.col("run").alias("v")), [*POSITIONS]).select("u", "v").where("u <> v")
+    labels = connected(edges, "u", "v")
+    named = runs.join(labels, F.col("run") == F.col("node"), "left").withColumn("label", F.coalesce("component", "run")).drop("node", "component")
+    # A tube's label is its first cell's number, whose quotient by the pixels of a time is that time.
+    firsts = named.where(F.col("cell") == F.col("label")).select("label", "t_idx")
+    ids = numbered(firsts, "t_idx", ["label"], "tube_id").select("label", "tube_id")
+    return named.join(ids, "label").select(*KEYS, *POSITIONS, "tube_id")
 
 
 def tube_metrics(tubes: DataFrame) -> DataFrame:
