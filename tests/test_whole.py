@@ -5,10 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera import queries_lake
-from tessera.llm import crf
 from tessera.ml import models
 
 
@@ -64,17 +62,3 @@ def test_exposure_zones_of_every_day(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     tenth = {(e, d, z): n for e, d, z, n in con.sql(queries_lake.EXPOSURE_TENTH_SQL).fetchall()}
     assert tenth and tenth == {k: n for k, n in out.items() if k[1] % 10 == 0}
-
-
-def test_training_takes_distinct_texts_of_every_language(spark):
-    rows = [(f"text {i}", "aa" if i % 2 else "bb") for i in range(4000)]
-    df = spark.createDataFrame(rows, "text string, lang string")
-    first = df.orderBy(F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11)).first()
-    rows += [(first["text"], first["lang"])] * 3000 + [("a rare text", "cc")] + [(f"other {i}", "dd") for i in range(9)]
-    df = spark.createDataFrame(rows, "text string, lang string").withColumn("held_out", F.lit(False))
-    texts, langs = crf.training_sample(df, 100)
-    count = Counter(langs)
-    assert len(set(texts)) == len(texts) == 100 and count["cc"] == 1 and count["dd"] == 9 and count["aa"] == count["bb"] == 45
-    texts, langs = crf.training_sample(df, 3)
-    assert len(texts) == 3 and len(set(langs)) == 3
-    assert crf.training_sample(df.limit(0), 100) == ([], [])
