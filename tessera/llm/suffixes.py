@@ -11,14 +11,20 @@ suffixes are sorted that can decide anything:
    place inside.  Each chunk reports the distinct hashes of its anchors, and learns which
    of them other chunks have too.  An anchor of one document alone decides nothing.
 3. The suffixes that start at shared anchors, with the bytes before them, are
-   range-partitioned by their leading bytes at sampled splitters.  Equal ones of a chunk
-   travel once, with the smallest id, so that a passage of very many documents does not
-   fill one range.  All suffixes of one anchor share their leading bytes and so their range.
-4. A range is sorted locally, several bytes at a time (multikey), both forwards from the
-   anchor and backwards from it.  Common-prefix lengths of neighbours in either order
-   number the classes of equal strings of every length, and a pair of classes (backward,
-   forward) is a class of equal strings around the anchor, whose smallest document decides.
-5. Verdicts go back to the chunks, which cut the covered bytes.
+   range-partitioned by their leading bytes.  Splitters are quantiles of a sample of shared
+   anchors, weighted by the chunks that have them; there are the more ranges the more bytes
+   there are.  Equal suffixes of a chunk travel once, with the smallest id, so that a
+   passage of very many documents does not fill one range.
+4. A range is sorted locally by multikey quicksort over words of eight bytes, both forwards
+   from the anchor and backwards from it.  Common-prefix lengths of neighbours in either
+   order number the classes of equal strings of every length, and a pair of classes
+   (backward, forward) is a class of equal strings around the anchor, whose smallest
+   document decides.  Ranges are cut between anchors, never inside one, so no class of
+   equal strings reaches over a boundary and neighbouring ranges need no comparison.
+5. An anchor that very many chunks have (``hot_chunks``) would overfill its range wherever
+   splitters fall.  Its strings of LENGTH bytes go instead, each as a whole, to further
+   ranges by their own hash, and are sorted and compared there.
+6. Verdicts go back to the chunks, which cut the covered bytes.
 
 Nothing is compared by hash alone except in step 2, where a collision only lets a suffix
 take part needlessly.
@@ -40,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed_table, planned_bytes, release, scratch_table, shuffle_partitions, small_batches
+from .shared import bucketed_table, cut, discard, planned_bytes, release, scratch_scope, scratch_table, shuffle_partitions, small_batches
 
 LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
@@ -49,8 +55,13 @@ SLICE = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 CHUNKS = "chunk long, ids binary, keys binary, lens binary, blob binary, rest binary"
-REQUESTS = "chunk long, part int, hashes binary"
-ANSWERS = "chunk long, part int, mask binary"
+#: Chunks that share an anchor from which on its strings are dealt one by one.
+HOT_CHUNKS = 1 << 16
+#: One hash in so many is reported with its anchor, as sample for the splitters.
+DRAWN = 16
+
+REQUESTS = "chunk long, part int, hashes binary, leads binary"
+ANSWERS = "chunk long, part int, mask binary, hot binary, lead binary, weight long"
 CONTEXTS = "chunk long, part int, ctx binary, room binary, docs binary, pos binary, of binary, first binary"
 VERDICTS = "chunk long, pos binary, mask binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -223,43 +234,86 @@ def _ask(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             blob, _, lens = _chunk(row)
-            u = np.unique(anchors(blob, lens)[1])
+            pos, h = anchors(blob, lens)
+            u, first = np.unique(h, return_index=True)
             at = _parts_of(u, parts)
             full = [k for k in range(parts) if at[k] < at[k + 1]]
             if full:
-                yield _batch(REQUESTS, [row["chunk"]] * len(full), full, [u[at[k] : at[k + 1]].tobytes() for k in full])
+                drawn = np.flatnonzero(u % np.uint64(DRAWN) == 0)
+                leads = np.lib.stride_tricks.sliding_window_view(blob, ANCHOR)[pos[first[drawn]]]
+                cuts = [(slice(at[k], at[k + 1]), slice(*np.searchsorted(drawn, [at[k], at[k + 1]]))) for k in full]
+                yield _batch(REQUESTS, [row["chunk"]] * len(full), full, [u[c].tobytes() for c, _ in cuts], [leads[d].tobytes() for _, d in cuts])
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    asked = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("hashes").chunks for x in c]
-    every = np.sort(np.concatenate(asked))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    out: tuple[list, list, list] = ([], [], [])
-    part = table.column("part")[0].as_py()
-    if len(shared):
-        for chunk, h in zip(table.column("chunk").to_pylist(), asked, strict=True):
-            hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
+def _answer(hot_chunks: int):
+    def run(table: pa.Table) -> pa.Table:
+        asked = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("hashes").chunks for x in c]
+        found, times = np.unique(np.concatenate(asked), return_counts=True)
+        shared, times = found[times > 1], times[times > 1]
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        part = table.column("part")[0].as_py()
+        drawn: dict[int, bytes] = {}
+        for chunk, h, x in zip(table.column("chunk").to_pylist(), asked, (x.as_buffer() for c in table.column("leads").chunks for x in c), strict=True):
+            at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+            hit = shared[at] == h if len(shared) else np.zeros(len(h), bool)
             if hit.any():
-                for col, v in zip(out, (chunk, part, np.packbits(hit).tobytes()), strict=True):
+                hot = hit & (times[at] >= hot_chunks)
+                for col, v in zip(out, (chunk, part, np.packbits(hit).tobytes(), np.packbits(hot).tobytes() if hot.any() else b"", None, None), strict=True):
                     col.append(v)
-    return pa.Table.from_batches([_batch(ANSWERS, *out)])
+            with_lead = np.flatnonzero(h % np.uint64(DRAWN) == 0)
+            leads = np.frombuffer(x, np.uint8).reshape(-1, ANCHOR)
+            for i in np.flatnonzero(hit[with_lead] & (times[at[with_lead]] < hot_chunks) if len(shared) else []).tolist():
+                drawn[int(at[with_lead[i]])] = leads[i].tobytes()
+        for k, lead in drawn.items():
+            for col, v in zip(out, (None, part, None, None, lead, int(times[k])), strict=True):
+                col.append(v)
+        return pa.Table.from_batches([_batch(ANSWERS, *out)])
 
+    return run
 
-def _draw(per_chunk: int):
-    """Leading bytes of a few suffixes of each chunk, as sample for the splitters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            blob = row["blob"]
-            n = len(blob) - LENGTH
-            if n > 0:
-                at = np.random.default_rng(row["chunk"]).integers(0, n, per_chunk).tolist()
-                keys = [int.from_bytes(blob[p : p + 8], "big") - 2**63 for p in at]
-                yield _batch("key long, rank long", keys, [hash((row["chunk"], p)) for p in at])
-
-    return run
+def _splitters(drawn: list[tuple[bytes, int]], parts: int) -> np.ndarray:
+    """Boundaries of ``parts`` ranges of anchors, of equal weight in the sample."""
+    if not drawn:
+        return np.zeros(0, f"S{ANCHOR}")
+    leads = np.array([x for x, _ in drawn], f"S{ANCHOR}")
+    order = np.argsort(leads)
+    weight = np.cumsum(np.array([w for _, w in drawn], np.float64)[order])
+    return np.unique(leads[order][np.searchsorted(weight, weight[-1] * np.arange(1, parts) / parts)])
+
+
+def _deal(chunk: int, part: np.ndarray, n_parts: int, texts: np.ndarray, rooms: np.ndarray | None, least: np.ndarray, pos: np.ndarray, of: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """One row for each part: its distinct texts with their least documents, and all their occurrences (``of``: which text)."""
+    parts = np.unique(part)
+    by_part = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[by_part], parts)
+    ends = np.append(bounds[1:], len(part))
+    new_no = np.empty(len(part), np.int64)
+    new_no[by_part] = np.arange(len(part)) - np.repeat(bounds, ends - bounds)
+    occ = np.argsort(part[of], kind="stable")
+    sorted_of = part[of][occ]
+    occ_bounds, occ_ends = np.searchsorted(sorted_of, parts), np.searchsorted(sorted_of, parts, side="right")
+    out: list[list] = [[] for _ in range(8)]
+    for i, k in enumerate(parts.tolist()):
+        own, o = by_part[bounds[i] : ends[i]], occ[occ_bounds[i] : occ_ends[i]]
+        values = (
+            chunk, n_parts + k, texts[own].tobytes(), b"" if rooms is None else rooms[own].tobytes(), least[own].tobytes(),
+            pos[o].astype(np.uint32).tobytes(), new_no[of[o]].astype(np.uint32).tobytes(), (docs[o] == least[of[o]]).tobytes(),
+        )
+        for col, v in zip(out, values, strict=True):
+            col.append(v)
+    return _batch(CONTEXTS, *out)
+
+
+def _distinct(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct row first is, which of them each row is, and the least document of each."""
+    rows = np.ascontiguousarray(rows)
+    _, first, of = np.unique(rows.view(np.dtype((np.void, rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(first), NO_ID)
+    np.minimum.at(least, of, docs)
+    return first, of, least
 
 
 def _contexts(parts: int, splitters: np.ndarray):
@@ -270,66 +324,98 @@ def _contexts(parts: int, splitters: np.ndarray):
             if not len(pos):
                 continue
             u, inv = np.unique(h, return_inverse=True)
-            owner = np.searchsorted(np.cumsum(lens), pos, side="right")
+            ends = np.cumsum(lens)
+            owner = np.searchsorted(ends, pos, side="right")
             docs = ids[owner]
             # Shared inside the chunk by two ids, or with another chunk.
             low, high = np.full(len(u), NO_ID), np.full(len(u), np.iinfo(np.int64).min)
             np.minimum.at(low, inv, docs)
             np.maximum.at(high, inv, docs)
-            shared = low < high
+            shared, hot = low < high, np.zeros(len(u), bool)
             at = _parts_of(u, parts)
             for answer in row["answers"] or []:
-                k = answer["part"]
-                shared[at[k] : at[k + 1]] |= np.unpackbits(np.frombuffer(answer["mask"], np.uint8), count=at[k + 1] - at[k]).astype(bool)
-            take = shared[inv]
-            pos, docs, owner = pos[take], docs[take], owner[take]
-            if not len(pos):
-                continue
-            ends = np.cumsum(lens)
+                own = slice(at[answer["part"]], at[answer["part"] + 1])
+                for known, mask in ((shared, answer["mask"]), (hot, answer["hot"])):
+                    if mask:
+                        known[own] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=own.stop - own.start).astype(bool)
             left = np.minimum(pos - (ends[owner] - lens[owner]), LEFT).astype(np.uint8)
             right = np.minimum(ends[owner] - pos, LENGTH).astype(np.uint8)
-            padded = np.concatenate([np.zeros(LEFT, np.uint8), blob, np.zeros(LENGTH, np.uint8)])
-            ctx = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[pos].copy()
-            span = np.arange(CONTEXT)
-            ctx[(span < LEFT - left[:, None].astype(int)) | (span >= LEFT + right[:, None].astype(int))] = 0
-            whole = np.ascontiguousarray(np.concatenate([ctx, left[:, None], right[:, None]], axis=1))
-            names = whole.view(np.dtype((np.void, CONTEXT + 2))).ravel()
-            _, first_at, of = np.unique(names, return_index=True, return_inverse=True)
-            least = np.full(len(first_at), NO_ID)
-            np.minimum.at(least, of, docs)
-            lead = np.ascontiguousarray(ctx[first_at, LEFT : LEFT + 8]).view(">u8").ravel().astype(np.uint64)
-            part = np.searchsorted(splitters, lead, side="right")
-            by_part = np.argsort(part, kind="stable")
-            new_no = np.empty(len(part), np.int64)
-            bounds = np.searchsorted(part[by_part], np.arange(len(splitters) + 2))
-            new_no[by_part] = np.arange(len(part)) - bounds[part[by_part]]
-            occ = np.argsort(part[of], kind="stable")
-            occ_bounds = np.searchsorted(part[of][occ], np.arange(len(splitters) + 2))
-            out: list[list] = [[] for _ in range(8)]
-            for k in np.unique(part).tolist():
-                own = first_at[by_part[bounds[k] : bounds[k + 1]]]
-                o = occ[occ_bounds[k] : occ_bounds[k + 1]]
-                values = (
-                    row["chunk"], k, ctx[own].tobytes(), whole[own, CONTEXT:].tobytes(), least[by_part[bounds[k] : bounds[k + 1]]].tobytes(),
-                    pos[o].astype(np.uint32).tobytes(), new_no[of[o]].astype(np.uint32).tobytes(), (docs[o] == least[of[o]]).tobytes(),
-                )
-                for col, v in zip(out, values, strict=True):
-                    col.append(v)
-            yield _batch(CONTEXTS, *out)
+            take = np.flatnonzero(shared[inv] & ~hot[inv])
+            if len(take):
+                padded = np.concatenate([np.zeros(LEFT, np.uint8), blob, np.zeros(LENGTH, np.uint8)])
+                ctx = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[pos[take]].copy()
+                room = np.stack([left[take], right[take]], axis=1)
+                span = np.arange(CONTEXT)
+                ctx[(span < LEFT - room[:, :1].astype(int)) | (span >= LEFT + room[:, 1:].astype(int))] = 0
+                first, of, least = _distinct(np.concatenate([ctx, room], axis=1), docs[take])
+                lead = np.ascontiguousarray(ctx[first, LEFT : LEFT + ANCHOR]).view(f"S{ANCHOR}").ravel()
+                yield _deal(row["chunk"], np.searchsorted(splitters, lead, side="right"), 0, ctx[first], room[first], least, pos[take], of, docs[take])
+            take = np.flatnonzero(hot[inv])
+            if len(take):
+                # String j of an anchor begins LEFT - j bytes before it.
+                j = np.arange(LEFT + 1)
+                i, j = np.nonzero((left[take, None] >= LEFT - j) & (right[take, None] >= ANCHOR + j))
+                starts, of_docs = pos[take][i] - LEFT + j, docs[take][i]
+                strings = np.lib.stride_tricks.sliding_window_view(blob, LENGTH)[starts] if len(starts) else np.zeros((0, LENGTH), np.uint8)
+                if len(starts):
+                    first, of, least = _distinct(strings, of_docs)
+                    part = (_words(strings[first]) * _odd(-(-LENGTH // 8), 9)).sum(axis=1, dtype=np.uint64) >> np.uint64(33)
+                    yield _deal(row["chunk"], (part % np.uint64(parts)).astype(np.int64), parts, strings[first], None, least, starts + LEFT, of, of_docs)
 
     return run
 
 
-def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort rows of bytes by words of eight; returns the order and the common-prefix length with the row before."""
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as words of eight, in their order."""
     n, width = rows.shape
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = rows
-    words = words.view(">u8").astype(np.uint64)
-    order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
+    return words.view(">u8").astype(np.uint64)
+
+
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """The order of rows of words.
+
+    A group of rows that agree in their first words is parted in three by its pivot's next
+    word; less and greater rows are parted on by the same word, equal ones by the one after.
+    All groups take a step at once.
+    """
+    n, width = words.shape
+    order, at = np.arange(n), np.arange(n)
+    group, depth = np.zeros(n, np.int64), np.zeros(1, np.int64)
+    while len(at):
+        sizes = np.bincount(group, minlength=len(depth))
+        begin = np.cumsum(sizes) - sizes
+        rows = order[at]
+        value = words[rows, depth[group]]
+        trio = np.sort(np.stack([value[begin], value[begin + sizes // 2], value[begin + sizes - 1]]), axis=0)
+        pivot = trio[1][group]
+        side = (value > pivot).astype(np.int64) - (value < pivot) + 1
+        key = 3 * group + side
+        counts = np.bincount(key, minlength=3 * len(depth))
+        place = np.empty(len(at), np.int64)
+        for k in range(3):
+            own = np.flatnonzero(side == k)
+            g = key[own]
+            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            rank = np.arange(len(g)) - np.repeat(new, np.diff(np.append(new, len(g))))
+            place[own] = (np.cumsum(counts) - counts)[g] + rank
+        order[at[place]] = rows
+        deeper = np.repeat(depth, 3)
+        deeper[1::3] += 1
+        open_ = (counts > 1) & (deeper < width)
+        key = np.repeat(np.arange(len(counts)), counts)
+        stay = open_[key]
+        at, group, depth = at[stay], (np.cumsum(open_) - 1)[key[stay]], deeper[open_]
+    return order
+
+
+def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and in that order the length of the common prefix with the row before."""
+    order = multikey_quicksort(_words(rows))
     a = rows[order]
     differ = a[1:] != a[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     return order, np.concatenate([[0], common])
 
 
@@ -363,12 +449,25 @@ def shared_strings(ctx: np.ndarray, room: np.ndarray, docs: np.ndarray) -> tuple
     return hit, valid
 
 
+def same_strings(strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has a string, too."""
+    order, common = _classes(strings)
+    starts = np.flatnonzero(common < strings.shape[1])
+    d = docs[order]
+    hit = np.empty(len(d), np.uint32)
+    hit[order] = np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(d)))) < d
+    return hit
+
+
 def _resolve(table: pa.Table) -> pa.Table:
     col = {n: [x.as_buffer() for c in table.column(n).chunks for x in c] for n in ("ctx", "room", "docs", "pos", "of", "first")}
-    ctx = np.concatenate([np.frombuffer(x, np.uint8) for x in col["ctx"]]).reshape(-1, CONTEXT)
-    room = np.concatenate([np.frombuffer(x, np.uint8) for x in col["room"]]).reshape(-1, 2)
     docs = np.concatenate([np.frombuffer(x, np.int64) for x in col["docs"]])
-    hit, valid = shared_strings(ctx, room, docs)
+    texts = np.concatenate([np.frombuffer(x, np.uint8) for x in col["ctx"]])
+    if len(col["room"][0]):
+        room = np.concatenate([np.frombuffer(x, np.uint8) for x in col["room"]]).reshape(-1, 2)
+        hit, valid = shared_strings(texts.reshape(-1, CONTEXT), room, docs)
+    else:
+        hit, valid = same_strings(texts.reshape(-1, LENGTH), docs), np.ones(len(docs), np.uint32)
     out: tuple[list, list, list] = ([], [], [])
     base = 0
     for i, chunk in enumerate(table.column("chunk").to_pylist()):
@@ -433,21 +532,22 @@ def chunk_table(rows: DataFrame, chunk_bytes: int, bucket_bytes: int = 32 << 20)
     return bucketed_table(rows.mapInArrow(_to_chunks(chunk_bytes, buckets), CHUNKS), "chunks", "chunk", buckets, deal=False)
 
 
-def _judged(rows: DataFrame, chunk_bytes: int, oversample: int) -> DataFrame:
+def _judged(rows: DataFrame, chunk_bytes: int, oversample: int, hot_chunks: int) -> DataFrame:
     """Chunks of ``rows`` with their verdicts."""
     spark = rows.sparkSession
-    parts = 4 * shuffle_partitions(spark)
     with small_batches(spark):
         chunks = chunk_table(rows, chunk_bytes)
+        least = 4 * shuffle_partitions(spark)
+        parts = max(least, chunks.count() // 8)
+        # A count of one's own keeps a task at few ranges where there are more of them than partitions allow for.
+        dealt = lambda df: df if parts == least else df.repartition(parts // 4, "part")
         asked = chunks.select("chunk", "lens", "blob", F.lit(b"").alias("ids")).mapInArrow(_ask(parts), REQUESTS)
-        answers = scratch_table(asked.groupBy("part").applyInArrow(_answer, ANSWERS), "answers")
-    drawn = chunks.select("chunk", "blob").mapInArrow(_draw(oversample), "key long, rank long").orderBy("rank", "key").limit(oversample * parts).collect()
-    keys = np.sort(np.array([r["key"] + 2**63 for r in drawn], np.uint64))
-    splitters = np.unique(keys[[i * len(keys) // parts for i in range(1, parts)]]) if len(keys) else keys
-
-    told = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "mask")).alias("answers"))
+        answers = scratch_table(dealt(asked).groupBy("part").applyInArrow(_answer(hot_chunks), ANSWERS), "answers")
+    drawn = answers.where("lead is not null").select("lead", "weight").orderBy(F.xxhash64("lead"), "lead").limit(oversample * parts).collect()
+    splitters = _splitters([(bytes(r["lead"]), r["weight"]) for r in drawn], parts)
+    told = answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("part", "mask", "hot")).alias("answers"))
     contexts = chunks.select("chunk", "ids", "lens", "blob").join(told, "chunk", "left").mapInArrow(_contexts(parts, splitters), CONTEXTS)
-    verdicts = contexts.groupBy("part").applyInArrow(_resolve, VERDICTS).groupBy("chunk").agg(F.collect_list(F.struct("pos", "mask")).alias("verdicts"))
+    verdicts = dealt(contexts).groupBy("part").applyInArrow(_resolve, VERDICTS).groupBy("chunk").agg(F.collect_list(F.struct("pos", "mask")).alias("verdicts"))
     return chunks.join(verdicts, "chunk", "left")
 
 
@@ -455,12 +555,19 @@ def _rows_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("k1"), F.lit(0).alias("k2"))
 
 
-def remove_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``df(doc_id, text)``."""
-    return _judged(_rows_of(df), chunk_bytes, oversample).select("ids", "lens", "blob", "verdicts").mapInArrow(_digests, RESULT)
+def remove_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``df(doc_id, text)``.
+
+    The result is written to the checkpoint folder; scratch tables are gone when this returns.
+    """
+    spark = df.sparkSession
+    with scratch_scope() as made, small_batches(spark):
+        out = cut(_judged(_rows_of(df), chunk_bytes, oversample, hot_chunks).select("ids", "lens", "blob", "verdicts").mapInArrow(_digests, RESULT))
+    discard(spark, made)
+    return out
 
 
-def without_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32) -> DataFrame:
+def without_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """The rows of ``df`` with the repeated bytes taken from their texts.
 
     A character that lost some of its bytes goes as a whole.  Other columns stay, but for
@@ -478,6 +585,6 @@ def without_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int =
     )
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in named.items()), "text string"])
-    out = _judged(packed, chunk_bytes, oversample).select("lens", "blob", "verdicts", "rest", F.lit(b"").alias("ids")).mapInArrow(_remainders, schema)
+    out = _judged(packed, chunk_bytes, oversample, hot_chunks).select("lens", "blob", "verdicts", "rest", F.lit(b"").alias("ids")).mapInArrow(_remainders, schema)
     columns = [F.col("text") if c == "text" else F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(next(k for k, v in named.items() if v == c)).alias(c) for c in df.columns]
     return out.select(*columns)
