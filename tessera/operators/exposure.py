@@ -94,11 +94,3 @@ def alignment_quality(centered: DataFrame, clock: str = "clock") -> DataFrame:
     near = peak.groupBy(clock).agg(F.count(F.lit(1)).alias("n_fires"), F.avg((F.abs("_at") <= 1).cast("double")).alias("peak_share"))
     spread = centered.groupBy(clock, "lag").agg(F.var_samp("value").alias("_v"), F.count("value").alias("_n")).groupBy(clock).agg(F.avg("_v").alias("mean_variance"), F.min("_n").alias("least_n"))
     return near.join(spread, clock).withColumn("quality_rank", F.rank().over(Window.orderBy(F.col("peak_share").desc(), "mean_variance")))
-
-
-def developmental_states(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Labels by each entity's own median and upper quartile: dormant, slow, active, surging."""
-    w = Window.partitionBy(*keys)
-    q: dict[str, Column] = {n: F.percentile(value, F.lit(p)).over(w) for n, p in (("b", 0.5), ("c", 0.75))}
-    v = F.col(value)
-    return rows.withColumn("state", F.when(v.isNull(), None).when(v <= 0, "dormant").when(v <= q["b"], "slow").when(v <= q["c"], "active").otherwise("surging"))
