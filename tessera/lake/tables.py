@@ -119,6 +119,13 @@ def partition_path(table: str, year: int, region_name: str, bucket: str, version
     return f"{table}/year={int(year)}/region={region_name}/spatial_bucket={bucket}/processing_version={version.replace('/', '_')}"
 
 
+def partition_path_column(table: str, year: Column, region_name: Column, bucket: Column, version: Column) -> Column:
+    """:func:`partition_path` of rows."""
+    if "fire_id" in table.lower():
+        raise ValueError("a table is not partitioned by id")
+    return F.concat(F.lit(f"{table}/year="), year.cast("string"), F.lit("/region="), region_name, F.lit("/spatial_bucket="), bucket, F.lit("/processing_version="), F.regexp_replace(version, "/", "_"))
+
+
 def allowed(status: Column, new: Column) -> Column:
     """Whether a state may follow another."""
     rules = F.map_from_arrays(F.array(*[F.lit(k) for k in NEXT]), F.array(*[F.array(*[F.lit(v) for v in f"{NEXT[k]} {'' if k in ('published', 'failed') else 'failed'}".split()]).cast("array<string>") for k in NEXT]))
@@ -158,6 +165,20 @@ def climate_passed(flags: Column) -> Column:
     return ~F.exists(flags, lambda f: F.endswith(f, F.lit("gt_5pct")))
 
 
+def task_qc(df: DataFrame) -> DataFrame:
+    """Flags of rows ``(task, area_km2, is_valid, is_empty, newly_added_geometry, observed_steps, expected_steps, variable)`` by their task.
+
+    Missing metrics count as the worst: invalid, empty, no steps.  A task that nobody knows has a null verdict.
+    """
+    geometry = geometry_flags(F.col("area_km2"), F.coalesce("is_valid", F.lit(False)), F.coalesce("is_empty", F.lit(True)), F.coalesce("newly_added_geometry", F.lit(False)))
+    observed, expected, variable = F.coalesce("observed_steps", F.lit(0)), F.coalesce("expected_steps", F.lit(0)), F.coalesce("variable", F.lit("unknown"))
+    missing = 1 - F.try_divide(observed, F.nullif(expected, F.lit(0)))
+    climate = F.array_compact(F.array(F.when(expected <= 0, F.lit("invalid_expected_steps")).when(missing > 0.05, F.concat(variable, F.lit("_missing_gt_5pct"))).when(missing > 0, F.concat(variable, F.lit("_missing_le_5pct")))))
+    flags = F.when(F.col("task") == "geometry", geometry).when(F.col("task") == "climate", climate)
+    passed = F.when(F.col("task") == "geometry", F.size(geometry) == 0).when(F.col("task") == "climate", climate_passed(climate))
+    return df.withColumns({"flags": flags, "passed": passed})
+
+
 def cohort(df: DataFrame, **filters: Any) -> DataFrame:
     """Rows that equal, are among, or satisfy: a value, a list, or a function of the column."""
     for name, want in filters.items():
@@ -223,6 +244,7 @@ def population_summaries(traits: DataFrame) -> Mapping[str, DataFrame]:
         "by_year": traits.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg(area).alias("mean_area_km2"), F.sum(area).alias("total_area_km2")),
         "by_region": traits.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.avg(area).alias("mean_area_km2"), med(area).alias("median_area_km2"), F.sum(area).alias("total_area_km2"), F.avg(days).alias("mean_duration_days")),
         "by_region_year": traits.groupBy("region", "year").agg(F.count(F.lit(1)).alias("n")),
+        "by_status": traits.groupBy(F.coalesce("status", F.lit("unknown")).alias("status") if "status" in traits.columns else F.lit("unknown").alias("status")).agg(F.count(F.lit(1)).alias("n")),
         "largest": top("total_area_km2").select(*named, (F.col("peak_growth_km2_per_hour") * 24.0).alias("peak_growth_km2_per_day")),
         "duration_top": top("duration_hours").select(*named),
         "quantiles": traits.agg(*q(area, "area"), *q(days, "duration")),

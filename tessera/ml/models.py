@@ -6,6 +6,7 @@ only those matrices, whose size is the number of columns squared, reach the driv
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +88,49 @@ def blocked_cv(df: DataFrame, x: list[str], y: str, block: str, alpha: float = 0
     return spark.createDataFrame(out, "block string, n long, r2 double")
 
 
+def ridge_cv(df: DataFrame, x: list[str], y: str, fold: Column, alpha: float = 1.0, log: bool = False, least: int = 200) -> tuple[int, float | None]:
+    """(rows predicted, R squared over all of them) of ridge regression on the other folds; predictors are scaled by each training part.
+
+    ``log``: the response is log(1 + y).  Folds whose training part is too small are left
+    out.  Sums of products by fold are all that is gathered.
+    """
+    columns = ["_one", *x, y]
+    full = df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(CAST(`{c}` AS DOUBLE)) AND abs(CAST(`{c}` AS DOUBLE)) < double('infinity')" for c in (*x, y)))
+    full = full.withColumns({"_one": F.lit(1.0), y: F.log1p(F.col(y).cast("double")) if log else F.col(y).cast("double"), "_fold": fold})
+    by: dict = {}
+    for r in gram(full, columns, ["_fold"]).collect():
+        by.setdefault(r["_fold"], []).append(r)
+    grams = {k: _matrix(v, columns) for k, v in by.items()}
+    if sum(g[0, 0] for g in grams.values()) < least:
+        return int(sum(g[0, 0] for g in grams.values())), None
+    total, p = sum(grams.values()), len(x) + 1
+    n = sse = sy = syy = 0.0
+    for held in grams.values():
+        train = total - held
+        if train[0, 0] < len(x) + 10:
+            continue
+        mean = train[0, 1:p] / train[0, 0]
+        sd = np.sqrt(np.maximum(np.diag(train)[1:p] / train[0, 0] - mean**2, 0))
+        sd[sd == 0] = 1.0
+        scale = np.zeros((p, p))
+        scale[0, 0] = 1
+        scale[1:, 1:] = np.diag(1 / sd)
+        scale[0, 1:] = -mean / sd
+        penalty = alpha * np.eye(p)
+        penalty[0, 0] = 0
+        beta = scale @ (np.linalg.pinv(scale.T @ train[:p, :p] @ scale + penalty) @ (scale.T @ train[:p, p]))
+        n, sy, syy = n + held[0, 0], sy + held[0, p], syy + held[p, p]
+        sse += held[p, p] - 2 * beta @ held[:p, p] + beta @ held[:p, :p] @ beta
+    sst = syy - sy**2 / n if n else 0.0
+    return int(n), float(1 - sse / sst) if sst > 0 else None
+
+
+def holdout_r2(df: DataFrame, x: list[str], y: str, id_column: str, parts: int = 4) -> DataFrame:
+    """R squared of least squares on one part in ``parts`` (a hash of the id), fitted on the rest; predictors are standardised over all rows."""
+    z = standardised(df, x, "mean").withColumn("_part", F.when(fold_of(id_column, parts) == 0, "test").otherwise("train"))
+    return blocked_cv(z, x, y, "_part").where("block = 'test'").select(F.col("n").alias("n_test"), "r2")
+
+
 def knn(queries: DataFrame, points: DataFrame, id_column: str, vector: str, k: int, block: str | None = None) -> DataFrame:
     """The ``k`` nearest points of each query by squared distance, other ids only, ties to the smaller id; inside blocks if given."""
     q = queries.select(F.col(id_column).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"), *([block] if block else []))
@@ -108,19 +152,28 @@ def label_purity(neighbors: DataFrame, labels: DataFrame, id_column: str, label:
 def farthest_first(df: DataFrame, id_column: str, columns: list[str], k: int) -> list:
     """Representatives: the row nearest the mean, then each time the row farthest from those chosen; ties to the smaller id."""
     chosen: list = []
+    point = F.array(*[F.col(c).cast("double") for c in columns])
+    # The rows chosen so far are one literal: the expression does not grow with them.
+    gap = lambda points: F.array_min(F.transform(F.from_json(F.lit(json.dumps(points)), "array<array<double>>"), lambda q: F.aggregate(F.zip_with(point, q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)))
     mean = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    near = sum(((F.col(c) - float(mean[c])) ** 2 for c in columns), F.lit(0.0))
-    first = df.select(id_column, *columns, near.alias("_d")).orderBy(F.round("_d", 9), id_column).first()
-    chosen.append(first)
+    chosen.append(df.select(id_column, *columns, gap([[float(mean[c]) for c in columns]]).alias("_d")).orderBy(F.round("_d", 9), id_column).first())
     while len(chosen) < k:
-        gap = F.least(*[sum(((F.col(c) - float(r[c])) ** 2 for c in columns), F.lit(0.0)) for r in chosen], F.lit(float("inf")))
-        nxt = df.select(id_column, *columns, gap.alias("_d")).orderBy(F.round("_d", 9).desc(), id_column).first()
+        nxt = df.select(id_column, *columns, gap([[float(r[c]) for c in columns] for r in chosen]).alias("_d")).orderBy(F.round("_d", 9).desc(), id_column).first()
         if nxt is None or nxt["_d"] == 0:
             break
         chosen.append(nxt)
     return [r[id_column] for r in chosen]
 
 
+def assigned(df: DataFrame, representatives: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """(id, representative, distance): each row with its nearest of a few representatives, which travel to the rows; ties to the smaller id."""
+    point = lambda: F.array(*[F.col(c).cast("double") for c in columns])
+    reps = representatives.agg(F.collect_list(F.struct(F.col(id_column).alias("id"), point().alias("p"))).alias("_reps"))
+    distance = lambda q: F.sqrt(F.aggregate(F.zip_with("_p", q, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
+    near = F.array_min(F.transform("_reps", lambda r: F.struct(F.round(distance(r["p"]), 9).alias("d"), r["id"].alias("id"))))
+    return df.select(F.col(id_column), point().alias("_p")).crossJoin(F.broadcast(reps)).select(id_column, near.alias("_n")).select(id_column, F.col("_n.id").alias("representative"), F.col("_n.d").alias("distance"))
+
+
 def bootstrap_pca(df: DataFrame, columns: list[str], id_column: str, reps: int, k: int = 5) -> DataFrame:
     """Share of the first ``k`` components in Poisson bootstrap replicates, all from one aggregation."""
     z = standardised(df, columns).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))

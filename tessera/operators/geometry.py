@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.cube import KEYS, PIXEL, Cube
+from ..functions.stats import let
+from ..plans.cube import KEYS, Cube
 from .align import asof_join
 
 RING = "array<struct<x:double,y:double>>"
@@ -58,6 +59,30 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     return tuple(F.try_divide(part(c), F.nullif(3 * twice, F.lit(0.0))) for c in ("x", "y"))
 
 
+def resampled(ring: Column, n: int = 100) -> Column:
+    """``n`` points along a ring at equal steps of its length, the first vertex first; a repeated closing vertex does not count."""
+    opened = F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+
+    def along(w: Column) -> Column:
+        lengths = F.transform(_edges(w["r"]), lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2)))
+        ends = F.aggregate(lengths, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.struct(w["r"].alias("r"), ends.alias("ends"))
+
+    def points(w: Column) -> Column:
+        total = F.element_at(w["ends"], -1)
+
+        def at(k: Column) -> Column:
+            s = k * total / n
+            i = F.least(F.size(F.filter(w["ends"], lambda e: e <= s)), F.size(w["r"]))
+            a, b = F.element_at(w["r"], i), F.element_at(w["r"], F.when(i == F.size(w["r"]), 1).otherwise(i + 1))
+            t = F.coalesce(F.try_divide(s - F.element_at(w["ends"], i), F.nullif(F.element_at(w["ends"], i + 1) - F.element_at(w["ends"], i), F.lit(0.0))), F.lit(0.0))
+            return F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+    return let(let(F.struct(opened.alias("r")), along), points)
+
+
 def support_radii(ring: Column, angles: int = 96) -> Column:
     """Support function around the mean of the vertices: for each direction the farthest extent."""
     n = F.size(ring)
@@ -84,12 +109,19 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(pts)[:-1] + half(pts[::-1])[:-1]
 
 
-def hulls(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Convex hull of the cell centres ``(keys, y, x)`` of each group; groups without area are left out."""
+def hulls(cells: DataFrame, keys: list[str], buffer: float | None = None) -> DataFrame:
+    """Convex hull of the cell centres ``(keys, y, x)`` of each group.
+
+    Groups without area (a point, a line) are left out, or with ``buffer`` get the box that
+    reaches so far beyond them.
+    """
     kinds = dict(cells.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = convex_hull(list(zip(pdf["x"].astype(float), pdf["y"].astype(float), strict=True)))
+        if len(ring) < 3 and buffer is not None:
+            (x0, x1), (y0, y1) = ((min(v) - buffer, max(v) + buffer) for v in zip(*ring, strict=True))
+            ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
         row = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**row, "ring": [[{"x": a, "y": b} for a, b in ring]]}) if len(ring) > 2 else pd.DataFrame({**{k: [] for k in keys}, "ring": []})
 
@@ -174,16 +206,104 @@ def hull_metrics(daily: DataFrame, keys: list[str]) -> DataFrame:
     return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_days"), F.max("area").alias("peak_area"), F.max_by("area", "time").alias("final_area"), F.sum("slab").alias("volume"), F.avg(radius).alias("mean_radius"), F.max(F.array_max("radii")).alias("max_radius"))
 
 
-def derivative(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Central differences, one-sided at the ends."""
+def derivative(series: DataFrame, keys: list[str], order: str, value: str, times: int = 1) -> DataFrame:
+    """Central differences, one-sided at the ends, as ``d_value``; taken twice as ``d2_value``, with its size ``radius``."""
     w = Window.partitionBy(*keys).orderBy(order)
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    return series.withColumn(f"d_{value}", F.when(before.isNull(), after - F.col(value)).when(after.isNull(), F.col(value) - before).otherwise((after - before) / 2))
+
+    def once(v: str) -> Column:
+        before, after = F.lag(v).over(w), F.lead(v).over(w)
+        return F.when(before.isNull(), after - F.col(v)).when(after.isNull(), F.col(v) - before).otherwise((after - before) / 2)
+
+    out = series.withColumn(f"d_{value}", once(value))
+    if times == 1:
+        return out
+    return out.withColumn(f"d2_{value}", once(f"d_{value}")).withColumn("radius", F.abs(f"d2_{value}"))
+
+
+def time_hull(daily: DataFrame, keys: list[str], n_ring: int = 100, angles: int = 96) -> DataFrame:
+    """Layers of the hull of each event's daily rings: (keys, layer, time, z, area, radii in kilometres).
+
+    Rings in metres are resampled at equal steps and centred by the mean of the samples;
+    radii are those of the support function.  Layers count from 1 by time.
+    """
+    rings = daily.where(F.col("ring").isNotNull() & (F.size("ring") > 2)).withColumn("_s", resampled(F.col("ring"), n_ring))
+    layer = F.row_number().over(Window.partitionBy(*keys).orderBy("time"))
+    return rings.select(*keys, layer.alias("layer"), "time", layer.cast("double").alias("z"), area(F.col("ring")).alias("area_m2"), F.transform(support_radii(F.col("_s"), angles), lambda r: r / 1000.0).alias("radii"))
+
+
+def hull_vertices(layers: DataFrame, keys: list[str]) -> DataFrame:
+    """Vertices of a time hull: (keys, layer, corner, x, y, z, t_norm), corners from 0."""
+    w = Window.partitionBy(*keys)
+    t = F.try_divide(F.col("z") - F.min("z").over(w), F.greatest(F.max("z").over(w) - F.min("z").over(w), F.lit(1e-9)))
+    v = layers.withColumns({"t_norm": t, "_n": F.size("radii")}).select("*", F.posexplode("radii").alias("corner", "_r"))
+    turn = 2 * math.pi * F.col("corner") / F.col("_n")
+    return v.select(*keys, "layer", "time", "corner", (F.col("_r") * F.cos(turn)).alias("x"), (F.col("_r") * F.sin(turn)).alias("y"), "z", "t_norm")
+
+
+def hull_summary(layers: DataFrame, keys: list[str]) -> DataFrame:
+    """Days, scale, volume (trapezoids) and surface (two triangles for each corner and step) of each time hull; none under two layers."""
+    w = Window.partitionBy(*keys).orderBy("layer")
+    both = layers.withColumns({"_r": F.lag("radii").over(w), "_z": F.lag("z").over(w), "_a": F.lag("area_m2").over(w)})
+    n = F.size("radii")
+
+    def triangle(p: list[Column], q: list[Column], r: list[Column]) -> Column:
+        u, v = [b - a for a, b in zip(p, q, strict=True)], [b - a for a, b in zip(p, r, strict=True)]
+        cross = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+        return F.sqrt(sum((c * c for c in cross), F.lit(0.0))) / 2
+
+    def strip(j: Column) -> Column:
+        k = (j + 1) % n
+        point = lambda radii, i, z: [F.element_at(radii, i + 1) * F.cos(2 * math.pi * i / n), F.element_at(radii, i + 1) * F.sin(2 * math.pi * i / n), F.col(z)]
+        a, b, c, d = point("_r", j, "_z"), point("_r", k, "_z"), point("radii", k, "z"), point("radii", j, "z")
+        return triangle(a, b, c) + triangle(a, c, d)
+
+    surface = F.when(F.col("_r").isNotNull(), F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, j: acc + strip(j)))
+    slab = (F.col("area_m2") + F.col("_a")) / 2 * (F.col("z") - F.col("_z")) / 1e6
+    out = both.select(*keys, surface.alias("_surface"), slab.alias("_slab"), F.array_max("radii").alias("_top"))
+    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("days"), F.max("_top").alias("scale_km"), F.sum("_slab").alias("volume_km2_days"), F.sum("_surface").alias("surface_km_day")).where(F.col("days") >= 2)
+
+
+def attach_environment(layers: DataFrame, series: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Layers with the ``value`` of ``series(time, value)`` at their date: the last before it, or at the beginning the first after."""
+    dates = layers.select("time").distinct()
+    back = asof_join(dates, series.select("time", F.col(value).alias("_b")), [], "_b", "pad")
+    both = asof_join(back, series.select("time", F.col(value).alias("_f")), [], "_f", "backfill")
+    return layers.join(both.select("time", F.coalesce("_b", "_f").alias(value)), "time", "left").select(*layers.columns, value)
+
+
+def event_daily(daily: DataFrame, keys: list[str], steps: int = 64) -> DataFrame:
+    """(keys, first and last day, days, centroid of the union of the rings) of each event, from its clean daily rings.
+
+    The union is taken on a raster of ``steps`` by ``steps`` points over its bounds, so the
+    centroid is as exact as a step.
+    """
+    clean_rings = clean_daily_rings(daily, keys)
+    boxed = clean_rings.select(*keys, "time", "ring", *[v.alias(k) for k, v in bounds(F.col("ring")).items()])
+    events = boxed.groupBy(*keys).agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count(F.lit(1)).alias("n_days"), F.min("min_x").alias("x0"), F.max("max_x").alias("x1"), F.min("min_y").alias("y0"), F.max("max_y").alias("y1"), F.collect_list("ring").alias("rings"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
+    points = events.withColumn("_i", step).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    place = lambda a, b, k: F.col(a) + (F.col(k) + 0.5) * (F.col(b) - F.col(a)) / steps
+    points = points.withColumns({"px": place("x0", "x1", "_i"), "py": place("y0", "y1", "_j")})
+    inside = F.exists("rings", lambda r: contains(r, F.col("px"), F.col("py")))
+    return points.where(inside).groupBy(*keys, "t0", "t1", "n_days").agg(F.avg("px").alias("centroid_x"), F.avg("py").alias("centroid_y"))
+
+
+def cells_or_nearest(cells: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, x, nearest) for each of ``rings(keys, ring)``: the cell centres inside, or, where there is none, the one nearest the centroid.
+
+    ``cells(y, x)`` are one row per pixel; only the rings' bounding boxes are searched first.
+    """
+    cx, cy = centroid(F.col("ring"))
+    boxed = rings.select(*keys, "ring", cx.alias("_cx"), cy.alias("_cy"), *[v.alias(f"_{k}") for k, v in bounds(F.col("ring")).items()])
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    near = x.between(F.col("_min_x"), F.col("_max_x")) & y.between(F.col("_min_y"), F.col("_max_y"))
+    inside = cells.join(boxed, near).where(contains(F.col("ring"), x, y)).select(*keys, "y", "x", F.lit(False).alias("nearest"))
+    bare = boxed.join(inside.select(*keys).distinct(), keys, "left_anti")
+    gap = F.pow(x - F.col("_cx"), 2) + F.pow(y - F.col("_cy"), 2)
+    closest = cells.crossJoin(bare).groupBy(*keys).agg(F.min_by(F.struct("y", "x"), F.struct(F.round(gap, 9), F.col("y"), F.col("x"))).alias("_c"))
+    return inside.unionByName(closest.select(*keys, "_c.y", "_c.x", F.lit(True).alias("nearest")))
 
 
 def pick_event(daily: DataFrame, min_days: int) -> DataFrame:
     """The first event, in order of appearance, with enough distinct days."""
     return daily.groupBy("event_id").agg(F.countDistinct("time").alias("n_days"), F.min("time").alias("first_seen")).where(F.col("n_days") >= min_days).orderBy("first_seen", "event_id").limit(1)
-
-
-__all__ = ["PIXEL", "area", "bounds", "centroid", "clean_daily_rings", "contains", "convex_hull", "derivative", "hull_metrics", "hulls", "latest_ring", "pick_event", "polygon_at_times", "sample_inside_outside", "support_radii", "vase_extract", "vase_mask", "vase_points"]

@@ -177,6 +177,12 @@ def coarsen_mean(cube: Cube, fy: int, fx: int) -> DataFrame:
     return blocks.groupBy("time", "by", "bx").agg(F.avg("y").alias("y"), F.avg("x").alias("x"), *[F.avg(v).alias(v) for v in cube.variables])
 
 
+def coarsen_to(cube: Cube, most: int) -> DataFrame:
+    """Means of blocks as large as they have to be for at most ``most`` rows and columns."""
+    ny, nx = cube.pixels().agg(F.max("y_idx") + 1, F.max("x_idx") + 1).first()
+    return coarsen_mean(cube, max(1, -(-(ny or 1) // most)), max(1, -(-(nx or 1) // most)))
+
+
 @verb
 def smooth_mean(cube: Cube, k: int) -> DataFrame:
     """Mean of the k x k box around each pixel (k odd); missing unless all its cells have values.

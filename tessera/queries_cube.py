@@ -205,7 +205,7 @@ def _pearson_sql(source: str, keys: str, a: str, b: str, extra: str = "") -> str
 
 
 _SPLIT = f"""
-, {_CENTER}, e AS (SELECT a.time AS window_end, b.t_idx FROM cube_t a JOIN cube_t b ON b.time BETWEEN a.time - INTERVAL 14 DAYS AND a.time WHERE a.t_idx % 5 = 0),
+, {_CENTER}, e AS (SELECT a.time AS window_end, b.t_idx FROM cube_t a JOIN cube_t b ON b.time BETWEEN a.time - INTERVAL 14 DAYS AND a.time),
 g AS (SELECT window_end FROM e GROUP BY 1 HAVING count(*) >= 5),
 p AS (SELECT e.window_end, c.y, c.x, c.value AS u, ctr.center AS v FROM e JOIN g USING (window_end) JOIN cube c ON c.t_idx = e.t_idx JOIN ctr ON ctr.t_idx = e.t_idx),
 f AS (SELECT * FROM p WHERE u IS NOT NULL AND v IS NOT NULL),
@@ -219,7 +219,7 @@ SELECT q.window_end, q.y, q.x, round(bottom, 6) AS bottom, round(top, 6) AS top,
 
 @query("median_split_synchrony", _SPLIT.replace("count(*) >= 5", "count(*) >= 3"))
 def median_split_synchrony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded((pipe(_cube(spark, sf_dir)) | rolling.median_split_synchrony("14D", 0.5, 3, stride=5)).unwrap())
+    return rounded((pipe(_cube(spark, sf_dir)) | rolling.median_split_synchrony("14D", 0.5, 3)).unwrap())
 
 
 @query("ghosh_tails", f"""
@@ -378,7 +378,7 @@ e AS (SELECT *, joint / nullif(u, 0) AS jaccard, joint / nullif(n, 0) AS joint_p
 
 
 _ONE_WINDOW = "SELECT (SELECT max(time) FROM cube_t) AS window_end, t_idx FROM cube_t"
-_SPANS = "SELECT a.time AS window_end, b.t_idx FROM cube_t a JOIN cube_t b ON b.time BETWEEN a.time - INTERVAL 10 DAYS AND a.time WHERE a.t_idx % 10 = 0"
+_SPANS = "SELECT a.time AS window_end, b.t_idx FROM cube_t a JOIN cube_t b ON b.time BETWEEN a.time - INTERVAL 10 DAYS AND a.time"
 _OCC = ' window_end, source, target, source_y, source_x, target_y, target_x, round(distance, 6) AS distance, joint, u AS "union", n, round(jaccard, 6) AS jaccard, round(joint_probability, 6) AS joint_probability, round(phi, 6) AS phi FROM e'
 
 
@@ -389,7 +389,7 @@ def occurrence_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("occurrence_radius_windows", _occurrence_sql(_NEAR, _SPANS) + " SELECT" + _OCC)
 def occurrence_radius_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(synchrony.occurrence_synchrony(_states(spark, sf_dir), "neighbors", "10D", 10, radius_km=250.0).drop("source_label", "target_label"))
+    return rounded(synchrony.occurrence_synchrony(_states(spark, sf_dir), "neighbors", "10D", radius_km=250.0).drop("source_label", "target_label"))
 
 
 @query("occurrence_all_pairs", _occurrence_sql("(SELECT * FROM pr WHERE source < target)", _ONE_WINDOW) + " SELECT" + _OCC)
@@ -410,7 +410,7 @@ def reference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("regional_summary", _occurrence_sql("(SELECT * FROM pr WHERE source < target)", _SPANS) + " SELECT window_end, round(avg(jaccard), 6) AS mean_jaccard, round(median(jaccard), 6) AS median_jaccard, count(*) AS n_pairs, round(avg(distance), 6) AS mean_distance FROM e GROUP BY 1")
 def regional_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = synchrony.occurrence_synchrony(_states(spark, sf_dir), "regional", "10D", 10)
+    edges = synchrony.occurrence_synchrony(_states(spark, sf_dir), "regional", "10D")
     return rounded(synchrony.regional_summary(edges, "jaccard"))
 
 

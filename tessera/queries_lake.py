@@ -79,6 +79,10 @@ def _at(values: str, q: float) -> str:
     return f"({values}[{low} + 1] + ({at} - floor({at})) * ({values}[least({low} + 2, len({values}))] - {values}[{low} + 1]))"
 
 
+#: Interpolation of a list at a share of its length, for other modules.
+_AT_SQL = _at
+
+
 def _features_sql() -> str:
     grid = [i / 10 for i in range(11)]
     profile = ", ".join([f"round({_at('w', g)}, 6) AS width_p{i:02d}" for i, g in enumerate(grid)] + [f"round({_at('fr', g)}, 6) AS growth_p{i:02d}" for i, g in enumerate(grid)])
@@ -321,7 +325,9 @@ def vase_points_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.vase_points(demo_cube(spark, sf_dir, None), _triangles(spark, sf_dir), "linear")
 
 
-@query("hull_metrics")
+@query("hull_metrics", cube_sql(None) + """, tn AS (SELECT time, t_idx, (SELECT max(t_idx) + 1 FROM cube) AS n FROM (SELECT DISTINCT time, t_idx FROM cube)), hv AS (SELECT time, t_idx, 3.0 * (1 - t_idx / (2.0 * n)) AS h FROM tn),
+a AS (SELECT time, h, 4 * h * h AS area, (4 * h * h + lag(4 * h * h) OVER (ORDER BY time)) / 2 * date_diff('day', lag(time) OVER (ORDER BY time), time) AS slab FROM hv), u AS (SELECT avg(abs(cos(2 * pi() * k / 96)) + abs(sin(2 * pi() * k / 96))) AS m, max(abs(cos(2 * pi() * k / 96)) + abs(sin(2 * pi() * k / 96))) AS t FROM (SELECT unnest(range(0, 96)) AS k))
+SELECT 1 AS event_id, count(*) AS n_days, round(max(area), 6) AS peak_area, round(arg_max(area, time), 6) AS final_area, round(sum(coalesce(slab, 0)), 6) AS volume, round(avg(h * m), 6) AS mean_radius, round(max(h * t), 6) AS max_radius FROM a CROSS JOIN u""", base="")
 def hull_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = [r["time"] for r in demo_cube(spark, sf_dir, None).times().orderBy("t_idx").select("time").collect()]
     vase = demo_vase(spark, days).withColumn("event_id", F.lit(1))
@@ -392,7 +398,8 @@ def growth_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.derivative(slices(spark, sf_dir), ["fire_id"], "slice_index", "cumulative_area_km2").select("fire_id", "slice_index", "d_cumulative_area_km2")
 
 
-@query("label_purity")
+@query("label_purity", """WITH e AS (SELECT vec_id, embedding, label FROM embeddings), d AS (SELECT a.vec_id AS q, a.label AS l, b.vec_id AS v, b.label AS m, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2)) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d2, 9), v) AS k FROM d) SELECT l AS label, round(avg(CASE WHEN l = m THEN 1.0 ELSE 0.0 END), 6) AS purity, count(*) AS n FROM r WHERE k <= 15 GROUP BY 1""", base=None)
 def label_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return models.label_purity(models.knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15), e, "vec_id", "label")

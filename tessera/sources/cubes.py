@@ -84,6 +84,23 @@ def tiles(df: DataFrame, days: int, cells: float) -> DataFrame:
     return df.withColumns({"time_tile": F.floor(F.datediff("time", F.lit("1970-01-01")) / days).cast("int"), "y_tile": F.floor(F.col("y") / cells).cast("int"), "x_tile": F.floor(F.col("x") / cells).cast("int")})
 
 
+def tiled_statistics(df: DataFrame, value: str, days: int, cells: float) -> DataFrame:
+    """Count, mean and population variance of each tile."""
+    return tiles(df, days, cells).groupBy("time_tile", "y_tile", "x_tile").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+
+
+def merged_statistics(df: DataFrame, value: str, days: int, by: list[str]) -> DataFrame:
+    """Count, mean and population variance by ``by``, from counts, means and squared deviations of tiles in time merged one with another.
+
+    What a tile leaves is three numbers for each group, so a stream of tiles needs no cell twice.
+    """
+    part = df.withColumn("time_tile", F.floor(F.datediff("time", F.lit("1970-01-01")) / days)).groupBy(*by, "time_tile").agg(F.count(value).alias("k"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("s")).where("k > 0")
+    total = part.groupBy(*by).agg(F.sum("k").alias("n"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k")).alias("mean"), F.sum("s").alias("_within"), F.sum(F.col("k") * F.col("m") * F.col("m")).alias("_squares"))
+    spread = (F.col("_within") + F.col("_squares") - F.col("n") * F.col("mean") * F.col("mean")) / F.col("n")
+    empty = df.select(*by).distinct()
+    return empty.join(total.select(*by, "n", "mean", F.greatest(F.lit(0.0), spread).alias("variance")), by, "left")
+
+
 def write_cube(cube: Cube, path: str, days: int = 365, cells: float = 256.0, mode: str = "overwrite") -> Cube:
     """Write a cube by tiles and hand it on."""
     t = tiles(cube.df.select(*KEYS, *cube.variables), days, cells)

@@ -7,7 +7,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from tessera import queries_cube, queries_lake  # noqa: E402
+from tessera import queries_cube, queries_development, queries_lake, queries_more  # noqa: E402, F401
 from tessera.oracles import finished, output_columns  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
