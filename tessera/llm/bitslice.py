@@ -13,7 +13,8 @@ and block only the k best travel on.
 
 Edge cases: null vectors, vectors with a null or non-finite component and rows with a null
 id take no part; a shorter vector counts as padded with zeros; rows with one id count as
-one row for leaving out the query's own, and each of them is a candidate for others;
+one row for leaving out the query's own, and each of them is a candidate for others (query
+rows of one id share one list, of the best scores of them all);
 scores and components have to fit into 62 bits; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +33,7 @@ from pyspark.sql.window import Window
 from .shared import scratch_table
 
 BLOCKS = "grp int, n int, dims int, digits int, ids binary, slices binary"
-QUERIES = "q_ids binary, q_dims int, vectors binary"
+QUERIES = "share int, q_ids binary, q_dims int, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -189,7 +191,7 @@ def _query_blocks(per_block: int):
 
         def block() -> pa.RecordBatch:
             values = _matrix([v for _, v in rows])
-            return pa.RecordBatch.from_pydict({"q_ids": [np.array([i for i, _ in rows], np.int64).tobytes()], "q_dims": pa.array([values.shape[1]], pa.int32()), "vectors": [values.tobytes()]})
+            return pa.RecordBatch.from_pydict({"share": pa.array([TaskContext.get().partitionId()], pa.int32()), "q_ids": [np.array([i for i, _ in rows], np.int64).tobytes()], "q_dims": pa.array([values.shape[1]], pa.int32()), "vectors": [values.tobytes()]})
 
         for batch in batches:
             for row in _quantised(batch):
@@ -226,19 +228,27 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 1 << 16, queries_per_block: int = 128, groups: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 1 << 16, queries_per_block: int = 128, tasks: int | None = None) -> DataFrame:
     """The ``k`` best rows of ``vectors(vec_id, embedding)`` for each row of ``queries``, its own id left out.
 
-    Blocks of the index are dealt into ``groups``; each block of queries is sent to every
-    group once, and meets the group's blocks there.
+    Blocks of the index are dealt into groups, and blocks of queries, where there are fewer
+    groups than ``tasks``, into shares; a slot joins one group with one share.  So a block of
+    queries goes once to each group, and a block of the index once to each share.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     n_blocks = max(1, -(-vectors.count() // block_rows))
     index = scratch_table(pick(vectors).repartition(n_blocks).mapInArrow(_build(block_rows), BLOCKS), "slices")
-    n_groups = groups or min(n_blocks, spark.sparkContext.defaultParallelism)
-    index = index.withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int"))
-    asked = pick(queries).mapInArrow(_query_blocks(queries_per_block), QUERIES).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    found = index.join(asked, "grp").select("n", "dims", "digits", "ids", "slices", "q_ids", "q_dims", "vectors").mapInArrow(_search(k), FOUND)
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    n_groups = min(n_blocks, tasks)
+    shares = -(-tasks // n_groups)
+    slots = n_groups * shares
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = (F.col("grp") * shares + F.col("share")).alias("slot")
+    blocks = index.withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int")).withColumn("share", every(shares)).select(slot, "n", "dims", "digits", "ids", "slices")
+    asked = pick(queries).repartition(shares).mapInArrow(_query_blocks(queries_per_block), QUERIES)
+    asked = asked.withColumn("grp", every(n_groups)).select(slot, "q_ids", "q_dims", "vectors")
+    # Numbers given to repartition stay as they are; a join of small rows would be put into one task.
+    found = blocks.repartition(slots, "slot").join(asked.repartition(slots, "slot").hint("shuffle_merge"), "slot").select("n", "dims", "digits", "ids", "slices", "q_ids", "q_dims", "vectors").mapInArrow(_search(k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
