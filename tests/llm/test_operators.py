@@ -1,13 +1,16 @@
 """Each corpus operator against brute force, and on awkward tables."""
 
 import hashlib
+import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bitslice, crf, jaccard, licenses, mincut, mixing, packing, quality, sharding, suffixes
 from tessera.llm.components import connected
@@ -93,6 +96,49 @@ def test_code_switching_is_labelled_word_by_word():
     assert [model.languages[i] for i in node.argmax(axis=1)] == ["en"] * 3 + ["de"] * 3
 
 
+def test_training_takes_distinct_texts_of_every_language(spark):
+    rows = [(f"text {i}", "aa" if i % 2 else "bb") for i in range(4000)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    first = df.orderBy(F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11)).first()
+    rows += [(first["text"], first["lang"])] * 3000 + [("a rare text", "cc")] + [(f"other {i}", "dd") for i in range(9)]
+    df = spark.createDataFrame(rows, "text string, lang string").withColumn("held_out", F.lit(False))
+    texts, langs = crf.training_sample(df, 100)
+    count = Counter(langs)
+    assert len(set(texts)) == len(texts) == 100 and count["cc"] == 1 and count["dd"] == 9 and count["aa"] == count["bb"] == 45
+    texts, langs = crf.training_sample(df, 3)
+    assert len(texts) == 3 and len(set(langs)) == 3
+    assert crf.training_sample(df.limit(0), 100) == ([], [])
+
+
+def test_transitions_learn_to_switch(spark):
+    rng = np.random.default_rng(5)
+    vocab = {"en": "the and of with this that".split(), "de": "der und nicht mit das ist".split()}
+    texts, langs = zip(*[(" ".join(rng.choice(vocab[k], 30)), k) for k in ("en", "de") * 20], strict=True)
+    alone = crf.fit(list(texts), list(langs), bits=14)
+    model = crf.fit(list(texts), list(langs), crf.switched(list(texts), list(langs), 40), bits=14)
+    stay = lambda m: m.transitions[0, 0] - m.transitions[0, 1]
+    assert 0.3 < stay(model) < stay(alone)
+    got, _, spans = crf.predict(model, pa.array(["the and of this der und nicht das ist mit", None, "", "12 ?", "der zzz nicht"]))
+    assert spans.to_pylist()[0] == [{"lang": "en", "n_words": 4}, {"lang": "de", "n_words": 6}] and spans.to_pylist()[1:3] == [[], []] and got[0] == "de"
+    # A word that nobody knows goes with its neighbours: by transitions alone.
+    assert spans.to_pylist()[4] == [{"lang": "de", "n_words": 3}]
+
+
+def test_language_of_awkward_tables(spark, frame, empty):
+    assert crf.identify(empty).collect() == []
+    long = words(60_000, 7)
+    rows = [(1, long, "xx"), (1, long, "xx"), (None, "der und", "de"), (2, "the and", None), *[(10 + i, "der und nicht " * 5, "de") for i in range(20)]]
+    clash = spark.createDataFrame([(*r, "a", 0.5, "b") for r in rows], "doc_id long, text string, lang string, lang_pred string, score double, spans string")
+    out = crf.identify(clash)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == ["doc_id", "held_out", "lang_pred", "score", "spans"]
+    assert {r["lang_pred"] for r in got if r["doc_id"] is None} == {"de"} and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert [sum(x["n_words"] for x in r["spans"]) for r in got if r["doc_id"] == 1] == [60_000] * 2
+    assert crf.identify(frame).count() == len(docs())
+    texts, _ = crf.training_sample(clash.withColumn("held_out", F.lit(False)), 100, 50)
+    assert max(len(t.split()) for t in texts) == 50
+
+
 # Quality.
 
 
@@ -112,6 +158,26 @@ def test_quality_counts(frame):
         assert r[6] == (r[1] < 50 or 100 * r[5] > 50 * r[1]) and not (r[6] and r[7])
 
 
+def test_posteriors_equal_em_over_documents(spark):
+    """The same model by dense arrays, a row for each document."""
+    rng = np.random.default_rng(6)
+    ends = ["", "", ".", "###", "!", "9", ",", "\n"]
+    texts = [" ".join(w.upper() + e if u < p[0] / 2 else w + e for w, e, u in zip(words(int(rng.integers(20, 150)), i, 10**6).split(), rng.choice(ends, p=p, size=150), rng.random(150), strict=False)) for i, p in enumerate(rng.dirichlet([0.6] * 8, 300))]
+    out = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")
+    keyed = quality.with_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumns({f"v_{k}": v for k, v in quality.rules().items()}).toPandas().sort_values("doc_id")
+    votes = keyed[[f"v_{k}" for k in quality.rules()]].to_numpy(float)
+    use = ~out["base_failed"].to_numpy(bool)
+    v = votes[use]
+    good = np.array([0.95, 0.6, 0.05])[np.minimum(2, (v == 0).sum(axis=1))]
+    for _ in range(300):
+        prior = np.log((good.sum() + 1) / ((1 - good).sum() + 1))
+        rate = lambda w, k: ((w[:, None] * (v == k)).sum(axis=0) + 1) / ((w[:, None] * (v >= 0)).sum(axis=0) + 2)
+        yes, no = np.log(rate(good, 1) / rate(1 - good, 1)), np.log(rate(good, 0) / rate(1 - good, 0))
+        good = 1 / (1 + np.exp(-np.clip(prior + np.where(v == 1, yes, 0).sum(axis=1) + np.where(v == 0, no, 0).sum(axis=1), -500, 500)))
+    assert 20 < use.sum() < 300 and np.allclose(out["posterior"].to_numpy(float)[use], good, atol=1e-6)
+    assert (out["kept"].to_numpy(bool) == (use & (out["posterior"].to_numpy(float) >= 0.5))).all()
+
+
 def test_em_finds_bad_patterns():
     rng = np.random.default_rng(1)
     patterns = Counter()
@@ -256,6 +322,48 @@ def test_main_text_of_a_page():
     assert mincut.main_text(PAGE) == "Title & more\n\nA first paragraph of some length, with bold words and an end.\n\nShort.\n\n5 < 6 été, says this other paragraph of the text."
 
 
+ARTICLE = """<body><nav><a href=x>Home</a></nav><article><h1>On laws</h1><p>First paragraph with several words in it, as usual.</p>
+<div class="search-results"><p>The search went on for a long time, and gave results that nobody expected.</p></div>
+<div class="legal-history"><p>Law has a long history, which is told here.</p><p>Short.</p></div><section id="social-policy"><p>Social policy is the matter here.</p></section>
+<ul><li>one item<li>another</ul><svg><text>Drawn words</text></svg> <object>Words of an object</object><p>x</p><div class="ad">Buy this great thing now, it is the best thing of all.</div>
+<p>End of text.</p><div class="comments"><p>I liked this article very much, thank you for writing it.</p><p>I too liked it, thank you for writing such a text.</p></div></article>
+<div class="content"><p>Not hidden by its place, a paragraph of some length after the article.</p></div><footer>Bottom line, a sentence of the footer.</footer></body>"""
+
+
+def test_names_weigh_but_do_not_veto():
+    texts, n, changed = mincut.main_blocks(ARTICLE)
+    assert texts == [
+        "On laws", "First paragraph with several words in it, as usual.", "The search went on for a long time, and gave results that nobody expected.",
+        "Law has a long history, which is told here.", "Short.", "Social policy is the matter here.", "one item", "another", "Drawn words Words of an object", "x", "End of text.",
+        "Not hidden by its place, a paragraph of some length after the article.",
+    ]
+    assert n == 17 and changed >= 8
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x text", "<a " * 100_000, '<a href="' * 30_001 + ">", """<a "'> <b '">""" * 20_000, "<div>some words here." * 20_000, "<p><table><td>" + "<div>" * 50_000, "<script>" * 3 + "<svg>" * 50_000, "<b>" * 20_000 + "<div></b>" * 20_000, "<!-- <" * 50_000, "<ul>" + "<li>x y z." * 30_000], ids=range(10))
+def test_long_and_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    mincut.main_blocks(page)
+    assert time.process_time() - began < 8
+
+
+def test_text_of_the_pages_is_their_article(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    out = {r["page_id"]: r for r in mincut.extract(pages.withColumn("text", pages["url"])).collect()}
+    for r in pages.collect():
+        body = re.sub(r"</?b>", "", r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]).replace("<br>", " ")
+        blocks = [" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert out[r["page_id"]]["text"] == "\n\n".join(x for x in blocks if x)
+        assert out[r["page_id"]]["n_changed"] > 0
+
+
+def test_fit_of_the_classifier():
+    assert mincut.fit([]) is mincut.START and mincut.fit([(3, 0, 1, 1, 50)]) is mincut.START
+    w = mincut.fit([(1, 8, 0, 0, 900), (1, 0, 0, 0, 30), (6, 0, 1, 1, 400), (2, 0, 1, 1, 20)])
+    score = lambda *x: float(np.dot(w, (1, *x)))
+    assert score(6, 0, 1) > 1 > -1 > score(1, 8, 0)
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -289,8 +397,12 @@ def test_top_k_equals_brute_force(spark):
         if q % 50 == 0:
             best = sorted(((-int((x * y).sum()), c) for c, y in usable if c != q))[:5]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    out = bitslice.top_k(df, df.where("vec_id % 50 = 0"), block_rows=100, queries_per_block=3)
-    assert sorted(collect(out, "query_id", "rank", "vec_id", "score")) == sorted(want)
+    df = df.withColumn("score", F.lit(0)).withColumn("ids", F.lit("clash"))
+    for block_rows, tasks in ((100, 2), (1 << 16, 7), (100, None)):
+        out = bitslice.top_k(df, df.where("vec_id % 50 = 0"), block_rows=block_rows, queries_per_block=3, tasks=tasks)
+        assert sorted(collect(out, "query_id", "rank", "vec_id", "score")) == sorted(want)
+    twice = bitslice.top_k(df, df.where("vec_id = 50").unionByName(df.where("vec_id = 50")))
+    assert twice.count() == 5
     assert bitslice.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -334,26 +446,58 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 # Licenses.
 
 
-def test_licenses_equal_a_scan_of_all_windows(spark):
-    filler = lambda s: words(40, s, 10**6)
-    lines = ["Released under the MIT License.", "# Licensed under the Apache License,\n# Version 2.0.", "ALL RIGHTS RESERVED", "Licensed under CC BY-NC 4.0."]
-    texts = [f"{filler(i)}\n{line}\n{filler(50 + i)}" for i, line in enumerate(lines)] + [filler(9), "", None, "all rights", "Permission is hereby granted, free of any charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"]
-    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    got = {(r["doc_id"], r["template"], r["start_word"]): r["containment"] for r in out.collect()}
-    assert {(d, t) for d, t, _ in got} == {(0, "mit-line"), (1, "apache-line"), (2, "all-rights-reserved"), (3, "cc-by-nc-line"), (8, "mit-grant")}
+def brute_licenses(text):
+    """(template, first word, words, containment) from every window of every template's length, cut by the text's ends."""
     plain = lambda x: re.findall(r"[^\W_]+", x.lower())
-    for (d, t, at), c in got.items():
-        tw = plain(next(x for n, _, x in licenses.TEMPLATES if n == t))
-        shingles = {tuple(tw[i : i + 3]) for i in range(len(tw) - 2)}
-        w = plain(texts[d])[at : at + len(tw)]
-        assert abs(c - len(shingles & {tuple(w[i : i + 3]) for i in range(len(w) - 2)}) / len(shingles)) < 1e-9
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    w = grams(plain(text or ""))
+    found = {}
+    for t, (_, _, body) in enumerate(licenses.TEMPLATES):
+        want = set(grams(plain(body)))
+        n = len(grams(plain(body)))
+        for start in range(-n, len(w)):
+            first, last = max(0, start), min(len(w), start + n)
+            c = len(want.intersection(w[first:last])) / len(want)
+            if c >= 0.75 and (c, -last) > found.get((t, first), (0, 0)):
+                found[t, first] = (c, -last)
+    out = []
+    for (t, first), (c, last) in sorted(found.items(), key=lambda x: (-x[1][0], x[0][1] + x[1][1], x[0][1], x[0][0])):
+        n = -last - first + 2
+        if all(first + n <= p or p + m <= first for _, p, m, _ in out):
+            out.append((licenses.TEMPLATES[t][0], first, n, c))
+    return set(out)
+
+
+def test_licenses_equal_a_scan_of_all_windows(spark):
+    rng = np.random.default_rng(11)
+    filler = lambda n: words(n, int(rng.integers(10**6)), 10**6)
+    texts = [None, "", "all rights", filler(9), "ALL RIGHTS RESERVED", filler(5000) + " Released under the MIT License. " + filler(5000)]
+    for k in range(240):
+        w = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][2].split()
+        for _ in range(int(rng.integers(0, 3))):  # words change, go, or come
+            at = int(rng.integers(len(w)))
+            w[at : at + int(rng.integers(0, 2))] = [f"new{k}"] * int(rng.integers(0, 2))
+        w = w[int(rng.integers(0, 3)) :][: len(w) - int(rng.integers(0, 4))]
+        texts.append(" ".join([filler(int(rng.integers(0, 2) * 20)), *w, filler(int(rng.integers(0, 2) * 20))]))
+    texts.append(texts[-1])
+    # A clashing column and rows in several parts; the grant that lacks its last word at the end of a text.
+    grant = next(x for n, _, x in licenses.TEMPLATES if n == "mit-grant")
+    texts.append("Some words before. " + grant.rsplit(" ", 1)[0])
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    got = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, template string").repartition(3)).collect():
+        got[r["doc_id"]].add((r["template"], r["start_word"], r["n_words"], r["containment"]))
+    want = {i: found for i, t in enumerate(texts) if (found := brute_licenses(t))}
+    assert len(want) > 90 and dict(got) == want
+    assert any(t == "mit-grant" for t, *_ in got[len(texts) - 1])
     assert licenses.collision_probability(0.6) > 0.999
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 # Mixing.
 
 
-def test_mix_meets_its_targets(spark, frame, empty):
+def test_mix_meets_its_targets(spark, frame, empty, monkeypatch):
     rows = [(i, words(int(n), i), f"s{i % 4}" if i % 5 else None) for i, n in enumerate(np.random.default_rng(1).integers(0, 90, 500))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     plan = mixing.plan_mix(df).toPandas()
@@ -364,8 +508,11 @@ def test_mix_meets_its_targets(spark, frame, empty):
     free = by[by["target"] < 2 * by["size"] - 1e-6]
     weights = dict(zip(sorted(by.index), [3, 1, 2, 3, 1], strict=True))
     assert len({round(t / weights[s], 4) for s, t in free["target"].items()}) <= 1
-    again = mixing.plan_mix(df.repartition(7)).toPandas()
+    again = mixing.plan_mix(df.repartition(7), range_rows=3).toPandas()
     assert dict(zip(again.doc_id, again.taken, strict=True)) == dict(zip(plan.doc_id, plan.taken, strict=True))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    many = mixing.plan_mix(df).toPandas()
+    assert dict(zip(many.doc_id, many.taken, strict=True)) == dict(zip(plan.doc_id, plan.taken, strict=True))
     mixed = mixing.mix(df).toPandas()
     assert mixed["text"].map(lambda t: len(WORD.findall(t))).groupby(mixed["doc_id"]).sum().to_dict() == {d: t for d, t in zip(plan.doc_id, plan.taken, strict=True) if t}
     awkward = mixing.mix(frame)
@@ -398,14 +545,24 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk_bytes", [500, 1 << 20])
-def test_repeats_equal_brute_force(spark, chunk_bytes):
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for n, high, width in ((0, 2, 3), (1, 2, 3), (500, 2, 4), (2000, 5, 3), (3000, 2**63, 2), (700, 1, 5)):
+        words = rng.integers(0, high, (n, width)).astype(np.uint64)
+        for w in (words, np.sort(words, axis=0), words[::-1]):
+            order = suffixes.multikey_quicksort(w)
+            assert sorted(order.tolist()) == list(range(n)) and w[order].tolist() == sorted(w.tolist())
+
+
+@pytest.mark.parametrize(("chunk_bytes", "hot_chunks"), [(500, suffixes.HOT_CHUNKS), (1 << 20, suffixes.HOT_CHUNKS), (500, 2), (500, 5)])
+def test_repeats_equal_brute_force(spark, chunk_bytes, hot_chunks):
+    """The last cases deal the strings of anchors that so few chunks share."""
     rng = np.random.default_rng(9)
     passages = ["".join(rng.choice(list("abcde é"), n)) for n in (49, 50, 51, 80, 200)]
     rows = [(int(i), "".join("".join(rng.choice(list("abcdefgh "), rng.integers(0, 60))) + passages[rng.integers(5)] for _ in range(rng.integers(0, 4)))) for i in rng.permutation(60)]
     rows += [(70, "a" * 300), (71, "a" * 120), (72, "ab" * 100), (73, "ab" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    out = suffixes.remove_repeats(df, chunk_bytes=chunk_bytes)
+    out = suffixes.remove_repeats(df, chunk_bytes=chunk_bytes, hot_chunks=hot_chunks)
     assert sorted(collect(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(brute_repeats(rows))
 
 
