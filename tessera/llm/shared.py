@@ -12,36 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut, scratch_dir
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What one batch of rows may take on its way to a Python worker, where rows are large.
 BATCH_BYTES = 4 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate data: ``spark.checkpoint.dir``.
-
-    Only on a single machine (tests) it may be unset; a folder beside the warehouse's
-    tables is taken then.  On a cluster that is an error, for executors would write to
-    folders of their own.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """What is computed inside sends rows to Python in batches of a few MB.

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.graph import connected
 from tessera.llm import bitslice, crf, jaccard, licenses, mincut, mixing, packing, quality, sharding, suffixes
-from tessera.llm.components import connected
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, bin string, _k1 string, label double"
