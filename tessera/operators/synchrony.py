@@ -16,6 +16,8 @@ from ..plans.pipe import verb
 from .events import match_events
 from .rolling import windows
 
+#: Words of 64 times that a pair keeps in columns.
+WORDS = 2
 MODES = ("reference", "neighbors", "all_pairs", "regional", "blocks")
 
 
@@ -171,18 +173,25 @@ def occurrence_synchrony(states: Cube, mode: str = "reference", window: str | in
     and a window is a mask over them.
     """
     pairs = spatial_pairs(states, mode, series=_bitmaps(states), **pairing)
-    both = pairs.crossJoin(F.broadcast(_masks(states, window, stride)))
-    z = F.arrays_zip(F.col("source_words").alias("a"), F.col("target_words").alias("b"), F.col("mask").alias("m"))
+    plain = [c for c in pairs.columns if not c.endswith("_words")]
     names = ("joint", "union", "n", "na", "nb")
 
-    def add(acc: Column, w: Column) -> Column:
-        a, b, ka, kb, m = w["a"]["on"], w["b"]["on"], w["a"]["known"], w["b"]["known"], w["m"]
-        parts = (a.bitwiseAND(b), a.bitwiseOR(b), ka.bitwiseAND(kb), a.bitwiseAND(kb), b.bitwiseAND(ka))
-        return F.struct(*[(acc[k] + F.bit_count(x.bitwiseAND(m))).alias(k) for k, x in zip(names, parts, strict=True)])
+    def parts(a: Column, b: Column) -> list[Column]:
+        return [a["on"].bitwiseAND(b["on"]), a["on"].bitwiseOR(b["on"]), a["known"].bitwiseAND(b["known"]), a["on"].bitwiseAND(b["known"]), b["on"].bitwiseAND(a["known"])]
 
-    counts = F.aggregate(z, F.struct(*[F.lit(0).alias(k) for k in names]), add)
-    plain = [c for c in pairs.columns if not c.endswith("_words")]
-    c = both.select("window_end", *plain, counts.alias("_c")).select("window_end", *plain, *[F.col(f"_c.{k}").cast("double").alias(k) for k in names])
+    # The first words of a pair are columns, so that windows over them need no array functions; longer series go on in arrays.
+    first = [x.alias(f"_{name}{k}") for k in range(WORDS) for name, x in zip(names, parts(F.get("source_words", F.lit(k)), F.get("target_words", F.lit(k))), strict=True)]
+    rest = F.when(F.size("source_words") > WORDS, F.arrays_zip(*[F.slice(f"{s}_words", WORDS + 1, F.size(f"{s}_words")).alias(s[0]) for s in ("source", "target")]))
+    masks = _masks(states, window, stride)
+    masks = masks.select("window_end", *[F.get("mask", F.lit(k)).alias(f"_m{k}") for k in range(WORDS)], F.slice("mask", WORDS + 1, F.size("mask")).alias("_rest_mask"))
+    both = pairs.select(*plain, *first, rest.alias("_rest")).crossJoin(F.broadcast(masks))
+
+    def count(i: int, name: str) -> Column:
+        near = sum((F.coalesce(F.bit_count(F.col(f"_{name}{k}").bitwiseAND(F.col(f"_m{k}"))), F.lit(0)) for k in range(WORDS)), F.lit(0))
+        far = F.aggregate(F.zip_with("_rest", "_rest_mask", lambda z, m: F.bit_count(parts(z["s"], z["t"])[i].bitwiseAND(m))), F.lit(0), lambda acc, c: acc + c)
+        return (near + F.when(F.col("_rest").isNotNull(), far).otherwise(F.lit(0))).cast("double").alias(name)
+
+    c = both.select("window_end", *plain, *[count(i, name) for i, name in enumerate(names)])
     n, a, b, j = (F.col(x) for x in ("n", "na", "nb", "joint"))
     denominator = F.sqrt(a * (n - a) * b * (n - b))
     return c.withColumns({"jaccard": F.try_divide(j, F.nullif("union", F.lit(0.0))), "joint_probability": F.try_divide(j, F.nullif(n, F.lit(0.0))), "phi": F.try_divide(n * j - a * b, F.nullif(denominator, F.lit(0.0)))}).drop("na", "nb")
