@@ -17,7 +17,7 @@ from .queries_cube import _PAIRS, cube_sql
 from .queries_cube import query as cube_query
 from .queries_lake import _AT_SQL as _at
 from .queries_lake import _COLS, query, slices, traits
-from .sources import cubes
+from .sources import catalogs, cubes
 from .sources.cubes import band_cube_cells, demo_cells, demo_cube, demo_vase
 
 _CUBE = cube_sql(None)
@@ -366,6 +366,21 @@ def ring_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.select("event_id", F.col("time").cast("string").alias("time"), x.alias("x"), y.alias("y"), b["min_x"].alias("min_x"), b["max_y"].alias("max_y"))
 
 
+@query("wkt_rings", _SQ + " SELECT event_id, time, round(4 * h * h, 6) AS area, CAST(5 AS INTEGER) AS n_points FROM cq")
+def wkt_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings written as text, with a smaller polygon beside them, and read again."""
+    rings = geometry.clean_daily_rings(_squares(spark, sf_dir), ["event_id"])
+    points = F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string")))
+    text = F.concat(F.lit("MULTIPOLYGON (((0 0, 0.5 0, 0.5 0.5, 0 0)), (("), F.array_join(points, ", "), F.lit(")))"))
+    read = rings.select("event_id", F.col("time").cast("string").alias("time"), catalogs.wkt_ring(text).alias("ring"))
+    return read.select("event_id", "time", geometry.area(F.col("ring")).alias("area"), F.size("ring").alias("n_points"))
+
+
+@query("band_ndvi", f"WITH {_BANDS} SELECT time, y, x, round((c - v) / (c + v), 6) AS ndvi FROM b", base=None)
+def band_ndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.band_ndvi(band_cube_cells(spark, sf_dir, ["view", "click"]), ["view", "click"])
+
+
 @cube_query("tube_hulls", " SELECT time, y_idx // 2 AS part, count(*) AS n, CASE WHEN max(y) > min(y) AND max(x) > min(x) THEN round(CAST((max(y) - min(y)) * (max(x) - min(x)) AS DOUBLE), 6) ELSE round((max(y) - min(y) + 1.0) * (max(x) - min(x) + 1.0), 6) END AS area FROM (SELECT c.time, c.y_idx, c.y, c.x FROM cube c JOIN (SELECT DISTINCT y, x FROM cube) USING (y, x)) GROUP BY 1, 2")
 def tube_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cube(spark, sf_dir).df.select("time", F.floor(F.col("y_idx") / 2).cast("int").alias("part"), "y", "x")

@@ -42,6 +42,8 @@ def track_runs(cells: DataFrame, threshold: float, max_gap_days: int = 0, late:
 
     A run is reported with ``open`` when it has grown, and once more when a later cell has
     closed it.  The state of a pixel is its open run alone, however long the stream lasts.
+    A late cell inside the open run counts towards it and moves neither end; one close enough
+    before it moves the start; one further back is a run of its own, reported as closed.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,10 +53,14 @@ def track_runs(cells: DataFrame, threshold: float, max_gap_days: int = 0, late:
         for time, value in zip(cells["time"], cells["value"], strict=True):
             if value is None or not value >= threshold:
                 continue
+            alone = [time, time, 1, float(value)]
+            if current is not None and (current[0] - time).days - 1 > max_gap_days:
+                out.append((*key, *alone, False))
+                continue
             if current is not None and (time - current[1]).days - 1 > max_gap_days:
                 out.append((*key, *current, False))
                 current = None
-            current = [time, time, 1, float(value)] if current is None else [current[0], time, current[2] + 1, max(current[3], float(value))]
+            current = alone if current is None else [min(current[0], time), max(current[1], time), current[2] + 1, max(current[3], float(value))]
         if current is not None:
             state.update(tuple(current))
             out.append((*key, *current, True))

@@ -1,11 +1,13 @@
 """Areas, cube sources and streams."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import aoi, cubes
+from tessera.operators import geometry
+from tessera.sources import aoi, catalogs, cubes
 from tessera.streaming import cubes as streams
 
 
@@ -85,3 +87,47 @@ def test_runs_survive_batches(spark, tmp_path):
     closed = [(r["duration"], r["peak"]) for r in spark.table("runs").where("not open").collect()]
     still = spark.table("runs").where("open").collect()
     assert closed == [(3, 70.0)] and any(r["duration"] == 1 and r["peak"] == 80.0 for r in still)
+
+
+def test_runs_take_late_cells(spark, tmp_path):
+    schema = "time timestamp, y long, x long, value double"
+    day = lambda n, v: (dt.datetime(2024, 1, 1) + dt.timedelta(days=n), 0, 0, float(v))
+    for batch in ([day(10, 50), day(12, 60)], [day(11, 70)], [day(9, 45), day(3, 41)], [day(13, 42)], [day(30, 99)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = streams.track_runs(streams.read_cells(spark, str(tmp_path / "in"), schema), 40.0, max_gap_days=1, late="90 days").writeStream.format("memory").queryName("late_runs").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    closed = {(r["start"].day, r["end"].day, r["duration"], r["peak"]) for r in spark.table("late_runs").where("not open").collect()}
+    assert closed == {(4, 4, 1, 41.0), (10, 14, 5, 70.0)}
+
+
+def test_known_sources(spark, tmp_path):
+    rows = [(dt.date(2024, 1, d), 40 + i / 24, -100 + j / 24, 273.15 + d, float(d)) for d in range(1, 4) for i in range(3) for j in range(3)]
+    path = str(tmp_path / "cells")
+    spark.createDataFrame(rows, "time date, lat double, lon double, tmmx double, vs double").write.parquet(path)
+    day = catalogs.load_source(spark, "gridmet", path, ["tmmx", "vs"], freq="day", point=(-100 + 1 / 24, 40 + 1 / 24))
+    assert day.attrs["units"] == {"tmmx": "degC", "vs": "m/s"} and {round(r["tmmx"], 6) for r in day.df.collect()} == {1.0, 2.0, 3.0}
+    month = catalogs.load_source(spark, "gridmet", path, bbox=(-101, 39, -99, 41))
+    assert month.variables == ("tmmx",) and {round(r["tmmx"], 6) for r in month.df.collect()} == {2.0} and month.df.count() == 9
+    with pytest.raises(ValueError):
+        catalogs.load_source(spark, "gridmet", path, ["ppt"], point=(-100, 40))
+    assert not catalogs.is_large(365, bbox=(-110, 35, -100, 45)) and catalogs.is_large(36500, bbox=(-110, 35, -100, 45))
+    assert catalogs.request_size(10, geojson={}, source="prism") == 25.0
+    assert catalogs.center_and_edge((-1.0, 2.0, 1.0, 3.0), 100.0) == (2.5, 0.0, 2220)
+    scenes = spark.createDataFrame([(dt.date(2024, 1, 1), 0.0, 0.0, b, v, c) for b, v, c in (("B04", 1.0, 10.0), ("B08", 3.0, 10.0), ("B02", 9.0, 10.0), ("B04", 5.0, 80.0))], "time date, y double, x double, band string, value double, cloud_cover double")
+    cells = catalogs.scene_cells(scenes, 0.0, 0.0)
+    assert cells.count() == 2 and catalogs.band_ndvi(cells, ["B04", "B08"]).first()["ndvi"] == 0.5
+    assert catalogs.band_ndvi(cells.replace({"B04": "red", "B08": "nir"}), ["nir", "red"]).first()["ndvi"] == 0.5
+
+
+def test_rings_from_text_and_geojson(spark, tmp_path):
+    texts = ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 9 5, 9 9, 5 9, 5 5)))", "POINT (1 2)", None]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, wkt string").select("i", catalogs.wkt_ring(F.col("wkt")).alias("r")).orderBy("i").collect()
+    assert [len(r["r"]) if r["r"] else None for r in out] == [5, 5, None, None] and out[1]["r"][0]["x"] == 5.0
+    square = [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]
+    features = [{"type": "Feature", "properties": {"id": "a", "date": "2024-01-02"}, "geometry": {"type": "Polygon", "coordinates": square}}, {"type": "Feature", "properties": {"id": "b", "date": "2024-01-03"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], square]}}, {"type": "Feature", "properties": {"id": "c", "date": None}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]
+    (tmp_path / "fires.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    rings = {r["event_id"]: r for r in catalogs.read_rings(spark, str(tmp_path / "fires.geojson")).withColumn("area", geometry.area(F.col("ring"))).collect()}
+    assert rings["a"]["area"] == rings["b"]["area"] == 4.0 and rings["c"]["ring"] is None and str(rings["b"]["time"]) == "2024-01-03"
+    spark.createDataFrame([("x", dt.date(2024, 1, 1), texts[0], 7)], "id string, date date, wkt string, size int").write.parquet(str(tmp_path / "rings"))
+    one = catalogs.read_rings(spark, str(tmp_path / "rings")).first()
+    assert one["properties"] == {"size": "7"} and len(one["ring"]) == 5
