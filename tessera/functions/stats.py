@@ -75,9 +75,15 @@ def array_mean(values: Column) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v), F.nullif(F.size(values), F.lit(0)))
 
 
-def quantile(value: Column, q: float | Column) -> Column:
-    """Linear interpolation between order statistics."""
-    return F.percentile(value, F.lit(q) if isinstance(q, float) else q)
+def quantile(value: Column | str, q: float | Column, accuracy: int | None = None) -> Column:
+    """Linear interpolation between order statistics.
+
+    An exact quantile keeps a count of every distinct value until the last task has them
+    all.  With ``accuracy`` it is an approximate one of bounded size instead, whose rank is
+    off by at most one part in ``accuracy`` and which does not interpolate.
+    """
+    at = F.lit(q) if isinstance(q, float) else q
+    return F.percentile(value, at) if accuracy is None else F.percentile_approx(value, at, accuracy)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -23,6 +23,10 @@ def content_hash(value: Any, length: int = 16) -> str:
     return hashlib.sha256(stable_json(value).encode()).hexdigest()[:length]
 
 
+# The names in a key's payload, which its hash depends on: component, identity, versions, inputs, and
+# below the names of the identities, versions and inputs of each kind.
+
+
 def cache_key(component: str, identity: Mapping, versions: Mapping, inputs: Mapping | None = None) -> str:
     return f"{component}:" + content_hash({"component": component, "identity": identity, "versions": versions, "inputs": inputs or {}}, 24)
 

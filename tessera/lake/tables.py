@@ -103,13 +103,13 @@ def with_partitions(df: DataFrame, lon: str, lat: str, version: str) -> DataFram
     return df.withColumns({"region": region(F.col(lon), F.col(lat)), "spatial_bucket": spatial_bucket(F.col(lon), F.col(lat)), "processing_version": F.lit(version.replace("/", "_"))})
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Write by year, region, tile and version (never by id), and hand the frame on.
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", kind: str = "parquet") -> DataFrame:
+    """Write by year, region, tile and version (never by id), and hand the frame on; ``kind`` is parquet, or csv with a header.
 
     Rows of one partition go to one task, so that a partition is a few files.
     """
     parts = ["year", "region", "spatial_bucket", "processing_version"]
-    df.repartition(*[F.col(p) for p in parts]).write.mode(mode).partitionBy(*parts).parquet(path)
+    df.repartition(*[F.col(p) for p in parts]).write.mode(mode).partitionBy(*parts).format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
     return df
 
 

@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantile
 
-def standardised(df: DataFrame, columns: list[str], center: str = "median") -> DataFrame:
+
+def standardised(df: DataFrame, columns: list[str], center: str = "median", accuracy: int | None = None) -> DataFrame:
     """Columns imputed by the median, centred by median or mean, and scaled by the population deviation (1 if that is 0)."""
-    med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+    med = df.agg(*[quantile(c, 0.5, accuracy).alias(f"_m_{c}") for c in columns])
     filled = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns})
     spread = filled.agg(*[e for c in columns for e in (F.stddev_pop(c).alias(f"_s_{c}"), F.avg(c).alias(f"_a_{c}"))])
     mid = "_m_" if center == "median" else "_a_"
@@ -283,6 +285,23 @@ def ward_clusters(df: DataFrame, id_column: str, columns: list[str], k: int, loc
     return spark.createDataFrame(pa.table({id_column: rows[id_column], "cluster": pa.array(labels.astype(np.int64))}))
 
 
+def silhouettes(df: DataFrame, id_column: str, columns: list[str], label: str, blocks: int = 16) -> DataFrame:
+    """(id, label, silhouette) of each row: how much nearer its own cluster is than the next one; 0 for a cluster of one.
+
+    Rows meet packed blocks of rows of each cluster, so no pair becomes a row, and a
+    cluster's rows are dealt to as many tasks as blocks.
+    """
+    point = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(F.col(id_column).alias("id"), F.col(label).alias("own"), point.alias("p"))
+    packed = rows.groupBy(F.col("own").alias("other"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b")).agg(F.collect_list("p").alias("q"))
+    sent = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    distance = lambda q: F.sqrt(F.aggregate(F.zip_with("p", q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
+    sums = sent.join(packed, "_b").groupBy("id", "own", "other").agg(F.sum(F.aggregate("q", F.lit(0.0), lambda acc, q: acc + distance(q))).alias("d"), F.sum(F.size("q")).alias("n"))
+    mine = F.col("own") == F.col("other")
+    out = sums.groupBy("id", "own").agg(F.max(F.when(mine, F.try_divide("d", F.nullif(F.col("n") - 1, F.lit(0))))).alias("a"), F.min(F.when(~mine, F.col("d") / F.col("n"))).alias("b"))
+    return out.select(F.col("id").alias(id_column), F.col("own").alias(label), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.nullif(F.greatest("a", "b"), F.lit(0.0))), F.lit(0.0)).alias("silhouette"))
+
+
 def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
     scores = []

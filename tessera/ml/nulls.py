@@ -50,8 +50,9 @@ def permuted(df: DataFrame, id_column: str, columns: list[str], reps: int) -> Da
     A column's values are numbered by a hash of id, replicate and column, and columns meet
     by number.
     """
-    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_e")
-    rows = df.select(F.col(id_column).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "*").select("id", "rep", entries).select("id", "rep", "_e.*")
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(F.col(id_column).alias("id"), entries.alias("_all")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    rows = rows.select("id", "rep", F.explode("_all").alias("_e")).select("id", "rep", "_e.*")
     key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("rep").cast("string"), "column"))
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("rep", "column").orderBy(key, "id")))
     return placed.groupBy("rep", "place").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, pearson
+from ..functions.stats import average_rank, pearson, quantile
 
 
 def exposure_zones(burned: DataFrame, grid: DataFrame, days: DataFrame, distance: int) -> DataFrame:
@@ -49,9 +49,9 @@ def group_anomaly(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.withColumns({f"{value}_median": m, f"{value}_anomaly": F.col(value) - m})
 
 
-def extreme_flags(rows: DataFrame, high: list[str], low: list[str], q: float = 0.9) -> DataFrame:
+def extreme_flags(rows: DataFrame, high: list[str], low: list[str], q: float = 0.9, accuracy: int | None = None) -> DataFrame:
     """Whether values reach the quantiles of all rows: ``q`` from above, 1 - q from below; thresholds are one row."""
-    cut = rows.agg(*[F.percentile(c, F.lit(q)).alias(f"_h_{c}") for c in high], *[F.percentile(c, F.lit(1 - q)).alias(f"_l_{c}") for c in low])
+    cut = rows.agg(*[quantile(c, q, accuracy).alias(f"_h_{c}") for c in high], *[quantile(c, 1 - q, accuracy).alias(f"_l_{c}") for c in low])
     flags = {f"{c}_high": F.coalesce(F.col(c) >= F.col(f"_h_{c}"), F.lit(False)) for c in high} | {f"{c}_low": F.coalesce(F.col(c) <= F.col(f"_l_{c}"), F.lit(False)) for c in low}
     return rows.crossJoin(F.broadcast(cut)).withColumns(flags).select(*rows.columns, *flags)
 

@@ -123,7 +123,7 @@ def hulls(cells: DataFrame, keys: list[str], buffer: float | None = None) -> Dat
             (x0, x1), (y0, y1) = ((min(v) - buffer, max(v) + buffer) for v in zip(*ring, strict=True))
             ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
         row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "ring": [[{"x": a, "y": b} for a, b in ring]]}) if len(ring) > 2 else pd.DataFrame({**{k: [] for k in keys}, "ring": []})
+        return pd.DataFrame({**row, "ring": [[{"x": a, "y": b} for a, b in ring]]}) if len(ring) > 2 else pd.DataFrame({c: pd.Series([], dtype=object) for c in (*keys, "ring")})
 
     return cells.select(*keys, "y", "x").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", ring {RING}")
 
@@ -182,13 +182,30 @@ def sample_inside_outside(cells: DataFrame, perimeters: DataFrame, keys: list[st
     """Whether each cell lies wholly inside the latest perimeter; where no cell of an event and day does, its centre decides."""
     c = latest_ring(cells, perimeters, keys)
     x, y, ring = F.col("x").cast("double"), F.col("y").cast("double"), F.col("ring")
+    box = bounds(ring)
+    c = c.withColumn("_box", F.struct(*[v.alias(k) for k, v in box.items()]))
+    near = x.between(F.col("_box.min_x"), F.col("_box.max_x")) & y.between(F.col("_box.min_y"), F.col("_box.max_y"))
     corners = [contains(ring, x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)]
-    whole = corners[0] & corners[1] & corners[2] & corners[3]
-    marked = c.withColumns({"_whole": F.coalesce(whole, F.lit(False)), "_center": F.coalesce(contains(ring, x, y), F.lit(False))})
+    inner = (x - half >= F.col("_box.min_x")) & (x + half <= F.col("_box.max_x")) & (y - half >= F.col("_box.min_y")) & (y + half <= F.col("_box.max_y"))
+    test = lambda first, then: F.when(F.coalesce(first, F.lit(False)), then).otherwise(F.lit(False))
+    marked = c.withColumns({"_whole": test(inner, corners[0] & corners[1] & corners[2] & corners[3]), "_center": test(near, contains(ring, x, y))}).drop("_box")
     some = F.bool_or("_whole").over(Window.partitionBy(*keys, "time"))
     return marked.withColumn("inside", F.when(some, F.col("_whole")).otherwise(F.col("_center"))).drop("_whole", "_center", "ring")
 
 
+def climate_samples(cells: DataFrame, perimeters: DataFrame, keys: list[str], half: float, value: str) -> DataFrame:
+    """(keys, time, mean and number of values inside and outside) between each event's first and last ring.
+
+    ``cells(keys, time, y, x, value)``; days outside the span are left out, and an event
+    without any gives no row.
+    """
+    span = perimeters.groupBy(*keys).agg(F.min("time").alias("_t0"), F.max("time").alias("_t1"))
+    within = cells.join(span, keys).where(F.col("time").between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")
+    marked = sample_inside_outside(within, perimeters, keys, half)
+    pick = lambda inside: F.when(F.col("inside") == inside, F.col(value))
+    return marked.groupBy(*keys, "time").agg(F.avg(pick(True)).alias("inside_mean"), F.count(pick(True)).alias("n_inside"), F.avg(pick(False)).alias("outside_mean"), F.count(pick(False)).alias("n_outside"))
+
+
 def clean_daily_rings(daily: DataFrame, keys: list[str]) -> DataFrame:
     """Daily rings in order, without empty ones and without repeats of the day before."""
     w = Window.partitionBy(*keys).orderBy("time")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantile
+
 # Stages by relative time.
 STAGES = (("early", 0.0, 0.25), ("expansion", 0.25, 0.5), ("mature", 0.5, 0.75), ("terminal", 0.75, 1.01))
 LEAST = 1e-9
@@ -125,13 +127,14 @@ def features(slices: DataFrame, traits: DataFrame, profile_points: int = 11) ->
     )
 
 
-def shape_labels(feats: DataFrame) -> DataFrame:
+def shape_labels(feats: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Features with a label; the thresholds are quantiles over everyone, one row that is sent to all."""
     cut = feats.agg(
-        F.percentile("final_area_km2", F.lit(0.75)).alias("_a75"), F.percentile("final_area_km2", F.lit(0.9)).alias("_a90"),
-        F.percentile("duration_days", F.lit(0.5)).alias("_d50"), F.percentile("slenderness_days_per_width", F.lit(0.75)).alias("_s75"),
+        quantile("final_area_km2", 0.75, accuracy).alias("_a75"), quantile("final_area_km2", 0.9, accuracy).alias("_a90"),
+        quantile("duration_days", 0.5, accuracy).alias("_d50"), quantile("slenderness_days_per_width", 0.75, accuracy).alias("_s75"),
     )
     c = F.col
+    # The labels, their order and the thresholds of their rules.
     label = (
         F.when((c("observation_count") <= 1) | (c("duration_days") <= 1), "single flash")
         .when((c("slenderness_days_per_width") >= c("_s75")) & (c("final_area_km2") <= c("_a75")), "skinny persistent")
@@ -209,9 +212,9 @@ def duration_bin(days: Column) -> Column:
     return F.when(days <= 1, "1").when(days <= 3, "2-3").when(days <= 7, "4-7").otherwise("8+")
 
 
-def terciles(df: DataFrame, value: str, name: str = "tercile") -> DataFrame:
+def terciles(df: DataFrame, value: str, name: str = "tercile", accuracy: int | None = None) -> DataFrame:
     """low, middle or high by the values at the thirds."""
-    cut = df.agg(F.percentile(value, F.lit(1 / 3)).alias("_a"), F.percentile(value, F.lit(2 / 3)).alias("_b"))
+    cut = df.agg(quantile(value, 1 / 3, accuracy).alias("_a"), quantile(value, 2 / 3, accuracy).alias("_b"))
     v = F.col(value)
     return df.crossJoin(F.broadcast(cut)).withColumn(name, F.when(v <= F.col("_a"), "low").when(v <= F.col("_b"), "middle").when(v.isNotNull(), "high")).drop("_a", "_b")
 
@@ -230,9 +233,9 @@ def local_maxima(series: DataFrame, keys: list[str], order: str, value: str) ->
     return series.withColumns({"_b": F.lag(v).over(w), "_a": F.lead(v).over(w)}).where((F.col("_b").isNull() | (v >= F.col("_b"))) & (F.col("_a").isNull() | (v >= F.col("_a")))).drop("_b", "_a")
 
 
-def contrast_pairs(feats: DataFrame, size: str, value: str, bins: int = 40, least: int = 20) -> DataFrame:
+def contrast_pairs(feats: DataFrame, size: str, value: str, bins: int = 40, least: int = 20, accuracy: int | None = None) -> DataFrame:
     """In each quantile bin of ``size`` with enough members, the ids with the least and the greatest ``value``."""
-    edges = feats.agg(F.percentile(size, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    edges = feats.agg(quantile(size, F.array(*[F.lit(i / bins) for i in range(1, bins)]), accuracy).alias("_e"))
     bin_ = F.size(F.filter("_e", lambda e: e <= F.col(size)))
     return feats.crossJoin(F.broadcast(edges)).withColumn("bin", bin_).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("fire_id", F.struct(value, "fire_id")).alias("low_id"), F.max_by("fire_id", F.struct(value, "fire_id")).alias("high_id"), (F.max(value) - F.min(value)).alias("gap")

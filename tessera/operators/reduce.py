@@ -50,6 +50,14 @@ def variance(cube: Cube, dim: str | list[str] = "time", skipna: bool = True, kee
     return reduce_cube(cube, F.var_samp if ddof else F.var_pop, dim, skipna, keep_dim)
 
 
+@verb
+def mean_and_variance(cube: Cube, dim: str | list[str] = "time") -> DataFrame:
+    """Mean and sample variance of the values, in one pass."""
+    both = cube.with_values(mean=F.col(cube.variable), variance=F.col(cube.variable))
+    keep = [c for d, (c, _) in DIMS.items() if d not in (dim if isinstance(dim, list) else [*PIXEL] if dim == "space" else [dim])]
+    return both.df.groupBy(*keep).agg(F.avg("mean").alias("mean"), F.var_samp("variance").alias("variance"))
+
+
 @verb
 def median(cube: Cube, dim: str | list[str] = "time", skipna: bool = True) -> DataFrame:
     return reduce_cube(cube, lambda v: quantile(v, 0.5), dim, skipna)

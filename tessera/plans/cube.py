@@ -120,8 +120,14 @@ def from_frame(df: DataFrame, variables: tuple[str, ...], attrs: dict | None = N
 def merge(left: Cube, right: Cube, how: str = "inner") -> Cube:
     """Two cubes as one with the variables of both, aligned on their keys.
 
-    ``how``: inner or outer; positions come from the merged axes.
+    ``how``: inner or outer, or exact (an action), which refuses cubes whose cells differ;
+    positions come from the merged axes.
     """
+    if how == "exact":
+        odd = left.df.select(*KEYS).join(right.df.select(*KEYS), [*KEYS], "left_anti").unionByName(right.df.select(*KEYS).join(left.df.select(*KEYS), [*KEYS], "left_anti"))
+        if not odd.isEmpty():
+            raise ValueError("the cubes' cells differ")
+        how = "inner"
     twice = set(left.variables) & set(right.variables)
     if twice:
         raise ValueError(f"variables in both cubes: {sorted(twice)}")

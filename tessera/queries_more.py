@@ -7,16 +7,17 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.scratch import cut
 from .lake import keys, tables
 from .ml import models, nulls
-from .operators import align, blocks, exposure, geometry, population, reduce, rolling, selections, synchrony
+from .operators import align, blocks, exposure, geometry, population, reduce, rolling, selections, synchrony, tubes
 from .oracles import rounded
 from .plans.cube import Cube, from_frame, merge
 from .plans.pipe import apply, pipe
 from .queries_cube import _PAIRS, cube_sql
 from .queries_cube import query as cube_query
 from .queries_lake import _AT_SQL as _at
-from .queries_lake import _COLS, query, slices, traits
+from .queries_lake import _COLS, _TUBES, query, slices, traits
 from .sources import catalogs, cubes
 from .sources.cubes import band_cube_cells, demo_cells, demo_cube, demo_vase
 
@@ -69,6 +70,32 @@ def complete_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("time").agg(F.count(F.lit(1)).alias("n"))
 
 
+@cube_query("mean_and_variance", " SELECT time, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance FROM cube GROUP BY 1")
+def mean_and_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded((pipe(_cube(spark, sf_dir)) | reduce.mean_and_variance("space")).unwrap())
+
+
+@cube_query("merge_exact", " SELECT time, y, x, round(value, 6) AS value, round(value * 2, 6) AS twice FROM cube")
+def merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cube(spark, sf_dir)
+    both = merge(c, c.with_values(twice=F.col("value") * 2), "exact")
+    return rounded(both.df.select("time", "y", "x", "value", "twice"))
+
+
+@query("tube_label_26", _TUBES.replace("abs(a.t_idx - b.t_idx) + abs(a.y_idx - b.y_idx) + abs(a.x_idx - b.x_idx) = 1", "abs(a.t_idx - b.t_idx) <= 1 AND abs(a.y_idx - b.y_idx) <= 1 AND abs(a.x_idx - b.x_idx) <= 1 AND a.cell <> b.cell") + " SELECT time, y, x, tube_id FROM tb", base="")
+def tube_label_26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = reduce.mask_by_threshold(_cube(spark, sf_dir), 70.0, ">=")
+    return tubes.label_tubes(mask, 26).select("time", "y", "x", "tube_id")
+
+
+@query("select_tube", _TUBES + ", k AS (SELECT tube_id, count(DISTINCT time) AS d, count(*) AS n FROM tb GROUP BY 1) (SELECT 'longest' AS rule, tube_id, d AS duration_steps, n AS n_voxels FROM k ORDER BY d DESC, n DESC, tube_id LIMIT 1) UNION ALL (SELECT 'largest', tube_id, d, n FROM k ORDER BY n DESC, d DESC, tube_id LIMIT 1)".replace(" (SELECT 'longest'", ", u AS ((SELECT 'longest'", 1) + ") SELECT rule, tube_id, duration_steps, n_voxels FROM u", base="")
+def select_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = reduce.mask_by_threshold(_cube(spark, sf_dir), 70.0, ">=")
+    metrics = cut(tubes.tube_metrics(tubes.label_tubes(mask, 6)))
+    pick = lambda rule: tubes.select_tube(metrics, rule).select(F.lit(rule).alias("rule"), "tube_id", "duration_steps", "n_voxels")
+    return pick("longest").unionByName(pick("largest"))
+
+
 @cube_query("footprint_crop", ", f AS (SELECT min(y_idx) AS y0, max(y_idx) AS y1, min(x_idx) AS x0, max(x_idx) AS x1 FROM cube WHERE value > 60) SELECT time, y, x, CASE WHEN value > 60 THEN round(value, 6) END AS value FROM cube CROSS JOIN f WHERE y_idx BETWEEN y0 AND y1 AND x_idx BETWEEN x0 AND x1")
 def footprint_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cube(spark, sf_dir)
@@ -352,6 +379,15 @@ def inside_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_id", F.col("time").cast("string").alias("time")).agg(F.count_if("inside").alias("n_inside"), F.count(F.lit(1)).alias("n"))
 
 
+@query("climate_samples", _SQ + ", gg AS (SELECT DISTINCT y, x FROM (SELECT unnest(range(-3, 10)) AS y) CROSS JOIN (SELECT unnest(range(-3, 12)) AS x)), ds AS (SELECT event_id, time FROM cq UNION SELECT event_id, time + 30 FROM cq), sp AS (SELECT event_id, min(time) AS t0, max(time) AS t1 FROM cq GROUP BY 1), dd2 AS (SELECT ds.event_id, ds.time, (SELECT arg_max(h, c.time) FROM cq c WHERE c.event_id = ds.event_id AND c.time <= ds.time) AS h, ds.event_id % 7 AS cx, ds.event_id % 5 AS cy FROM ds JOIN sp ON sp.event_id = ds.event_id AND ds.time BETWEEN t0 AND t1), m AS (SELECT event_id, time, CAST(y * x + event_id % 3 AS DOUBLE) AS v, abs(x - cx) + 0.5 <= h AND abs(y - cy) + 0.5 <= h AS whole, abs(x - cx) <= h AND abs(y - cy) <= h AS center FROM dd2 CROSS JOIN gg), s AS (SELECT *, bool_or(whole) OVER (PARTITION BY event_id, time) AS any_in FROM m), s2 AS (SELECT *, CASE WHEN any_in THEN whole ELSE center END AS ins FROM s) SELECT event_id, time, round(avg(v) FILTER (ins), 6) AS inside_mean, count(*) FILTER (ins) AS n_inside, round(avg(v) FILTER (NOT ins), 6) AS outside_mean, count(*) FILTER (NOT ins) AS n_outside FROM s2 GROUP BY 1, 2")
+def climate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = geometry.clean_daily_rings(_squares(spark, sf_dir), ["event_id"]).select("event_id", "time", "ring")
+    days = rings.select("event_id", "time").unionByName(rings.select("event_id", F.date_add("time", 30).alias("time"))).distinct()
+    grid = spark.range(-3, 10).select(F.col("id").alias("y")).crossJoin(spark.range(-3, 12).select(F.col("id").alias("x")))
+    cells = days.crossJoin(grid).withColumn("value", (F.col("y") * F.col("x") + F.col("event_id") % 3).cast("double"))
+    return geometry.climate_samples(cells, rings, ["event_id"], 0.5, "value").withColumn("time", F.col("time").cast("string"))
+
+
 @query("event_daily", _SQ + " SELECT event_id, CAST(min(time) AS VARCHAR) AS t0, CAST(max(time) AS VARCHAR) AS t1, count(*) AS n_days, round(CAST(any_value(cx) AS DOUBLE), 6) AS centroid_x, round(CAST(any_value(cy) AS DOUBLE), 6) AS centroid_y FROM cq GROUP BY 1")
 def event_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = geometry.event_daily(_squares(spark, sf_dir), ["event_id"], 16)
@@ -541,6 +577,11 @@ def permuted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls.permuted(traits(spark, sf_dir), "fire_id", ["total_area_km2", "duration_days"], 2)
 
 
+@query("silhouettes", ", d AS (SELECT a.fire_id, a.region AS own, b.region AS other, sum(sqrt(power(a.total_area_km2 - b.total_area_km2, 2) + power(a.duration_days - b.duration_days, 2))) AS d, count(*) AS n FROM trait a CROSS JOIN trait b GROUP BY 1, 2, 3), s AS (SELECT fire_id, own, max(CASE WHEN own = other THEN d / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN d / n END) AS b FROM d GROUP BY 1, 2) SELECT fire_id, own AS region, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS silhouette FROM s")
+def silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.silhouettes(traits(spark, sf_dir), "fire_id", ["total_area_km2", "duration_days"], "region")
+
+
 @query("permutation_null")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nulls.permutation_null(traits(spark, sf_dir), "fire_id", _COLS, 3)
