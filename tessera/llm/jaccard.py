@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..functions.graph import connected
 from .shared import bucketed_table, cut, discard, planned_bytes, release, row_key, scratch_scope, scratch_table, shuffle_partitions, small_batches, unpacked, with_key
 from .shingles import mix, shingle_sets
-from .suffixes import NO_ID, _batch, _each, _parts_of, chunk_table
+from .suffixes import CHUNK_BYTES, NO_ID, _batch, _each, _parts_of, chunk_table
 
 PERCENT = 75
 ORDERS = 3
@@ -344,7 +344,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         release()
 
 
-def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = 1 << 20, hot_level: int = HOT_LEVEL) -> DataFrame:
+def join_components(df: DataFrame, width: int = 5, chunk_bytes: int = CHUNK_BYTES, hot_level: int = HOT_LEVEL) -> DataFrame:
     """One row for each row of ``df(doc_id, text)``: doc_id, its content key, n_shingles and component_id.
 
     The result is written to the checkpoint folder; scratch tables are gone when this returns.

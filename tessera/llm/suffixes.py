@@ -4,7 +4,7 @@ A byte goes when a string of ``LENGTH`` bytes that covers it also starts in a do
 a smaller id.  A full suffix array of the corpus would move every suffix; here only those
 suffixes are sorted that can decide anything:
 
-1. Documents are packed, without a shuffle, into chunks of about a megabyte, bucketed by
+1. Documents are packed, without a shuffle, into chunks of some hundred kilobytes, bucketed by
    chunk number, so that later steps meet them again in place.
 2. Every string of LENGTH bytes names one of its ``ANCHOR``-byte substrings: the one with
    the least hash, the leftmost of equals.  Equal strings name the same one, at the same
@@ -52,6 +52,8 @@ LENGTH, ANCHOR = 50, 20
 LEFT = LENGTH - ANCHOR
 CONTEXT = LEFT + LENGTH
 SLICE = 1 << 18
+#: Bytes of text in a chunk.  Rows stay below half a megabyte, which the JVM's collector treats as small.
+CHUNK_BYTES = 384 << 10
 NO_ID = np.iinfo(np.int64).max
 
 CHUNKS = "chunk long, ids binary, keys binary, lens binary, blob binary, rest binary"
@@ -155,7 +157,7 @@ def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return h.view(np.int32).astype(np.int64) % buckets
 
 
-def _numbers(task: int, buckets: int, run: int = 16) -> Iterator[int]:
+def _numbers(task: int, buckets: int, run: int = 48) -> Iterator[int]:
     """Chunk numbers of a task, chosen so that ``run`` chunks in a row share a bucket: a file each, not one for each chunk."""
     low, seq = 0, 0
     by_bucket: list[np.ndarray] = []
@@ -538,7 +540,7 @@ def _judged(rows: DataFrame, chunk_bytes: int, oversample: int, hot_chunks: int)
     with small_batches(spark):
         chunks = chunk_table(rows, chunk_bytes)
         least = 4 * shuffle_partitions(spark)
-        parts = max(least, chunks.count() // 8)
+        parts = max(least, chunks.count() * chunk_bytes // (8 << 20))
         # A count of one's own keeps a task at few ranges where there are more of them than partitions allow for.
         dealt = lambda df: df if parts == least else df.repartition(parts // 4, "part")
         asked = chunks.select("chunk", "lens", "blob", F.lit(b"").alias("ids")).mapInArrow(_ask(parts), REQUESTS)
@@ -555,7 +557,7 @@ def _rows_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("k1"), F.lit(0).alias("k2"))
 
 
-def remove_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, oversample: int = 32, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``df(doc_id, text)``.
 
     The result is written to the checkpoint folder; scratch tables are gone when this returns.
@@ -567,7 +569,7 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int =
     return out
 
 
-def without_repeats(df: DataFrame, chunk_bytes: int = 1 << 20, oversample: int = 32, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+def without_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, oversample: int = 32, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """The rows of ``df`` with the repeated bytes taken from their texts.
 
     A character that lost some of its bytes goes as a whole.  Other columns stay, but for
