@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
 from ..functions.stats import let
 from ..plans.cube import KEYS, Cube
 from .align import asof_join
@@ -27,6 +28,11 @@ def _edges(ring: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column, eps: float = 1e-12) -> Column:
     """Whether a point is inside a ring or on its border (ray casting with an on-edge test)."""
+    return _within(_edges(ring), x, y, eps)
+
+
+def _within(edges: Column, x: Column, y: Column, eps: float = 1e-12) -> Column:
+    """:func:`contains` where a ring's edges are at hand."""
     def on(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
@@ -36,7 +42,6 @@ def contains(ring: Column, x: Column, y: Column, eps: float = 1e-12) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         return ((ay > y) != (by > y)) & (x < ax + F.try_divide((bx - ax) * (y - ay), F.nullif(by - ay, F.lit(0.0))))
 
-    edges = _edges(ring)
     odd = F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(F.coalesce(crossed(e), F.lit(False)), 1).otherwise(0)) % 2 == 1
     return F.exists(edges, on) | odd
 
@@ -180,15 +185,16 @@ def latest_ring(cells: DataFrame, perimeters: DataFrame, keys: list[str]) -> Dat
 
 def sample_inside_outside(cells: DataFrame, perimeters: DataFrame, keys: list[str], half: float) -> DataFrame:
     """Whether each cell lies wholly inside the latest perimeter; where no cell of an event and day does, its centre decides."""
-    c = latest_ring(cells, perimeters, keys)
+    # A ring's edges and bounds are worked out once, not for every cell that meets it.
+    whole_ring = F.struct(_edges(F.col("ring")).alias("edges"), *[v.alias(k) for k, v in bounds(F.col("ring")).items()])
+    known = cut(perimeters.select(*keys, "time", whole_ring.alias("ring")))
+    c = latest_ring(cells, known, keys)
     x, y, ring = F.col("x").cast("double"), F.col("y").cast("double"), F.col("ring")
-    box = bounds(ring)
-    c = c.withColumn("_box", F.struct(*[v.alias(k) for k, v in box.items()]))
-    near = x.between(F.col("_box.min_x"), F.col("_box.max_x")) & y.between(F.col("_box.min_y"), F.col("_box.max_y"))
-    corners = [contains(ring, x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)]
-    inner = (x - half >= F.col("_box.min_x")) & (x + half <= F.col("_box.max_x")) & (y - half >= F.col("_box.min_y")) & (y + half <= F.col("_box.max_y"))
+    near = x.between(ring["min_x"], ring["max_x"]) & y.between(ring["min_y"], ring["max_y"])
+    inner = (x - half >= ring["min_x"]) & (x + half <= ring["max_x"]) & (y - half >= ring["min_y"]) & (y + half <= ring["max_y"])
+    corners = [_within(ring["edges"], x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)]
     test = lambda first, then: F.when(F.coalesce(first, F.lit(False)), then).otherwise(F.lit(False))
-    marked = c.withColumns({"_whole": test(inner, corners[0] & corners[1] & corners[2] & corners[3]), "_center": test(near, contains(ring, x, y))}).drop("_box")
+    marked = c.withColumns({"_whole": test(inner, corners[0] & corners[1] & corners[2] & corners[3]), "_center": test(near, _within(ring["edges"], x, y))})
     some = F.bool_or("_whole").over(Window.partitionBy(*keys, "time"))
     return marked.withColumn("inside", F.when(some, F.col("_whole")).otherwise(F.col("_center"))).drop("_whole", "_center", "ring")
 
@@ -295,13 +301,13 @@ def event_daily(daily: DataFrame, keys: list[str], steps: int = 64) -> DataFrame
     centroid is as exact as a step.
     """
     clean_rings = clean_daily_rings(daily, keys)
-    boxed = clean_rings.select(*keys, "time", "ring", *[v.alias(k) for k, v in bounds(F.col("ring")).items()])
-    events = boxed.groupBy(*keys).agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count(F.lit(1)).alias("n_days"), F.min("min_x").alias("x0"), F.max("max_x").alias("x1"), F.min("min_y").alias("y0"), F.max("max_y").alias("y1"), F.collect_list("ring").alias("rings"))
+    boxed = clean_rings.select(*keys, "time", _edges(F.col("ring")).alias("edges"), *[v.alias(k) for k, v in bounds(F.col("ring")).items()])
+    events = boxed.groupBy(*keys).agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count(F.lit(1)).alias("n_days"), F.min("min_x").alias("x0"), F.max("max_x").alias("x1"), F.min("min_y").alias("y0"), F.max("max_y").alias("y1"), F.collect_list("edges").alias("rings"))
     step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
     points = events.withColumn("_i", step).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     place = lambda a, b, k: F.col(a) + (F.col(k) + 0.5) * (F.col(b) - F.col(a)) / steps
     points = points.withColumns({"px": place("x0", "x1", "_i"), "py": place("y0", "y1", "_j")})
-    inside = F.exists("rings", lambda r: contains(r, F.col("px"), F.col("py")))
+    inside = F.exists("rings", lambda edges: _within(edges, F.col("px"), F.col("py")))
     return points.where(inside).groupBy(*keys, "t0", "t1", "n_days").agg(F.avg("px").alias("centroid_x"), F.avg("py").alias("centroid_y"))
 
 

@@ -424,12 +424,6 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.gram(models.standardised(traits(spark, sf_dir), _COLS), _COLS)
 
 
-@query("pca_shares")
-def pca_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares, _ = models.pca(traits(spark, sf_dir), _COLS, 3)
-    return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(shares)], "component long, share double")
-
-
 @query("bootstrap_pca")
 def bootstrap_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.bootstrap_pca(traits(spark, sf_dir), _COLS, "fire_id", 20, 2)

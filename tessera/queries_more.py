@@ -508,6 +508,12 @@ def pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["pc1"], s["participation_ratio"], s["dim95"])], "pc1 double, participation_ratio double, dim95 long")
 
 
+@query("pca_shares", _EIGEN + " SELECT CAST(1 AS BIGINT) AS component, round(s1, 6) AS share FROM sh UNION ALL SELECT 2, round(s2, 6) FROM sh UNION ALL SELECT 3, round(s3, 6) FROM sh")
+def pca_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares, _ = models.pca(traits(spark, sf_dir), _COLS, 3)
+    return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(shares)], "component long, share double")
+
+
 @query("pca_scores", _EIGEN + """, w AS (SELECT l1, g00, g01, g02, g11, g12, g22 FROM ev CROSS JOIN gm),
 c AS (SELECT g01 * g12 - g02 * (g11 - l1) AS x, g01 * g02 - (g00 - l1) * g12 AS y, (g00 - l1) * (g11 - l1) - g01 * g01 AS v FROM w), u AS (SELECT x / sqrt(x * x + y * y + v * v) AS x, y / sqrt(x * x + y * y + v * v) AS y, v / sqrt(x * x + y * y + v * v) AS v FROM c),
 s AS (SELECT x * sg AS x, y * sg AS y, v * sg AS v FROM (SELECT *, sign(CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(v) THEN x WHEN abs(y) >= abs(v) THEN y ELSE v END) AS sg FROM u))
