@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,8 +13,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate data: ``spark.checkpoint.dir``.
 
     Only on a single machine (tests) it may be unset; a folder beside the warehouse's
-    tables is taken then.  On a cluster that is an error, for executors would write to
-    folders of their own.
+    tables is taken then, and removed at exit.  On a cluster that is an error, for executors
+    would write to folders of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -18,7 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if named is None:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch-{sc.applicationId}"
+            atexit.register(shutil.rmtree, urlsplit(named).path, ignore_errors=True)
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
