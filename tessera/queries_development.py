@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import development
-from .queries_lake import SLICES_SQL, query, slices
+from .queries_lake import query, slices
 
 
 def _summary_sql() -> str:

@@ -79,10 +79,6 @@ def _at(values: str, q: float) -> str:
     return f"({values}[{low} + 1] + ({at} - floor({at})) * ({values}[least({low} + 2, len({values}))] - {values}[{low} + 1]))"
 
 
-#: Interpolation of a list at a share of its length, for other modules.
-_AT_SQL = _at
-
-
 def _features_sql() -> str:
     grid = [i / 10 for i in range(11)]
     profile = ", ".join([f"round({_at('w', g)}, 6) AS width_p{i:02d}" for i, g in enumerate(grid)] + [f"round({_at('fr', g)}, 6) AS growth_p{i:02d}" for i, g in enumerate(grid)])

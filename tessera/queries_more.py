@@ -16,8 +16,7 @@ from .plans.cube import Cube, from_frame, merge
 from .plans.pipe import apply, pipe
 from .queries_cube import _PAIRS, cube_sql
 from .queries_cube import query as cube_query
-from .queries_lake import _AT_SQL as _at
-from .queries_lake import _COLS, _TUBES, query, slices, traits
+from .queries_lake import _COLS, _TUBES, _at, query, slices, traits
 from .sources import catalogs, cubes
 from .sources.cubes import band_cube_cells, demo_cells, demo_cube, demo_vase
 
