@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, days, pearson, pearson_over, quantile
+from ..functions.stats import array_pearson, array_ranks, average_rank, days, let, pearson, pearson_over, quantile
 from ..plans.cube import KEYS, PIXEL, Cube
 from ..plans.pipe import verb
 from .reduce import center_pixel
@@ -98,14 +98,40 @@ def tail_spearman(pairs: DataFrame, keys: list[str], b: float = 0.5, min_t: int
     return every.join(both, keys, "left").withColumn("bottom_minus_top", F.col("bottom") - F.col("top"))
 
 
+def _interpolated(ordered: Column, q: float) -> Column:
+    """Linear interpolation between the elements of a sorted array."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    return F.get(ordered, low) + (at - low) * (F.get(ordered, F.least(low + 1, F.size(ordered) - 1)) - F.get(ordered, low))
+
+
+def _tail_ranks(pairs: Column, b: float, min_t: int) -> Column:
+    """(bottom, top): :func:`tail_spearman` of an array of pairs ``u, v`` without nulls."""
+    cuts = F.struct(pairs.alias("z"), F.array_sort(F.transform(pairs, lambda e: e["u"])).alias("u"), F.array_sort(F.transform(pairs, lambda e: e["v"])).alias("v"))
+
+    def tails(w: Column) -> Column:
+        edges = F.struct(w["z"].alias("z"), *[_interpolated(w[c], q).alias(f"{c}{n}") for c in "uv" for n, q in (("lo", b), ("hi", 1 - b))])
+        low = lambda e: F.filter(e["z"], lambda p: (p["u"] <= e["ulo"]) & (p["v"] <= e["vlo"]))
+        high = lambda e: F.filter(e["z"], lambda p: (p["u"] > e["uhi"]) & (p["v"] > e["vhi"]))
+        score = lambda t: F.when(F.size(t) >= min_t, array_pearson(array_ranks(F.transform(t, lambda p: p["u"])), array_ranks(F.transform(t, lambda p: p["v"]))))
+        return let(edges, lambda e: F.struct(let(low(e), score).alias("bottom"), let(high(e), score).alias("top")))
+
+    return let(cuts, tails)
+
+
 @verb
 def median_split_synchrony(cube: Cube, window: str | int | None = "90D", b: float = 0.5, min_t: int = 5, stride: int = 1, ends: list | None = None) -> DataFrame:
-    """Tail rank correlations with the centre pixel in rolling windows with at least ``min_t`` times."""
-    w = windows(cube, window, ends, stride)
-    enough = w.groupBy("window_end").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_t).select("window_end")
+    """Tail rank correlations with the centre pixel in rolling windows with at least ``min_t`` times.
+
+    A pixel's series is one packed array, a window a slice of it: a pixel and window is one
+    row, not one for each of its times.
+    """
+    bounds = windows(cube, window, ends, stride).groupBy("window_end").agg(F.min("t_idx").alias("_w0"), F.max("t_idx").alias("_w1"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_t)
     cells = cube.df.join(center_pixel(cube).select("t_idx", "center"), "t_idx")
-    pairs = w.join(enough, "window_end").join(cells, "t_idx").select("window_end", *PIXEL, F.col(cube.variable).alias("u"), F.col("center").alias("v"))
-    return tail_spearman(pairs, ["window_end", *PIXEL], b, min_t)
+    series = cells.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("t_idx", F.col(cube.variable).alias("u"), F.col("center").alias("v")))).alias("_s"))
+    both = series.crossJoin(F.broadcast(bounds)).withColumn("_z", F.filter(F.slice("_s", F.col("_w0") + 1, F.col("_w1") - F.col("_w0") + 1), lambda e: e["u"].isNotNull() & e["v"].isNotNull()))
+    scored = both.select("window_end", *PIXEL, F.when(F.size("_z") > 0, _tail_ranks(F.col("_z"), b, min_t)).alias("_t"))
+    return scored.select("window_end", *PIXEL, "_t.bottom", "_t.top", (F.col("_t.bottom") - F.col("_t.top")).alias("bottom_minus_top"))
 
 
 def ghosh_tails(pairs: DataFrame, keys: list[str], bands: int = 2) -> DataFrame:
