@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dealing import near_pairs
 from ..functions.stats import average_rank
 
 PREPARATIONS = ("raw", "anomaly", "zscore", "rank_only")
@@ -53,15 +54,17 @@ def mismatch_examples(anchors: DataFrame, rows: DataFrame, id_column: str, near:
     """For each anchor, of its ``k`` nearest rows in one space the one farthest away in the other.
 
     Columns are standardised by mean and population deviation over ``rows``; ties to the
-    smaller id.  Per anchor only the k nearest leave a task.
+    smaller id.
     """
     columns = [*near, *far]
     stats = rows.agg(*[e for c in columns for e in (F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     z = lambda cs: F.array(*[(F.col(c) - F.col(f"_a_{c}")) / F.col(f"_s_{c}") for c in cs])
     scaled = rows.crossJoin(F.broadcast(stats)).select(F.col(id_column).alias("id"), z(near).alias("p"), z(far).alias("q"))
-    a = scaled.join(anchors.select(F.col(id_column).alias("id")), "id", "left_semi").select(F.col("id").alias("id_a"), F.col("p").alias("p_a"), F.col("q").alias("q_a"))
-    distance = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda acc, v: acc + v))
-    pairs = scaled.join(a, F.col("id") != F.col("id_a")).select("id_a", F.col("id").alias("id_b"), distance("p", "p_a").alias("near_distance"), distance("q", "q_a").alias("far_distance"))
+    # As columns: the rows near an anchor are found in a band of the first one, and no other pair is made.
+    names = {"near": [f"_n{i}" for i in range(len(near))], "far": [f"_f{i}" for i in range(len(far))]}
+    flat = scaled.select("id", *[F.col("p")[i].alias(c) for i, c in enumerate(names["near"])], *[F.col("q")[i].alias(c) for i, c in enumerate(names["far"])])
+    found = near_pairs(anchors.select(F.col(id_column).alias("id")), flat, "id", names["near"], names["far"], k)
+    pairs = found.select(F.col("query_id").alias("id_a"), F.col("neighbor_id").alias("id_b"), F.sqrt("d2").alias("near_distance"), F.sqrt("far2").alias("far_distance"))
     nearest = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("id_a").orderBy(F.round("near_distance", 9), "id_b"))).where(F.col("_r") <= k)
     return nearest.withColumn("_f", F.row_number().over(Window.partitionBy("id_a").orderBy(F.round("far_distance", 9).desc(), "id_b"))).where(F.col("_f") == 1).drop("_r", "_f")
 
