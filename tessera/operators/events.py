@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +89,41 @@ def greedy(candidates: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def greedy_rounds(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`greedy` of many pairs of series at once: (pair, place in ``a``, place in ``b``) of each match.
+
+    ``a`` and ``b`` hold a row of days for each pair, of which the first ``na`` and ``nb``
+    count.  A round takes the best candidate left of every pair.  Long series go pair by pair.
+    """
+    ks, kt, none = a.shape[1], b.shape[1], np.empty(0, np.int64)
+    if not len(a) or not ks or not kt:
+        return none, none, none
+    if ks * kt > 1024:
+        parts = []
+        for p in range(len(a)):
+            d = np.abs(b[p, None, : nb[p]] - a[p, : na[p], None])
+            i, j = np.nonzero(d <= tolerance)
+            parts += [(p, *m) for m in greedy(list(zip(d[i, j].tolist(), i.tolist(), j.tolist(), strict=True)))]
+        found = np.array(parts, np.int64).reshape(-1, 3)
+        return found[:, 0], found[:, 1], found[:, 2]
+    cells = np.arange(ks * kt, dtype=a.dtype).reshape(ks, kt, 1)
+    key = np.abs(b.T[None] - a.T[:, None])
+    out = (key > tolerance) | (np.arange(ks)[:, None, None] >= na) | (np.arange(kt)[None, :, None] >= nb)
+    big = np.iinfo(key.dtype).max
+    key = np.where(out, big, np.where(out, 0, key) * (ks * kt) + cells)
+    found = []
+    while True:
+        best = key.min(axis=(0, 1))
+        pair = np.flatnonzero(best < big)
+        if not len(pair):
+            break
+        i, j = np.divmod(best[pair] % (ks * kt), kt)
+        found.append((pair, i, j))
+        key[i, :, pair] = big
+        key[:, j, pair] = big
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
+
+
 def candidate_matches(source: DataFrame, target: DataFrame, on: list[str], tolerance: str | int | None = None, anchor: str = "start") -> DataFrame:
     """Pairs of events of one group whose anchors are at most the tolerance apart.
 

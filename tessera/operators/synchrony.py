@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..functions.scratch import cut
-from ..functions.stats import array_mean, array_pearson, array_ranks, days, haversine, pearson
+from ..functions.stats import array_mean, array_pearson, array_ranks, days, haversine, pearson_from_sums
 from ..plans.cube import KEYS, PIXEL, Cube
 from ..plans.pipe import verb
-from .events import match_events
+from .events import greedy_rounds
 from .rolling import windows
 
 #: Words of 64 times that a pair keeps in columns.
@@ -220,36 +223,95 @@ def severity_synchrony(states: Cube, mode: str = "reference", method: str = "spe
     )
 
 
+#: What a pair carries to where its events are matched; labels and distance follow from it again.
+_ENDS = ("source", "target", "source_y", "source_x", "target_y", "target_x")
+
+
+def _match_pairs(catalog: DataFrame, pairs: DataFrame, tolerance: str | int | None, result: Callable[..., dict], columns: str, unmatched: bool) -> DataFrame:
+    """What ``result(pair, lag, a, b, events, n_source, n_target)`` makes of the matches of a batch of pairs: greedy, by (absolute lag, source id, target id).
+
+    The catalog travels to the pairs as arrays, so that neither candidates nor matches are
+    shuffled or sorted.  ``pair`` is the place in the batch, ``a`` and ``b`` are places in
+    ``events`` (event_id, duration).  A result has either one row for each pair, or for each
+    match with the pair's place as ``_at``.  ``unmatched``: pairs without events, too.
+    """
+    spark, tol = pairs.sparkSession, days(tolerance) or 0
+    t = catalog.select(*PIXEL, "event_id", F.datediff("start", F.lit("1970-01-01")).alias("day"), "duration").toArrow().sort_by([("y", "ascending"), ("x", "ascending"), ("event_id", "ascending")])
+    fresh = np.ones(len(t), bool)
+    fresh[1:] = (np.diff(t["y"].to_numpy()) != 0) | (np.diff(t["x"].to_numpy()) != 0)
+    first = np.flatnonzero(fresh)
+    # The place of a pixel without events, -1, has none.
+    sent = spark.sparkContext.broadcast((np.append(first, 0), np.append(np.diff(first, append=len(t)), 0), t["day"].to_numpy().astype(np.int32), t["event_id"].to_numpy(), t["duration"].to_numpy()))
+    places = spark.createDataFrame(pa.table({"y": t["y"].take(first), "x": t["x"].take(first), "at": np.arange(len(first))}), catalog.select(*PIXEL).schema.add("at", "long"))
+    kept = pairs.select(*_ENDS)
+    for s in ("source", "target"):
+        kept = kept.join(F.broadcast(places.select(F.col("y").alias(f"{s}_y"), F.col("x").alias(f"{s}_x"), F.col("at").alias(f"_{s}"))), [f"{s}_y", f"{s}_x"], "left" if unmatched else "inner")
+    kept = kept.select(*_ENDS, *[F.coalesce(f"_{s}", F.lit(-1)).alias(f"_{s}") for s in ("source", "target")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, count, day, ids, duration = sent.value
+        for batch in batches:
+            s, u = (batch.column(c).to_numpy() for c in ("_source", "_target"))
+            ks, kt = (int(count[x].max(initial=0)) for x in (s, u))
+            rows = [day[np.minimum(first[x][:, None] + np.arange(k), len(day) - 1)] if k else np.empty((len(x), 0), np.int32) for x, k in ((s, ks), (u, kt))]
+            pair, i, j = greedy_rounds(rows[0], count[s], rows[1], count[u], tol)
+            order = np.argsort(pair, kind="stable")
+            pair, a, b = pair[order], (first[s[pair]] + i)[order], (first[u[pair]] + j)[order]
+            made = result(pair, day[b] - day[a], a, b, (ids, duration), count[s], count[u])
+            ends = batch.select(list(_ENDS))
+            if "_at" in made:
+                ends = ends.take(pa.array(made.pop("_at")))
+            yield pa.RecordBatch.from_arrays([*ends.columns, *[pa.array(v) for v in made.values()]], names=[*_ENDS, *made])
+
+    kinds = dict(kept.dtypes)
+    out = kept.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in _ENDS) + ", " + columns)
+    return out.withColumns({"distance": _distance("source", "target"), "source_label": _label("source"), "target_label": _label("target")})
+
+
 def _matched(catalog: DataFrame, pairs: DataFrame, tolerance: str | int | None) -> DataFrame:
-    fields = ["event_id", "start", "end", "duration"]
-    side = lambda s: pairs.select("source", "target", F.col(f"{s}_y").alias("y"), F.col(f"{s}_x").alias("x")).join(catalog.select(*PIXEL, *fields), [*PIXEL]).select("source", "target", *fields)
-    return match_events(side("source"), side("target"), ["source", "target"], tolerance)
+    def result(pair, lag, a, b, events, n_source, n_target) -> dict:
+        ids, duration = events
+        return {"_at": pair, "source_event_id": ids[a], "target_event_id": ids[b], "source_duration": duration[a], "target_duration": duration[b], "lag_days": lag.astype(np.int32), "abs_lag_days": np.abs(lag).astype(np.int32)}
+
+    return _match_pairs(catalog, pairs, tolerance, result, "source_event_id long, target_event_id long, source_duration long, target_duration long, lag_days int, abs_lag_days int", False)
+
+
+def _mean(pair: np.ndarray, values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Means by pair; null for none."""
+    return pa.array(np.bincount(pair, values, len(n)) / np.maximum(n, 1), mask=n == 0)
 
 
 @verb
 def timing_synchrony(states: Cube, catalog: DataFrame, mode: str = "neighbors", tolerance: str | int = "7D", kernel: str = "exponential", tau: float = 7.0, **pairing) -> DataFrame:
     """Mean closeness in time of matched events of each pair, with lags and events left unmatched."""
-    pairs = spatial_pairs(states, mode, **pairing)
-    lag = F.col("abs_lag_days").cast("double")
-    score = F.exp(-lag / days(tau) if isinstance(tau, str) else -lag / tau) if kernel == "exponential" else 1 / (1 + lag)
-    m = _matched(catalog, pairs, tolerance).groupBy("source", "target").agg(F.avg(score).alias("timing"), F.avg("lag_days").alias("mean_lag"), F.percentile("abs_lag_days", F.lit(0.5)).alias("median_abs_lag"), F.count(F.lit(1)).alias("n_matched"))
-    counts = catalog.groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("_n"))
-    for s in ("source", "target"):
-        pairs = pairs.join(counts.select(F.col("y").alias(f"{s}_y"), F.col("x").alias(f"{s}_x"), F.col("_n").alias(f"_n_{s}")), [f"{s}_y", f"{s}_x"], "left")
-    out = pairs.join(m, ["source", "target"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
-    return out.withColumns({f"unmatched_{s}": F.coalesce(f"_n_{s}", F.lit(0)) - F.col("n_matched") for s in ("source", "target")}).drop("_n_source", "_n_target")
+    scale = days(tau) if isinstance(tau, str) else tau
+
+    def result(pair, lag, a, b, events, n_source, n_target) -> dict:
+        gap = np.abs(lag).astype(float)
+        n = np.bincount(pair, minlength=len(n_source))
+        ordered = gap[np.lexsort((gap, pair))]
+        begin = np.cumsum(n) - n
+        middle = lambda k: ordered[np.minimum(begin + k, max(len(ordered) - 1, 0))] if len(ordered) else np.zeros(len(n))
+        median = pa.array((middle(np.maximum(n - 1, 0) // 2) + middle(n // 2)) / 2, mask=n == 0)
+        score = np.exp(-gap / scale) if kernel == "exponential" else 1 / (1 + gap)
+        return {"timing": _mean(pair, score, n), "mean_lag": _mean(pair, lag, n), "median_abs_lag": median, "n_matched": n, "unmatched_source": n_source - n, "unmatched_target": n_target - n}
+
+    return _match_pairs(catalog, spatial_pairs(states, mode, **pairing), tolerance, result, "timing double, mean_lag double, median_abs_lag double, n_matched long, unmatched_source long, unmatched_target long", True)
 
 
 @verb
 def duration_synchrony(states: Cube, catalog: DataFrame, mode: str = "neighbors", tolerance: str | int = "7D", min_matches: int = 3, **pairing) -> DataFrame:
     """Agreement of the durations of matched events of each pair."""
-    pairs = spatial_pairs(states, mode, **pairing)
-    a, b = F.col("source_duration").cast("double"), F.col("target_duration").cast("double")
-    m = _matched(catalog, pairs, tolerance).groupBy("source", "target").agg(
-        F.count(F.lit(1)).alias("n_matched"), F.when(F.count(F.lit(1)) >= min_matches, pearson(a, b)).alias("correlation"),
-        F.avg(1 - F.abs(a - b) / F.greatest(a, b, F.lit(1.0))).alias("similarity"), F.avg(a - b).alias("mean_difference"),
-    )
-    return pairs.join(m, ["source", "target"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+
+    def result(pair, lag, a, b, events, n_source, n_target) -> dict:
+        x, y = (events[1][k].astype(float) for k in (a, b))
+        n = np.bincount(pair, minlength=len(n_source))
+        sums = {name: np.bincount(pair, v, len(n)) for name, v in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))}
+        return {"n_matched": n, **sums, "similarity": _mean(pair, 1 - np.abs(x - y) / np.maximum(np.maximum(x, y), 1), n), "mean_difference": _mean(pair, x - y, n)}
+
+    out = _match_pairs(catalog, spatial_pairs(states, mode, **pairing), tolerance, result, "n_matched long, sx double, sy double, sxx double, syy double, sxy double, similarity double, mean_difference double", True)
+    r = pearson_from_sums(F.nullif("n_matched", F.lit(0)), *[F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
+    return out.withColumn("correlation", F.when(F.col("n_matched") >= min_matches, r)).drop("sx", "sy", "sxx", "syy", "sxy")
 
 
 @verb
