@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.dealing import dealt
 from ..functions.numbering import numbered
 from ..functions.scratch import cut
 from ..functions.stats import array_mean, array_pearson, array_ranks, days, haversine, pearson_from_sums
@@ -19,8 +20,10 @@ from ..plans.pipe import verb
 from .events import greedy_rounds
 from .rolling import windows
 
-#: Words of 64 times that a pair keeps in columns.
-WORDS = 2
+#: Most words of 64 times that a pair keeps in columns.
+WORDS = 16
+#: Tasks that share the pixels of a square.
+DEAL = 8
 MODES = ("reference", "neighbors", "all_pairs", "regional", "blocks")
 
 
@@ -104,7 +107,11 @@ def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = _side(squared(a), "source").withColumnsRenamed({"source__cy": "_cy", "source__cx": "_cx"})
     right = _side(squared(b), "target").withColumn("_o", offsets).withColumns({"_cy": F.col("target__cy") + F.col("_o.i"), "_cx": F.col("target__cx") + F.col("_o.j")}).drop("_o", "target__cy", "target__cx")
-    return left.join(right, ["_cy", "_cx"]).where(F.col("source") != F.col("target")).drop("_cy", "_cx")
+    # Squares can be few: the pixels of one are dealt to several tasks, whose number does not go by the bytes read but by the pairs made.
+    keys, n = ["_cy", "_cx", "_deal"], int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("_deal", F.pmod("source", F.lit(DEAL)).cast("int")).repartition(n, *keys)
+    right = right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))).repartition(n, *keys)
+    return left.join(right, keys).where(F.col("source") != F.col("target")).drop(*keys)
 
 
 def _nearest(p: DataFrame, k: int, radius_km: float | None) -> DataFrame:
@@ -182,17 +189,21 @@ def occurrence_synchrony(states: Cube, mode: str = "reference", window: str | in
     def parts(a: Column, b: Column) -> list[Column]:
         return [a["on"].bitwiseAND(b["on"]), a["on"].bitwiseOR(b["on"]), a["known"].bitwiseAND(b["known"]), a["on"].bitwiseAND(b["known"]), b["on"].bitwiseAND(a["known"])]
 
-    # The first words of a pair are columns, so that windows over them need no array functions; longer series go on in arrays.
-    first = [x.alias(f"_{name}{k}") for k in range(WORDS) for name, x in zip(names, parts(F.get("source_words", F.lit(k)), F.get("target_words", F.lit(k))), strict=True)]
-    rest = F.when(F.size("source_words") > WORDS, F.arrays_zip(*[F.slice(f"{s}_words", WORDS + 1, F.size(f"{s}_words")).alias(s[0]) for s in ("source", "target")]))
+    # Words of a pair are columns, so that windows over them need no array functions, which Spark interprets; only longer series go on in arrays.
+    last = states.times().agg(F.max("t_idx")).first()[0]
+    size = 1 if last is None else last // 64 + 1
+    words = min(size, WORDS)
+    first = [x.alias(f"_{name}{k}") for k in range(words) for name, x in zip(names, parts(F.get("source_words", F.lit(k)), F.get("target_words", F.lit(k))), strict=True)]
     masks = _masks(states, window, stride)
-    masks = masks.select("window_end", *[F.get("mask", F.lit(k)).alias(f"_m{k}") for k in range(WORDS)], F.slice("mask", WORDS + 1, F.size("mask")).alias("_rest_mask"))
-    both = pairs.select(*plain, *first, rest.alias("_rest")).crossJoin(F.broadcast(masks))
+    masks = masks.select("window_end", *[F.get("mask", F.lit(k)).alias(f"_m{k}") for k in range(words)], *([F.slice("mask", words + 1, F.size("mask")).alias("_rest_mask")] if size > words else []))
+    rest = [F.arrays_zip(*[F.slice(f"{s}_words", words + 1, F.size(f"{s}_words")).alias(s[0]) for s in ("source", "target")]).alias("_rest")] if size > words else []
+    both = pairs.select(*plain, *first, *rest).crossJoin(F.broadcast(masks))
 
     def count(i: int, name: str) -> Column:
-        near = sum((F.coalesce(F.bit_count(F.col(f"_{name}{k}").bitwiseAND(F.col(f"_m{k}"))), F.lit(0)) for k in range(WORDS)), F.lit(0))
-        far = F.aggregate(F.zip_with("_rest", "_rest_mask", lambda z, m: F.bit_count(parts(z["s"], z["t"])[i].bitwiseAND(m))), F.lit(0), lambda acc, c: acc + c)
-        return (near + F.when(F.col("_rest").isNotNull(), far).otherwise(F.lit(0))).cast("double").alias(name)
+        near = sum((F.coalesce(F.bit_count(F.col(f"_{name}{k}").bitwiseAND(F.col(f"_m{k}"))), F.lit(0)) for k in range(words)), F.lit(0))
+        if size > words:
+            near += F.aggregate(F.zip_with("_rest", "_rest_mask", lambda z, m: F.bit_count(parts(z["s"], z["t"])[i].bitwiseAND(m))), F.lit(0), lambda acc, c: acc + c)
+        return near.cast("double").alias(name)
 
     c = both.select("window_end", *plain, *[count(i, name) for i, name in enumerate(names)])
     n, a, b, j = (F.col(x) for x in ("n", "na", "nb", "joint"))
@@ -349,6 +360,85 @@ def reference_map(edges: DataFrame, metric: str) -> DataFrame:
     return edges.select(*keys, F.col("source_y").alias("y"), F.col("source_x").alias("x"), metric)
 
 
+def regional_occurrence(states: Cube, window: str | int | None = None, stride: int = 1) -> DataFrame:
+    """:func:`regional_summary` of the Jaccard scores of all pairs of pixels, without a row for each pair.
+
+    In a window, pixels with the same states are alike: pairs of patterns stand for pairs of
+    pixels and count as often.  A window of n times has 2^n patterns at most, and never more
+    than pixels.  The mean distance takes all pairs of pixels, as arrays.  All pixels of a
+    dense cube have a state at every time.
+    """
+    spark = states.df.sparkSession
+    packed = _bitmaps(states).select(F.col("words.on").alias("on"))
+    masks = _masks(states, window, stride)
+    seen = packed.groupBy("on").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(masks)).select("window_end", F.zip_with("on", "mask", lambda a, m: a.bitwiseAND(m)).alias("on"), "n")
+    patterns = seen.groupBy("window_end", "on").agg(F.sum("n").alias("n"))
+    # Blocks of patterns meet in the tasks; each pair of patterns once, a pattern with itself as often as two of its pixels.
+    blocks = 8
+    dealt_out = patterns.withColumn("_b", F.pmod(F.xxhash64("on"), F.lit(blocks)).cast("int"))
+    block = dealt_out.groupBy("window_end", "_b").agg(F.collect_list("on").alias("on"), F.collect_list("n").alias("n"))
+    a, b = (block.select("window_end", *[F.col(c).alias(f"{s}_{c}") for c in ("_b", "on", "n")]) for s in ("p", "q"))
+    met = a.join(b, "window_end").where(F.col("p__b") <= F.col("q__b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].values for c in ("p_on", "q_on", "p_n", "q_n")}
+                p, q = (np.array(r[c].to_pylist(), np.int64).reshape(len(r[c]), -1).view(np.uint64) for c in ("p_on", "q_on"))
+                n, m = (r[c].to_numpy() for c in ("p_n", "q_n"))
+                same, counts = batch.column("p__b")[k].as_py() == batch.column("q__b")[k].as_py(), {}
+                for i in range(0, len(p), step := max(1, 500_000 // max(1, len(q)))):
+                    rows = slice(i, i + step)
+                    joint = sum((np.bitwise_count(p[rows, w, None] & q[None, :, w]).astype(np.int64) for w in range(p.shape[1])))
+                    union = sum((np.bitwise_count(p[rows, w, None] | q[None, :, w]).astype(np.int64) for w in range(p.shape[1])))
+                    times = n[rows, None] * m[None]
+                    if same:
+                        at = np.arange(len(p))[rows, None]
+                        own = n[rows, None] * (n[rows, None] - 1) // 2
+                        times = np.where(at < np.arange(len(q))[None], times, np.where(at == np.arange(len(q))[None], own, 0))
+                    wide = int(union.max(initial=0)) + 1
+                    key, back = np.unique((joint * wide + union).ravel(), return_inverse=True)
+                    total = np.zeros(len(key), np.int64)
+                    np.add.at(total, back, times.ravel())
+                    for c, t in zip(key.tolist(), total.tolist(), strict=True):
+                        counts[divmod(c, wide)] = counts.get(divmod(c, wide), 0) + t
+                kept = [(j, u, t) for (j, u), t in counts.items() if t]
+                yield pa.RecordBatch.from_arrays([batch.column("window_end").take(pa.array([k] * len(kept), pa.int64())), *[pa.array([x[c] for x in kept], pa.int64()) for c in range(3)]], names=["window_end", "joint", "union", "n"])
+
+    kind = dict(met.dtypes)["window_end"]
+    scores = met.mapInArrow(run, f"window_end {kind}, joint long, union long, n long").groupBy("window_end", "joint", "union").agg(F.sum("n").alias("n"))
+    jaccard, n = F.try_divide("joint", F.nullif("union", F.lit(0))), F.col("n")
+    summed = scores.withColumn("jaccard", jaccard).groupBy("window_end").agg(
+        F.try_divide(F.sum(F.col("jaccard") * n), F.sum(F.when(F.col("jaccard").isNotNull(), n))).alias("mean_jaccard"),
+        F.percentile("jaccard", F.lit(0.5), n).alias("median_jaccard"), F.sum("n").alias("n_pairs"),
+    )
+    return summed.crossJoin(F.broadcast(_mean_distance(spark, states)))
+
+
+def _mean_distance(spark: SparkSession, cube: Cube) -> DataFrame:
+    """(mean_distance): that of all pairs of pixels."""
+    t = cube.pixels().select(*[F.col(c).cast("double") for c in PIXEL]).toArrow()
+    y, x = (t[c].to_numpy() for c in PIXEL)
+    n = len(y)
+
+    def add(y: np.ndarray, x: np.ndarray, start: int, stop: int) -> dict:
+        total = 0.0
+        with np.errstate(invalid="ignore"):
+            degrees = (np.abs(y) <= 90) & (np.abs(x) <= 180)
+            for i in range(start, stop):
+                d = np.sqrt((y[i + 1 :] - y[i]) ** 2 + (x[i + 1 :] - x[i]) ** 2)
+                if degrees[i]:
+                    at = np.flatnonzero(degrees[i + 1 :])
+                    p, q = np.radians(y[i]), np.radians(y[i + 1 :][at])
+                    a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(x[i + 1 :][at] - x[i]) / 2) ** 2
+                    d[at] = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, a)))
+                total += float(d.sum())
+        return {"d": [total]}
+
+    pairs = n * (n - 1) // 2
+    return dealt(spark, n, (y, x), add, "d double", n * n).agg((F.sum("d") / F.nullif(F.lit(pairs), F.lit(0))).alias("mean_distance"))
+
+
 def regional_summary(edges: DataFrame, metric: str) -> DataFrame:
     """Mean and median over pairs, pairs (those without a value too) and mean distance, by window."""
     keys = [c for c in ("window_end",) if c in edges.columns]

@@ -410,8 +410,7 @@ def reference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("regional_summary", _occurrence_sql("(SELECT * FROM pr WHERE source < target)", _SPANS) + " SELECT window_end, round(avg(jaccard), 6) AS mean_jaccard, round(median(jaccard), 6) AS median_jaccard, count(*) AS n_pairs, round(avg(distance), 6) AS mean_distance FROM e GROUP BY 1")
 def regional_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = synchrony.occurrence_synchrony(_states(spark, sf_dir), "regional", "10D")
-    return rounded(synchrony.regional_summary(edges, "jaccard"))
+    return rounded(synchrony.regional_occurrence(_states(spark, sf_dir), "10D"))
 
 
 def _severity_sql(rank: bool) -> str:
