@@ -85,7 +85,9 @@ def spatial_pairs(cube: Cube | DataFrame, mode: str = "reference", reference: tu
     elif mode == "neighbors" and radius_km is not None:
         pairs = _near(p, p, radius_km).where(F.col("source") < F.col("target"))
     else:
-        pairs = _side(p, "source").join(_side(p, "target"), F.col("source") < F.col("target"))
+        # Few pixels make many pairs: as sources they are dealt to tasks by number, not by the bytes read.
+        n = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * p.sparkSession.sparkContext.defaultParallelism)
+        pairs = _side(p, "source").repartition(n, "source").join(F.broadcast(_side(p, "target")), F.col("source") < F.col("target"))
     pairs = pairs.withColumn("distance", _distance("source", "target"))
     if mode == "neighbors" and radius_km is not None:
         pairs = pairs.where(F.col("distance") <= radius_km)
