@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import steps
+from ..functions.stats import interpolated, steps
 from ..plans.cube import KEYS, PIXEL, POSITIONS, Cube
 from ..plans.pipe import verb
 from .rolling import rolling_quantile
@@ -42,7 +42,7 @@ def quantile_state(cube: Cube, q: float = 0.9, direction: str = "above", rolling
         return threshold_state(cube, climatology, direction, variable)
     name = cube.pick(variable)
     one = Cube(cube.df.withColumnRenamed(name, "value") if name != "value" else cube.df, ("value",), cube.descending, cube.attrs)
-    cut = rolling_quantile(one, rolling_window, q) if rolling_window else F.percentile("value", F.lit(q)).over(one.over_pixel())
+    cut = rolling_quantile(one, rolling_window, q) if rolling_window else interpolated(F.sort_array(F.collect_list("value").over(one.over_pixel())), q)
     with_cut = one.with_df(one.df.withColumn("_thr", cut))
     return _state(with_cut, F.col("value"), F.col("_thr"), direction)
 
