@@ -24,6 +24,8 @@ from .rolling import windows
 WORDS = 16
 #: Tasks that share the pixels of a square.
 DEAL = 8
+#: Targets of a tile of pairs.
+TILE = 256
 MODES = ("reference", "neighbors", "all_pairs", "regional", "blocks")
 
 
@@ -85,9 +87,7 @@ def spatial_pairs(cube: Cube | DataFrame, mode: str = "reference", reference: tu
     elif mode == "neighbors" and radius_km is not None:
         pairs = _near(p, p, radius_km).where(F.col("source") < F.col("target"))
     else:
-        # Few pixels make many pairs: as sources they are dealt to tasks by number, not by the bytes read.
-        n = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * p.sparkSession.sparkContext.defaultParallelism)
-        pairs = _side(p, "source").repartition(n, "source").join(F.broadcast(_side(p, "target")), F.col("source") < F.col("target"))
+        pairs = _every(p)
     pairs = pairs.withColumn("distance", _distance("source", "target"))
     if mode == "neighbors" and radius_km is not None:
         pairs = pairs.where(F.col("distance") <= radius_km)
@@ -95,6 +95,32 @@ def spatial_pairs(cube: Cube | DataFrame, mode: str = "reference", reference: tu
     return pairs.select("source", "target", *[f"{s}_{c}" for s in ("source", "target") for c in PIXEL], "distance", _label("source").alias("source_label"), _label("target").alias("target_label"), *carried)
 
 
+def _every(p: DataFrame) -> DataFrame:
+    """All pairs source < target, tile by tile: some sources, each with the same block of targets.
+
+    The pairs are as many as they are, but what a source's rows hold recurs with the next
+    source, near enough for a page of a file to be compressed: places recur as they are, and
+    distances shifted, for which every eighth source comes next (encoded values are packed by
+    eights).  Few pixels make many pairs, so tiles are dealt to tasks by number, not by the
+    bytes read.
+    """
+    n = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * p.sparkSession.sparkContext.defaultParallelism)
+    size = F.max("pixel").cast("double") + 1
+    few = F.least(F.lit(2 * TILE), F.ceil(size * size / (32 * n * F.least(F.lit(float(TILE)), size)) / 8) * 8)
+    sides = p.agg(few.alias("_few"), F.floor(F.max("pixel") / TILE).alias("_end"))
+    blocks = p.crossJoin(F.broadcast(sides)).withColumns({"_own": F.expr("pixel div _few"), "_block": F.floor(F.col("pixel") / TILE)})
+    struct = F.struct("pixel", *[c for c in p.columns if c != "pixel"])
+
+    def rows(packed: DataFrame, name: str) -> DataFrame:
+        return packed.select("_block", F.explode("_rows").alias("_r")).select("_block", *[F.col(f"_r.{c}").alias(name if c == "pixel" else f"{name}_{c}") for c in p.columns])
+
+    # Arrays keep their order where a sort below a join would be dropped.
+    targets = rows(blocks.groupBy("_block").agg(F.sort_array(F.collect_list(struct)).alias("_rows")), "target")
+    sources = blocks.groupBy("_own").agg(F.min("_block").alias("_first"), F.max("_end").alias("_end"), F.sort_array(F.collect_list(F.struct((F.col("pixel") % 8).alias("_by"), struct.alias("_s"))))["_s"].alias("_rows"))
+    tiles = sources.select("_own", "_rows", F.explode(F.sequence("_first", "_end")).alias("_block")).repartition(n, "_own", "_block")
+    return rows(tiles, "source").join(F.broadcast(targets), "_block").where(F.col("source") < F.col("target")).drop("_block")
+
+
 def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pixels of ``a`` with others of ``b`` in the same or neighbouring squares with a side of at least the radius.
 
