@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import array_pearson, array_ranks, average_rank, days, let, pearson, pearson_over, quantile
+from ..functions.stats import array_pearson, array_ranks, average_rank, days, interpolated, let, pearson, pearson_over, quantile
 from ..plans.cube import KEYS, PIXEL, Cube
 from ..plans.pipe import verb
 from .reduce import center_pixel
@@ -159,7 +159,7 @@ def dominance(bottom: F.Column, top: F.Column, tolerance: float = 0.05) -> F.Col
 
 def rolling_quantile(cube: Cube, window: int, q: float) -> F.Column:
     """Quantile of the last ``window`` positions, as few as there are."""
-    return F.percentile(cube.variable, F.lit(q)).over(cube.along_time().rowsBetween(1 - window, 0))
+    return interpolated(F.sort_array(F.collect_list(cube.variable).over(cube.along_time().rowsBetween(1 - window, 0))), q)
 
 
 __all__ = ["dominance", "ghosh_tails", "median_split_synchrony", "quantile", "rolling_corr_vs_center", "rolling_quantile", "rolling_stat", "rolling_tail_contrast", "tail_spearman", "windows"]
